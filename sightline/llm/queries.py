@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from sightline.llm import exact_dedup
+from sightline.llm import decontaminate, exact_dedup, licenses
 
 
 def queries() -> dict:
     return {
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op10_license_scan": licenses.op10_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_exact_dedup": exact_dedup.SQL,
+        "op7_decontaminate": decontaminate.SQL,
     }
