@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sightline.llm import decontaminate, exact_dedup, licenses
+from sightline.llm import decontaminate, exact_dedup, licenses, token_counts, token_files
 
 
 def queries() -> dict:
     return {
+        "op2_token_counts": token_counts.op2_token_counts,
+        "op5_token_files": token_files.op5_token_files,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op10_license_scan": licenses.op10_license_scan,

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sightline.llm.tokens import ODD, Encoder, batches
+from sightline.llm.tokens import Encoder, batches, encoder
 
 
 @dataclass
@@ -92,20 +92,20 @@ def token_counts(
     schema = pa.schema(fields)
 
     def run(it):
-        encoder = Encoder(tokenizer_path)
+        enc = encoder(tokenizer_path)
         for b in it:
             ids, column = b.column(0), b.column(1)
             lengths = pa.compute.binary_length(column).fill_null(0).to_pylist()
-            for i, j in batches(lengths, 4_000_000, int):
+            for i, j in batches(lengths, 4_000_000):
                 texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
                 rows = [[] for _ in fields]
                 if tables:
-                    for c in prefix_counts(texts, encoder):
+                    for c in prefix_counts(texts, enc):
                         k = int(np.searchsorted(c.before, limit, "right")) - 1
                         for r, v in zip(rows[2:], (c.total, c.total > limit, int(c.starts[k]), c.starts, c.before)):
                             r.append(v)
                 else:
-                    for r, v in zip(rows[2:], _answers(texts, encoder, limit)):
+                    for r, v in zip(rows[2:], _answers(texts, enc, limit)):
                         r.extend(v)
                 rows[0], rows[1] = ids.slice(i, j - i), lengths[i:j]
                 yield pa.RecordBatch.from_arrays([pa.array(r, t) if not isinstance(r, pa.Array) else r for r, (_, t) in zip(rows, fields)], schema=schema)
@@ -137,6 +137,3 @@ def op2_token_counts(spark, sf_dir: str) -> DataFrame:
     return token_counts(
         spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json")
     )
-
-
-__all__ = ["ODD", "PrefixCounts", "op2_token_counts", "prefix_counts", "token_counts"]

@@ -1,4 +1,4 @@
-"""Tokenizing in tasks: each distinct piece of a batch goes through the tokenizer library once.
+"""Tokenizing in tasks: each distinct piece of text goes through the tokenizer library once.
 
 A piece is a run of ASCII blanks with the non-blank run behind it.  The two tokenizers that are
 used here never join what lies on both sides of such a boundary (their pre-tokenizers break where a
@@ -10,69 +10,114 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 #: A piece; together the pieces are the whole text.
 PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
 #: Characters that some regular-expression engines count as blanks and others don't.
-ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
+ODD = re.compile(
+    "[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
+)
 #: Distinct pieces that a worker remembers before it starts anew; a bound on memory only.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Pieces that can go to the library many in one string, as their tokens can be told apart.
+PLAIN_BEGIN = re.compile(r" [A-Za-z\xdf-\xf6\xf8-\xff]+[.,;:!?]*")
+PLAIN_END = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+([.,;:!?]*)")
 
 
-@functools.cache
-def tokenizer(path: str):
-    """The library's tokenizer, once per worker process, without threads of its own."""
-    import os
+class _Index(dict):
+    """Number of each piece; an unknown one gets the next number and is noted in ``new``."""
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
 
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t
+    def __missing__(self, piece: str) -> int:
+        self[piece] = i = len(self)
+        self.new.append(piece)
+        return i
 
 
 class Encoder:
-    """Token ids of whole texts, with a memory of pieces."""
+    """Token ids of whole texts, with a memory of pieces.
+
+    A vocabulary with word-end marks drops white space and case; its pieces are blank-separated
+    words in lower-case ASCII.  Any other is taken to be byte-level, with blanks kept.
+    """
 
     def __init__(self, path: str):
-        self.path = path
-        self.t = tokenizer(path)
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.t = Tokenizer.from_file(path)
+        self.t.no_truncation()
+        self.t.no_padding()
+        vocab = self.t.get_vocab()
+        self.ends = any(k.endswith("</w>") for k in vocab)
+        self.mark = np.zeros(max(vocab.values()) + 1, bool)
+        self.mark[[i for k, i in vocab.items() if (k.endswith("</w>") if self.ends else k.startswith("Ġ"))]] = True
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
-    def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces)
-        got = [x.ids for x in self.t.encode_batch_fast(new, add_special_tokens=False)]
+    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [x.ids for x in self.t.encode_batch_fast(pieces, add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        at = len(self.index)
-        self.index.update(zip(new, range(at, at + len(new))))
-        flat = np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+
+    def _together(self, pieces: list[str], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``words``: marked tokens that each piece has."""
+        joined = [(" " if self.ends else "").join(pieces[i : i + 1000]) for i in range(0, len(pieces), 1000)]
+        got = [x.ids for x in self.t.encode_batch_fast(joined, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, sum(map(len, got)))
+        at = np.flatnonzero(self.mark[flat])
+        last = np.cumsum(words)
+        if len(at) != (last[-1] if len(last) else 0):
+            return self._alone(pieces)
+        cuts = np.concatenate([[0], at[last - 1] + 1]) if self.ends else np.concatenate([at, [len(flat)]])
+        return flat, np.diff(cuts)
+
+    def _learn(self) -> None:
+        new, self.index.new = self.index.new, []
+        plain = (PLAIN_END if self.ends else PLAIN_BEGIN).fullmatch
+        found = [plain(p) for p in new]
+        easy = np.fromiter((m is not None for m in found), bool, len(new))
+        words = np.fromiter((2 if self.ends and m[1] else 1 for m in found if m), np.int64, int(easy.sum()))
+        a, an = self._together([p for p, m in zip(new, found) if m], words)
+        b, bn = self._alone([p for p, m in zip(new, found) if not m])
+        sizes = np.zeros(len(new), np.int64)
+        sizes[easy], sizes[~easy] = an, bn
+        flat = np.zeros(int(sizes.sum()), np.uint32)
+        of_easy = np.repeat(easy, sizes)
+        flat[of_easy], flat[~of_easy] = a, b
         self.ids = np.concatenate([self.ids, flat])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
 
+    def _split(self, text: str) -> list[str]:
+        if ODD.search(text):
+            return [text]
+        if not self.ends:
+            return PIECE.findall(text)
+        if "<|" not in text:
+            text = text.encode().lower().decode()
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
     def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        """Indices of all pieces of all texts on end, the number of pieces of each text, the pieces."""
+        """Numbers of all pieces of all texts on end, the count of pieces of each text, the pieces."""
         if len(self.index) > REMEMBERED:
             self.reset()
-        split = [[t] if t and ODD.search(t) else PIECE.findall(t) for t in texts]
-        unknown: set[str] = set()
-        for p in split:
-            unknown.update(p)
-        unknown -= self.index.keys()
-        if unknown:
-            self._learn(unknown)
+        split = [self._split(t) for t in texts]
         n = np.fromiter(map(len, split), np.int64, len(split))
-        get = self.index.__getitem__
-        flat = np.fromiter((i for p in split for i in map(get, p)), np.int64, int(n.sum()))
+        flat = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        if self.index.new:
+            self._learn()
         return flat, n, split
 
     def counts(self, flat: np.ndarray) -> np.ndarray:
@@ -82,22 +127,26 @@ class Encoder:
         """All ids on end, and the number of ids of each text."""
         flat, n, _ = self.pieces(texts)
         size = self.counts(flat)
-        total = int(size.sum())
         ends = np.cumsum(size)
-        # position in self.ids of each output id
-        at = np.arange(total, dtype=np.int64) + np.repeat(self.starts[flat] - (ends - size), size)
+        at = np.arange(int(size.sum()), dtype=np.int64) + np.repeat(self.starts[flat] - (ends - size), size)
         cum = np.concatenate([[0], ends])
         bounds = np.concatenate([[0], np.cumsum(n)])
         return self.ids[at], cum[bounds[1:]] - cum[bounds[:-1]]
 
 
-def batches(texts: list, chars: int, length: Callable[[object], int] = len):
-    """(first, last) slices of ``texts`` of about ``chars`` characters; a long text is a slice of its own."""
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, which serves many tasks."""
+    return Encoder(path)
+
+
+def batches(lengths: list[int], most: int):
+    """(first, last) slices of about ``most`` units of length; a long text is a slice of its own."""
     first = size = 0
-    for i, t in enumerate(texts):
-        size += length(t)
-        if size >= chars:
+    for i, n in enumerate(lengths):
+        size += n
+        if size >= most:
             yield first, i + 1
             first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+    if first < len(lengths):
+        yield first, len(lengths)
