@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from sightline.llm import decontaminate, exact_dedup, licenses, token_counts, token_files
+from sightline.llm import (
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    licenses,
+    substring_dedup,
+    token_counts,
+    token_files,
+)
 
 
 def queries() -> dict:
     return {
         "op2_token_counts": token_counts.op2_token_counts,
+        "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_token_files": token_files.op5_token_files,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_license_scan": licenses.op10_license_scan,
     }
 
