@@ -6,6 +6,7 @@ from sightline.llm import (
     decontaminate,
     exact_dedup,
     jaccard_join,
+    language_id,
     licenses,
     substring_dedup,
     token_counts,
@@ -16,6 +17,7 @@ from sightline.llm import (
 def queries() -> dict:
     return {
         "op2_token_counts": token_counts.op2_token_counts,
+        "op3_language_id": language_id.op3_language_id,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_token_files": token_files.op5_token_files,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
