@@ -11,11 +11,13 @@ from sightline.llm import (
     substring_dedup,
     token_counts,
     token_files,
+    wrapper,
 )
 
 
 def queries() -> dict:
     return {
+        "op1_html_text": wrapper.op1_html_text,
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_language_id": language_id.op3_language_id,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
