@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from sightline.llm.wordhash import Words, column, runs, slices
 from sightline.sources.work import cut
 
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 6_000_000
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
 
