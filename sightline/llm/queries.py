@@ -8,6 +8,7 @@ from sightline.llm import (
     jaccard_join,
     language_id,
     licenses,
+    mixing,
     substring_dedup,
     token_counts,
     token_files,
@@ -24,6 +25,7 @@ def queries() -> dict:
         "op5_token_files": token_files.op5_token_files,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_mixing": mixing.op8_mixing,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_license_scan": licenses.op10_license_scan,
     }

@@ -47,16 +47,20 @@ class Words:
     """``start``, ``end``: byte offsets of each word in ``data``; ``hash``: of its bytes;
     ``first``: number of the first word of each text (one more entry at the end)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, solid_bytes: np.ndarray | None = None):
         """``data``: bytes (uint8); ``offsets``: where each text begins, and the end of the last.
-        Words are runs of other bytes than 32 and 9 to 13; with ``lower``, A-Z count as a-z."""
+        Words are runs of other bytes than 32 and 9 to 13, or of those that ``solid_bytes`` (256
+        flags) has; with ``lower``, A-Z count as a-z."""
         data = data[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
         self.data, self.offsets = data, offsets
         n = len(data)
         solid = np.ones(n + 2, bool)
         solid[0] = solid[-1] = False
-        solid[1:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        if solid_bytes is None:
+            solid[1:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        else:
+            solid[1:-1] = solid_bytes[data]
         change = solid[1:] != solid[:-1]
         # a text's first byte begins a word even if the text before ends with one
         joint = offsets[1:-1]
