@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 from sightline.jobs import standins as s
 from sightline.operators import detections as d
 from sightline.operators import index as ix
+from sightline.operators import sampling as sp
+from sightline.operators import search as sr
+from sightline.operators import vectors as v
+from sightline.params import Params
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -130,10 +135,10 @@ def _capped(spark, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {s.DET}, {_CLEAN}
-SELECT video_id, frame_idx, cls_name, tiny, count(*) AS n, sum(conf) AS conf, sum(x1 + y2) AS boxes FROM clean GROUP BY ALL""")
+SELECT video_id, frame_idx, cls_name, tiny, count(*) AS n, round(sum(conf), 4) AS conf, sum(x1 + y2) AS boxes FROM clean GROUP BY ALL""")
 def clean_detections(spark, sf_dir: str) -> DataFrame:
     return d.clean(s.det(spark, sf_dir)).groupBy("video_id", "frame_idx", "cls_name", "tiny").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("conf").alias("conf"), F.sum(F.col("x1") + F.col("y2")).alias("boxes")
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("conf"), 4).alias("conf"), F.sum(F.col("x1") + F.col("y2")).alias("boxes")
     )
 
 
@@ -164,3 +169,172 @@ SELECT video_id, frame_idx, k, greatest(0, trunc((px1 + px2) / 2 - rside / 2)::I
        least(w, trunc((px1 + px2) / 2 + rside / 2)::INT) AS rx2, least(h, trunc((py1 + py2) / 2 + rside / 2)::INT) AS ry2 FROM rsq""")
 def recrop_boxes(spark, sf_dir: str) -> DataFrame:
     return d.recrop_boxes(d.crop_boxes(_capped(spark, sf_dir))).select("video_id", "frame_idx", "k", "rx1", "ry1", "rx2", "ry2")
+
+
+# ---- vectors and hits ----
+
+_COS = "round(list_dot_product(i.vector, q.vector) / (sqrt(list_dot_product(i.vector, i.vector)) * sqrt(list_dot_product(q.vector, q.vector))), 6)"
+
+
+def _pool_sql(k: int, variants: str = "('all')", window: str = "q.ts_from", camera: str = "q.camera_id") -> str:
+    """Common table expression ``pool``: the best ``k`` hits of each query and variant."""
+    return f"""{s.IDX}, {s.QUERY}, scored AS (
+  SELECT q.query_id, v.variant, q.label AS wanted, q.intent, i.*, {_COS} AS score,
+         {window} IS NULL OR (i.ts >= q.ts_from AND i.ts <= q.ts_to) AS inside
+  FROM qv q, idx i, (VALUES {variants}) v(variant)
+  WHERE ({camera} IS NULL OR i.camera_id = q.camera_id) AND (v.variant = 'all' OR i.source = v.variant)),
+pool AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, id) AS pos
+  FROM (SELECT *, bool_or(inside) OVER (PARTITION BY query_id, variant) AS any_inside FROM scored) WHERE inside = any_inside
+  QUALIFY pos <= {k})"""
+
+
+def _pool(spark, sf_dir: str, k: int, variants=("all",), window: bool = True, camera: bool = True) -> DataFrame:
+    q = s.query_vectors(spark, sf_dir)
+    asked = q.drop(*([] if window else ["ts_from", "ts_to"]), *([] if camera else ["camera_id"]))
+    hits = v.top_k(s.idx(spark, sf_dir), asked, k, variants, payload=("video_id", "frame_idx", "offset_s", "ts", "source", "yolo_class", "label"))
+    return hits.join(q.select("query_id", "intent", F.col("label").alias("wanted")), "query_id")
+
+
+@query("""SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x * 3 / greatest(sqrt(list_dot_product(
+  list_transform(embedding::DOUBLE[], lambda y: y * 3), list_transform(embedding::DOUBLE[], lambda y: y * 3))), 1e-12), 6)) AS unit
+FROM embeddings""")
+def l2_normalize(spark, sf_dir: str) -> DataFrame:
+    e = s.read(spark, sf_dir, "embeddings")
+    scaled = F.transform("embedding", lambda x: x.cast("double") * 3)
+    return e.select("vec_id", F.transform(v.l2_normalize(scaled), lambda x: F.round(x, 6)).alias("unit"))
+
+
+@query(f"WITH {_pool_sql(10, window='NULL', camera='NULL')} SELECT query_id, id, pos, score FROM pool")
+def cosine_topk(spark, sf_dir: str) -> DataFrame:
+    return _pool(spark, sf_dir, 10, window=False, camera=False).select("query_id", "id", "pos", "score")
+
+
+@query(f"WITH {_pool_sql(10, window='NULL')} SELECT query_id, id, pos, score, source, yolo_class FROM pool")
+def filtered_topk(spark, sf_dir: str) -> DataFrame:
+    return _pool(spark, sf_dir, 10, window=False).select("query_id", "id", "pos", "score", "source", "yolo_class")
+
+
+@query(f"WITH {_pool_sql(10)} SELECT query_id, id, pos, score, NOT any_inside AS time_dropped FROM pool")
+def topk_with_fallback(spark, sf_dir: str) -> DataFrame:
+    return _pool(spark, sf_dir, 10).select("query_id", "id", "pos", "score", "time_dropped")
+
+
+_THREE = "('all'), ('frame'), ('crop')"
+
+
+@query(f"WITH {_pool_sql(10, _THREE)} SELECT query_id, variant, id, pos, score FROM pool")
+def source_variants_topk(spark, sf_dir: str) -> DataFrame:
+    return _pool(spark, sf_dir, 10, ("all", "frame", "crop")).select("query_id", "variant", "id", "pos", "score")
+
+
+_RERANKED = f"""{_pool_sql(48, _THREE)}, stats AS (
+  SELECT *, avg(score) OVER w AS mu, stddev_pop(score) OVER w AS sd FROM pool WINDOW w AS (PARTITION BY query_id, variant)),
+reranked AS (
+  SELECT *, CASE WHEN intent = 'scene' AND sd >= 1e-6
+    THEN (score - mu) / sd + CASE WHEN source = 'frame' THEN 1.0 ELSE 0.0 END ELSE score END AS rank_score FROM stats)"""
+_ONE = f"""{_RERANKED}, one AS (
+  SELECT * FROM reranked QUALIFY row_number() OVER (
+    PARTITION BY query_id, variant, video_id, frame_idx ORDER BY rank_score DESC, score DESC, id) = 1)"""
+_THIN = f"""{_ONE}, folded AS (
+  SELECT query_id, variant, video_id, list_reduce(list({{'o': [offset_s], 'ids': [id]}} ORDER BY rank_score DESC, score DESC, id),
+    lambda a, x: CASE WHEN len(list_filter(a.o, lambda y: abs(y - x.o[1]) < 8.0)) > 0 THEN a
+                 ELSE {{'o': list_concat(a.o, x.o), 'ids': list_concat(a.ids, x.ids)}} END).ids AS ids
+  FROM one GROUP BY ALL),
+apart AS (SELECT o.* FROM one o JOIN (SELECT query_id, variant, unnest(ids) AS id FROM folded) f USING (query_id, variant, id)),
+thin AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY rank_score DESC, score DESC, id) AS rank FROM apart
+  QUALIFY rank <= 12)"""
+
+
+def _reranked(spark, sf_dir: str) -> DataFrame:
+    return sr.intent_rerank(_pool(spark, sf_dir, 48, ("all", "frame", "crop")))
+
+
+def _thin(spark, sf_dir: str) -> DataFrame:
+    return sr.thin(_reranked(spark, sf_dir))
+
+
+@query(f"WITH {_RERANKED} SELECT query_id, variant, id, round(rank_score, 6) AS rank_score FROM reranked")
+def intent_rerank(spark, sf_dir: str) -> DataFrame:
+    return _reranked(spark, sf_dir).select("query_id", "variant", "id", F.round("rank_score", 6).alias("rank_score"))
+
+
+@query(f"WITH {_ONE} SELECT query_id, variant, id, video_id, frame_idx FROM one")
+def frame_dedup(spark, sf_dir: str) -> DataFrame:
+    return sr.one_per_frame(_reranked(spark, sf_dir)).select("query_id", "variant", "id", "video_id", "frame_idx")
+
+
+@query(f"WITH {_THIN} SELECT query_id, variant, id, rank, offset_s FROM thin")
+def temporal_suppression(spark, sf_dir: str) -> DataFrame:
+    return _thin(spark, sf_dir).select("query_id", "variant", "id", "rank", "offset_s")
+
+
+_TIME = "strftime(make_timestamp((ts * 1000000)::BIGINT), '%Y-%m-%d %H:%M:%S')"
+
+
+@query(f"""WITH {_THIN}
+SELECT query_id, variant, rank, round(score, 3) + 0.0 AS score, source, video_id, {_TIME} AS time,
+  printf('%02d:%02d.%d', (round(offset_s * 10)::BIGINT // 600), (round(offset_s * 10)::BIGINT % 600) // 10, round(offset_s * 10)::BIGINT % 10) AS "offset"
+FROM thin""")
+def hit_listing(spark, sf_dir: str) -> DataFrame:
+    return sr.hit_listing(_thin(spark, sf_dir))
+
+
+GAP_S = 10 * 3600.0  # the stand-in's sightings are hours apart
+_EVENTS = f"""{s.SIGHT}, marked AS (
+  SELECT *, CASE WHEN ts - lag(ts) OVER w <= {GAP_S} THEN 0 ELSE 1 END AS new FROM sight WINDOW w AS (PARTITION BY video_id ORDER BY ts, id)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS event_no FROM marked),
+events_ AS (
+  SELECT video_id, event_no::BIGINT AS event_no, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n,
+         first(id ORDER BY score DESC, ts, id) AS rep_id, max(score) AS rep_score FROM numbered GROUP BY ALL)"""
+
+
+@query(f"WITH {_EVENTS} SELECT * FROM events_")
+def sighting_events(spark, sf_dir: str) -> DataFrame:
+    return sr.sighting_events(s.sight(spark, sf_dir), GAP_S)
+
+
+def _at(c: str) -> str:
+    return f"strftime(make_timestamp(({c} * 1000000)::BIGINT), '%Y-%m-%d %H:%M:%S')"
+
+
+@query(f"""WITH {_EVENTS} SELECT video_id, event_no, CASE WHEN n = 1 OR first_ts = last_ts THEN {_at('first_ts')}
+  ELSE {_at('first_ts')} || ' – ' || {_at('last_ts')} || ' (' || trunc(last_ts - first_ts)::INT || ' s, ' || n || ')' END AS label FROM events_""")
+def event_labels(spark, sf_dir: str) -> DataFrame:
+    return sr.event_labels(sr.sighting_events(s.sight(spark, sf_dir), GAP_S)).select("video_id", "event_no", "label")
+
+
+# ---- frame gate ----
+
+
+@query(f"""WITH RECURSIVE {s.SIGHT}, picked AS (
+  (SELECT video_id, min(ts) AS ts FROM sight GROUP BY video_id)
+  UNION ALL
+  SELECT p.video_id, (SELECT min(s.ts) FROM sight s WHERE s.video_id = p.video_id AND s.ts >= p.ts + 86400.0) FROM picked p WHERE p.ts IS NOT NULL)
+SELECT video_id, ts FROM picked WHERE ts IS NOT NULL""")
+def thin_candidates(spark, sf_dir: str) -> DataFrame:
+    rows = s.sight(spark, sf_dir).select("video_id", "ts").distinct()
+    return sp.thin(rows, 86400.0, t="ts")
+
+
+@query(f"""WITH {s.SIGHT}
+SELECT video_id, event_id, ts FROM sight
+QUALIFY row_number() OVER (PARTITION BY video_id, floor(ts / 3600) ORDER BY ts, event_id) <= 1 OR class = 'error'""")
+def hourly_cap(spark, sf_dir: str) -> DataFrame:
+    rows = s.sight(spark, sf_dir)
+    return sp.hourly_cap(rows, 1, t="ts", exempt=F.col("class") == "error", ties=("event_id",)).select("video_id", "event_id", "ts")
+
+
+GRID_GATE = Params(pixel_threshold=30.0, keep_ratio=0.3, dedup_ratio=0.15, global_ratio=0.6, min_blob=2, anchor_s=10.0)
+
+
+@query()
+def gate_frames(spark, sf_dir: str) -> DataFrame:
+    return sp.gate_frames(s.grids(spark, sf_dir), GRID_GATE, blur=False)
+
+
+@query()
+def gate_funnel(spark, sf_dir: str) -> DataFrame:
+    sets = {"usual": GRID_GATE, "strict": replace(GRID_GATE, keep_ratio=0.4), "loose": replace(GRID_GATE, keep_ratio=0.1)}
+    return sp.gate_funnel(s.grids(spark, sf_dir), sets, blur=False)

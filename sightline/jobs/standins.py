@@ -102,3 +102,43 @@ def sight(spark: SparkSession, sf_dir: str) -> DataFrame:
 SIGHT = """sight AS (
   SELECT 'u' || user_id AS video_id, epoch_us(ts) / 1e6 AS ts, event_id::VARCHAR AS id, value AS score,
          event_type AS class, event_id FROM events)"""
+
+
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first embeddings as queries; every third has a time window, every fourth a camera."""
+    q = idx(spark, sf_dir).where(F.col("vec_id") < MEMBERS)
+    start = F.when(F.col("vec_id") % 6 == 0, F.lit(BASE_TS + 20.0)).when(F.col("vec_id") % 6 == 3, F.lit(10.0))
+    return q.select(
+        F.concat(F.lit("q"), F.lpad(F.col("vec_id").cast("string"), 3, "0")).alias("query_id"),
+        "vector",
+        start.alias("ts_from"),
+        (start + 30.0).alias("ts_to"),
+        F.when(F.col("vec_id") % 4 == 1, "c1").alias("camera_id"),
+        "label",
+        F.when(F.col("vec_id") % 2 == 0, "scene").otherwise("object").alias("intent"),
+    )
+
+
+_START = f"CASE WHEN vec_id % 6 = 0 THEN {BASE_TS + 20.0}::DOUBLE WHEN vec_id % 6 = 3 THEN 10.0::DOUBLE END"
+QUERY = f"""qv AS (
+  SELECT 'q' || lpad(vec_id::VARCHAR, 3, '0') AS query_id, vector, {_START} AS ts_from, {_START} + 30.0 AS ts_to,
+         CASE WHEN vec_id % 4 = 1 THEN 'c1' END AS camera_id, label,
+         CASE WHEN vec_id % 2 = 0 THEN 'scene' ELSE 'object' END AS intent
+  FROM idx WHERE vec_id < {MEMBERS})"""
+
+
+def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 8 x 8 gray values from embeddings, half a second apart in each of five videos."""
+    e = read(spark, sf_dir, "embeddings")
+    byte = lambda x: F.unhex(F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x + 0.5) * 255).cast("int")))), 2, "0"))
+    gray = F.aggregate("embedding", F.lit(b""), lambda a, x: F.concat(a, byte(x)))
+    n = F.floor(F.col("vec_id") / 5)
+    return e.select(
+        F.concat(F.lit("v"), (F.col("vec_id") % 5).cast("string")).alias("video_id"),
+        n.alias("frame_idx"),
+        (n * 0.5).alias("t"),
+        F.lit(8).alias("w"),
+        F.lit(8).alias("h"),
+        gray.alias("gray"),
+        F.lit(float(BASE_TS)).alias("base_ts"),
+    )
