@@ -142,3 +142,45 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
         gray.alias("gray"),
         F.lit(float(BASE_TS)).alias("base_ts"),
     )
+
+
+NOW = "2024-03-10 15:30:00"
+#: Our own query phrases; each conversation turn gets one before its text.
+PHRASES = (
+    "dün gece kapıdan giren beyaz araba",
+    "saat 9:05 gibi geçen kırmızı kamyon var mı?",
+    "dün saat 22 civarı duran otobüsler",
+    "son 3 saatte yürüyen insan göster",
+    "SON 30 DAKİKA içinde kedi",
+    "bugün gelen motosikletli adam",
+    "otoparkta bekleyen kadın",
+    "araçlarla dolu otopark",
+    "siyah köpek gezdiren çocuk bul",
+    "karanlık yol",
+    "Bisiklet süren yaya nerede?",
+    "dün sabah mavi sedan",
+    "bu akşamüstü kavşak",
+    "bir erkek ve tır",
+    "bu gece yağmur",
+    "taşıt geçti mi",
+    "dün, (pembe) SUV!",
+)
+
+
+def phr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query texts with the moment they are asked at."""
+    c = read(spark, sf_dir, "conversations")
+    n = (F.col("conv_id") * 5 + F.col("turn")) % len(PHRASES)
+    phrase = F.get(F.array(*[F.lit(p) for p in PHRASES]), n.cast("int"))
+    return c.select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"),
+        F.concat(phrase, F.when(F.col("turn") % 2 == 1, F.concat(F.lit(" "), F.col("text"))).otherwise("")).alias("raw_query"),
+        F.lit(NOW).cast("timestamp").alias("now"),
+    )
+
+
+_QUOTED = ", ".join("'" + p.replace("'", "''") + "'" for p in PHRASES)
+PHR = f"""phr AS (
+  SELECT conv_id || ':' || turn AS query_id, ([{_QUOTED}])[(conv_id * 5 + turn) % {len(PHRASES)} + 1]
+         || CASE WHEN turn % 2 = 1 THEN ' ' || text ELSE '' END AS raw_query, TIMESTAMP '{NOW}' AS now
+  FROM conversations)"""
