@@ -105,16 +105,24 @@ def tokens(q: Column) -> Column:
 
 
 def _starts(t: Column, roots) -> Column:
-    return reduce(lambda a, b: a | b, (t.startswith(r) for r in roots))
+    return t.rlike(f"^(?:{'|'.join(roots)})")
 
 
 def _first(t: Column, table) -> Column:
-    """Value of the first root of ``table`` that the token begins with; null for none."""
-    return F.coalesce(*[F.when(t.startswith(root), value) for root, value in table])
+    """Value of the first root of ``table`` that the token begins with; null for none.
+
+    One regular expression for all roots: alternatives are tried in the order of the table.
+    """
+    values = F.create_map(*[F.lit(x) for row in dict(reversed(table)).items() for x in row])
+    return F.try_element_at(values, F.regexp_extract(t, f"^({'|'.join(r for r, _ in table)})", 1))
 
 
 def _class_of(t: Column) -> Column:
-    return F.coalesce(_first(t, CLASS_ROOTS), *[F.when(t == w, c) for w, c in CLASS_WORDS])
+    return F.coalesce(_first(t, CLASS_ROOTS), _word(t, CLASS_WORDS))
+
+
+def _word(t: Column, table) -> Column:
+    return F.coalesce(*[F.when(t == w, v) for w, v in table])
 
 
 # ---- time ----
@@ -167,13 +175,17 @@ def generic_vehicle(text: Column) -> Column:
 
 def _token_kind(t: Column) -> Column:
     """``object`` or ``scene``, if the token is one and carries no case ending; else null."""
-    ends = lambda rest: reduce(lambda a, b: a | b, (rest.endswith(e) for e in CASE_ENDINGS))
-    rule = [(r, "object") for r, _ in CLASS_ROOTS]
-    word = [F.when(t == w, F.lit("object")) for w, _ in CLASS_WORDS]
     tail = [(r, "object") for r in VEHICLE_ROOTS] + [(r, "scene") for r in SCENE_ROOTS]
     # a root that matches settles the token, so a token in an oblique case gives "adjunct"
-    by_root = lambda rows: [F.when(t.startswith(r), F.when(ends(F.substring(t, len(r) + 1, 99)), "adjunct").otherwise(k)) for r, k in rows]
-    return F.coalesce(*by_root(rule), *word, *by_root(tail))
+
+    def by_root(rows) -> Column:
+        root = F.regexp_extract(t, f"^({'|'.join(r for r, _ in rows)})", 1)
+        rest = F.substring(t, F.length(root) + 1, F.length(t))
+        kind = F.try_element_at(F.create_map(*[F.lit(x) for row in rows for x in row]), root)
+        return F.when(root != "", F.when(rest.rlike(f"(?:{'|'.join(CASE_ENDINGS)})$"), "adjunct").otherwise(kind))
+
+    classes = [(r, "object") for r, _ in CLASS_ROOTS]
+    return F.coalesce(by_root(classes), _word(t, [(w, "object") for w, _ in CLASS_WORDS]), by_root(tail))
 
 
 def intent(text: Column) -> Column:
