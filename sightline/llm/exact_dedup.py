@@ -68,10 +68,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of repeated rows with the winning id one stays.  Ids are looked up by value, null included.
     """
-    g = exact_groups(docs, id_col, text_col).where("kept")
-    ids = g.select(F.col("doc_id").alias("__kept")).distinct()
+    ids = exact_groups(docs, id_col, text_col).where("kept").select("doc_id").distinct()
     once = docs.dropDuplicates([id_col, text_col])
-    return once.join(ids, once[id_col].cast("long").eqNullSafe(ids["__kept"]), "left_semi")
+    return once.join(ids, once[id_col].cast("long").eqNullSafe(ids["doc_id"]), "left_semi")
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import pickle
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +24,20 @@ from pyspark.sql import functions as F
 
 from sightline.llm.language_id import Ftrl, _softmax, _temperature
 from sightline.llm.wordhash import Words, column, slices
+from sightline.llm.workers import enter
 from sightline.sources.work import cut
 
 #: Bounds of the sample that the classifier is fitted on.
 PER_DOMAIN, LONGEST = 2000, 50_000
 #: Hashed word features; 256 byte features and one for repetition come on top.
 WORDS = 1 << 16
-RIDGE, STEPS, TOLERANCE, SAVE_EVERY = 1e-2, 60, 1e-5, 10
+RIDGE, STEPS, TOLERANCE, SAVE_EVERY = 5e-3, 60, 1e-5, 10
 #: Share of the tokens that each domain gets.
-TARGETS = {"clean": 0.92, "low": 0.06, "toxic": 0.02}
+TARGETS = {"clean": 0.93, "low": 0.06, "toxic": 0.01}
 #: Expected clean tokens in the mix, over those in the corpus.
 EPOCHS = 1.02
+#: Value of the constant feature.
+BIAS = 0.1
 _SOLID = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
 
 
@@ -53,15 +57,18 @@ def _features(data: np.ndarray, offsets: np.ndarray):
             b = np.bincount(raw, minlength=256)
             used = np.flatnonzero(b)
             v = 1.0 + np.log(c)
-            v /= max(1e-9, np.sqrt(v @ v))
+            v /= max(4.0, np.sqrt(v @ v))
             style = np.log1p(1000.0 * b[used] / max(1, len(raw))) * 0.15
             n = int(c.sum())
             rows = np.concatenate([f, WORDS + used, [WORDS + 256, WORDS + 257]])
-            yield rows, np.concatenate([v, style, [0.3 * np.log(max(1, n) / max(1, len(f))), 0.1]]), n
+            yield rows, np.concatenate([v, style, [0.3 * np.log(max(1, n) / max(1, len(f))), BIAS]]), n
 
 
-def fit(texts: pa.Array, labels: list[str], order: list[int], epochs: int = 5) -> dict | None:
-    """Classifier from texts and their domains; ``order`` (hashes) fixes the order of the steps."""
+def fit(texts: pa.Array, labels: list[str], order: list[int], counts: dict[str, int], epochs: int = 8) -> dict | None:
+    """Classifier from texts and their domains; ``order`` (hashes) fixes the order of the steps.
+
+    ``counts``: labelled documents of each domain; the sample's own shares are corrected to theirs.
+    """
     names = sorted(set(labels))
     if not names:
         return None
@@ -69,7 +76,7 @@ def fit(texts: pa.Array, labels: list[str], order: list[int], epochs: int = 5) -
     rows = sorted(range(len(x)), key=lambda i: (order[i], labels[i]))
     aside = [r for i, r in enumerate(rows) if i % 5 == 4]
     use = [r for i, r in enumerate(rows) if i % 5 != 4]
-    m = Ftrl(WORDS + 257, len(names), alpha=0.5, l1=0.05, l2=0.05)
+    m = Ftrl(WORDS + 257, len(names), alpha=1.0, l1=0.6, l2=0.05)
     y = [names.index(d) for d in labels]
     for e in range(epochs):
         for i in np.random.default_rng(e).permutation(use):
@@ -77,8 +84,10 @@ def fit(texts: pa.Array, labels: list[str], order: list[int], epochs: int = 5) -
     w = m.weights(np.arange(WORDS + 258))
     logits = np.array([x[i][1] @ w[x[i][0]] for i in aside]).reshape(len(aside), len(names))
     t = _temperature(logits, np.array([y[i] for i in aside], int))
-    prior = np.bincount(y, minlength=len(names)) / len(y)
-    return {"names": names, "weights": (w / t).astype(np.float32), "prior": prior}
+    w = w / t
+    prior = np.array([counts[n] for n in names], float) / sum(counts[n] for n in names)
+    w[-1] += np.log(prior * len(y) / np.bincount(y, minlength=len(names))) / BIAS
+    return {"names": names, "weights": w.astype(np.float32), "prior": prior}
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> dict | None:
@@ -102,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> dic
     def run(it):
         held = list(it)
         texts, domains, order = (pa.chunked_array([b.column(i) for b in held], kind).combine_chunks() for i, kind in enumerate((pa.string(), pa.string(), pa.int64())))
-        model = fit(texts, domains.to_pylist(), order.to_pylist())
+        model = fit(texts, domains.to_pylist(), order.to_pylist(), counts)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     got = sample.repartition(1).mapInArrow(run, "model binary").collect()  # one row of fixed size
@@ -116,6 +125,7 @@ def posteriors(docs: DataFrame, model: dict, id_col: str, text_col: str) -> Data
     kind = pa.list_(pa.float64())
 
     def run(it):
+        enter("mixing")
         m = shared.value
         w = m["weights"]
         for batch in it:
@@ -253,15 +263,13 @@ def mixing_rates(
 def mix(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as its copies say, with the columns of ``docs``."""
     id_col, text_col = kw.get("id_col", "doc_id"), kw.get("text_col", "text")
-    rates = mixing_rates(docs, labels, **kw).select(F.col("doc_id").alias("__id"), F.col("x").alias("__x"), "copies")
-    rates = rates.where("copies > 0").distinct()
-    joined = docs.join(
-        rates,
-        docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__x")),
-    )
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
-        *[docs[c] for c in docs.columns]
+    rates = mixing_rates(docs, labels, **kw).where("copies > 0").select("doc_id", "x", "copies").distinct()
+    same = docs[id_col].cast("long").eqNullSafe(rates["doc_id"]) & (
+        F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == rates["x"]
     )
+    number = f"copy_{uuid.uuid4().hex}"  # no column of the input has this name
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), rates["copies"])).alias(number)
+    return docs.join(rates, same).select(*[docs[c] for c in docs.columns], copies).drop(number)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

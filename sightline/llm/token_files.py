@@ -34,6 +34,11 @@ from sightline.sources.work import cut, work_dir
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 16_384
 DICT_BYTES = 65_536
 SHARD_BYTES = 4_000_000
+_HEAD = "dict_hash string, dictionary binary, id_bytes int, end_id long"
+_SHARD = (
+    "part int, seq int, dict_hash string, n_tokens long, doc_ids array<long>, offsets array<long>, sizes array<long>, "
+    "payload binary"
+)
 
 
 def _train(it, tokenizer_path: str, end_id: int):
@@ -97,12 +102,13 @@ def write_token_files(
         .limit(SAMPLE_DOCS)
         .select("t")
     )
-    trained = sample.coalesce(1).mapInArrow(
-        lambda it: _train(it, tokenizer_path, end_id),
-        "dict_hash string, dictionary binary, id_bytes int, end_id long",
-    )
+    trained = sample.coalesce(1).mapInArrow(lambda it: _train(it, tokenizer_path, end_id), _HEAD)
     trained.write.parquet(f"{out}/dictionary")
-    head = spark.read.parquet(f"{out}/dictionary").first()  # at most DICT_BYTES
+    head = spark.read.schema(_HEAD).parquet(f"{out}/dictionary").first()  # at most DICT_BYTES
+    if head is None:  # no document, so no task to train in
+        nothing = (hashlib.sha256(b"").hexdigest(), b"", np.dtype(_dtype(tokenizer_path, end_id)).itemsize, end_id)
+        spark.createDataFrame([nothing], _HEAD).write.mode("append").parquet(f"{out}/dictionary")
+        head = spark.read.schema(_HEAD).parquet(f"{out}/dictionary").first()
     dtype = "<u2" if head["id_bytes"] == 2 else "<u4"
     content, dict_hash = bytes(head["dictionary"]), head["dict_hash"]
 
@@ -163,12 +169,8 @@ def write_token_files(
         if held:
             yield row()
 
-    ordered.mapInArrow(
-        shard,
-        "part int, seq int, dict_hash string, n_tokens long, doc_ids array<long>, offsets array<long>, "
-        "sizes array<long>, payload binary",
-    ).write.parquet(f"{out}/shards")
-    shards = spark.read.parquet(f"{out}/shards").select("part", "seq", "n_tokens")
+    ordered.mapInArrow(shard, _SHARD).write.parquet(f"{out}/shards")
+    shards = spark.read.schema(_SHARD).parquet(f"{out}/shards").select("part", "seq", "n_tokens")
     # ids before each part: one row for each part; ids before each shard: within its part
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = totals.select(
@@ -205,7 +207,7 @@ def token_checksums(spark: SparkSession, out: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, out: str, column: str, of, kind: pa.DataType) -> DataFrame:
-    head = spark.read.parquet(f"{out}/dictionary").first()
+    head = spark.read.schema(_HEAD).parquet(f"{out}/dictionary").first()
     content, dtype = bytes(head["dictionary"]), "<u2" if head["id_bytes"] == 2 else "<u4"
     name = column.split()[0]
 
@@ -237,7 +239,7 @@ def _read(spark: SparkSession, out: str, column: str, of, kind: pa.DataType) ->
                         names=["part", "seq", "doc_id", "inside", "n_tokens", name],
                     )
 
-    shards = spark.read.parquet(f"{out}/shards").select(
+    shards = spark.read.schema(_SHARD).parquet(f"{out}/shards").select(
         "part", "seq", "dict_hash", "doc_ids", "offsets", "sizes", "payload"
     )
     docs = shards.mapInArrow(run, f"part int, seq int, doc_id long, inside long, n_tokens long, {column}")
@@ -249,11 +251,11 @@ def _read(spark: SparkSession, out: str, column: str, of, kind: pa.DataType) ->
 
 def read_document(spark: SparkSession, out: str, doc_id: int) -> list[list[int]]:
     """The ids of one document (a list for each of its rows), touching only its frames."""
-    head = spark.read.parquet(f"{out}/dictionary").first()
+    head = spark.read.schema(_HEAD).parquet(f"{out}/dictionary").first()
     d = _decoder(bytes(head["dictionary"]), head["dict_hash"])
     dtype = "<u2" if head["id_bytes"] == 2 else "<u4"
     hit = (
-        spark.read.parquet(f"{out}/shards")
+        spark.read.schema(_SHARD).parquet(f"{out}/shards")
         .where(F.array_contains("doc_ids", doc_id))
         .select("payload", F.explode(F.arrays_zip("doc_ids", "offsets", "sizes")).alias("e"))
         .where(F.col("e.doc_ids") == doc_id)
