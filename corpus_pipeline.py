@@ -19,10 +19,6 @@ from sightline.sources.work import work_dir
 LEAST_SCORE = 0.4
 
 
-def _row_hash(docs: DataFrame):
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-
-
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that the classifier knows; texts that are null, have no letters or
     resemble no language go.  ``lang`` becomes the prediction where it was null."""
@@ -30,26 +26,29 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
     )
     # one prediction for each id; rows of one id with different texts are judged by their likeliest
-    found = found.groupBy(F.col("doc_id").alias("__id")).agg(F.max_by("lang_pred", "score").alias("__lang"))
-    kept = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    lang = F.coalesce(F.col("lang"), F.col("__lang")).alias("lang")
-    return kept.where(F.col("text").rlike(r"\p{L}")).select(*[lang if c == "lang" else docs[c] for c in docs.columns])
+    found = found.groupBy("doc_id").agg(F.max_by("lang_pred", "score").alias("lang"))
+    kept = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]))
+    lang = F.coalesce(docs["lang"], found["lang"]).alias("lang")
+    return kept.where(docs["text"].rlike(r"\p{L}")).select(*[lang if c == "lang" else docs[c] for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8): that with the group's
     smallest id.  Of repeated rows of it one stays."""
     groups = jaccard_join.jaccard_components(docs, k=5, percent=80)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(first["doc_id"])
+    return docs.join(first, same, "left_semi").dropDuplicates(["doc_id"])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     _, occurrences = decontaminate.contained_windows(docs, benchmark)
-    hit = occurrences.select(F.col("doc_id").alias("__id"), F.col("x").alias("__x")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (_row_hash(docs) == F.col("__x"))
+    hit = occurrences.select("doc_id", "x").distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(hit["doc_id"]) & (
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hit["x"]
+    )
     return docs.join(hit, same, "left_anti")
 
 
