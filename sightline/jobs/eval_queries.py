@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.functions import querytext
 from sightline.jobs import standins as s
-from sightline.jobs.queries import _pool, _pool_sql, _THIN, _thin, query
-from sightline.jobs.search_queries import _answers, _FUSED, _fused, _thin as _thinned, _with_targets  # noqa: F401
+from sightline.jobs.queries import _THIN, _pool, _pool_sql, _thin, query
+from sightline.jobs.search_queries import _FUSED, _answers, _fused, _with_targets
+from sightline.jobs.text_queries import _KIND, _PARSED
 from sightline.operators import evaluation as ev
 from sightline.operators import search as sr
 
@@ -280,3 +282,40 @@ def answer_tally(spark, sf_dir: str) -> DataFrame:
 SELECT count(*) AS repeated, count(*) FILTER (said = 0 OR (said = times AND lo = hi)) AS agreeing FROM per""")
 def repeat_agreement(spark, sf_dir: str) -> DataFrame:
     return ev.repeat_agreement(_tallied(spark, sf_dir), ("id", "kind"))
+
+
+@query(f"""WITH {_THIN}, {_LABELS}, {_TOPS} SELECT query_id, category, gated, top1_score, top1_class
+FROM lab LEFT JOIN tops USING (query_id) WHERE gt_type = 'negatif'""")
+def eval_negative_detail(spark, sf_dir: str) -> DataFrame:
+    labels = _labels(spark, sf_dir)
+    return ev.negative_detail(labels.drop("gated"), ev.top_hits(_thin(spark, sf_dir)), labels)
+
+
+# ---- query texts ----
+
+
+@query(rf"""WITH {_PARSED} SELECT query_id, CASE WHEN split_part(query_id, ':', 2)::INT % 2 = 0 THEN 'zaman' ELSE 'scene' END AS gt_type, visual_text,
+  trim(regexp_replace(phrase, '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_'']+$', '', 'g')) AS time_phrase
+FROM parsed WHERE split_part(query_id, ':', 2)::INT % 2 = 0 OR contains(lower(raw_query), 'gece')""")
+def time_audit(spark, sf_dir: str) -> DataFrame:
+    rows = s.phr(spark, sf_dir)
+    turn = F.substring_index("query_id", ":", -1).cast("int")
+    labels = rows.select("query_id", F.when(turn % 2 == 0, "zaman").otherwise("scene").alias("gt_type"))
+    return ev.time_audit(querytext.parse_time(rows), labels)
+
+
+@query(f"""WITH {_PARSED}, kinds AS (SELECT query_id, coalesce(list_filter(list_transform(tok, lambda t: {_KIND}), lambda k: k IS NOT NULL AND k <> 'adjunct')[-1], 'neutral') AS predicted,
+  CASE WHEN contains(raw_query, 'otopark') THEN 'scene' ELSE 'object' END AS expected FROM tok)
+SELECT round(avg((predicted = expected)::INT), 6) AS accuracy, count(*) AS n, coalesce(string_agg(query_id, ',' ORDER BY query_id) FILTER (predicted <> expected), '') AS differing FROM kinds""")
+def intent_accuracy(spark, sf_dir: str) -> DataFrame:
+    parsed = querytext.parse(s.phr(spark, sf_dir))
+    expected = F.when(F.contains("raw_query", F.lit("otopark")), "scene").otherwise("object")
+    out = ev.accuracy(parsed.select("query_id", F.col("intent").alias("predicted"), expected.alias("expected")))
+    return out.withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("""SELECT event_type AS kind, count(*) AS n, median(value) AS median, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean
+FROM events GROUP BY event_type""")
+def call_latency(spark, sf_dir: str) -> DataFrame:
+    calls = s.read(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("value").alias("seconds"))
+    return ev.latency(calls).withColumn("mean", F.round("mean", 6))

@@ -252,3 +252,9 @@ def latency(calls: DataFrame, column: str = "seconds") -> DataFrame:
     return calls.groupBy("kind").agg(
         F.count(F.lit(1)).alias("n"), F.median(column).alias("median"), F.min(column).alias("least"), F.max(column).alias("most"), F.avg(column).alias("mean")
     )
+
+
+def negative_detail(labels: DataFrame, tops: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Each negative query: its kind, whether it was gated, and what stood first."""
+    o = labels.where("gt_type = 'negatif'").join(outcomes.select("query_id", "gated"), "query_id", "left").join(tops, "query_id", "left")
+    return o.select("query_id", "category", F.coalesce("gated", F.lit(False)).alias("gated"), "top1_score", "top1_class")
