@@ -33,4 +33,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that ``cut`` returned, once no later step reads it."""
+    remove(df.sparkSession, df.stored_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
