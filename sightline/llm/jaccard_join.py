@@ -9,12 +9,16 @@ prefixes, and k shingles in prefixes that are k - 1 longer.
    They are a table of fixed size, and the only thing that is broadcast.
 3. Index: chunks ask, once for each distinct prefix shingle, whether it occurs in another prefix;
    one bit comes back.  Only sets with such shingles go on, and sets that are equal go on as one.
-4. Hubs: in each bucket of the index, members are verified against the bucket's smallest member.
-   That is one pair for each member, and joins large groups of near copies.
-5. Rest: members of one bucket that are not yet joined are paired.  Where a bucket is larger than
-   ``RARE`` members, its shingle is frequent: the prefixes are extended by one, then by two, and
-   pairs must share a combination of two, then three shingles.
-6. Pairs are verified word by word on their whole texts, and the links' connected components taken.
+4. Hubs: in each bucket of the index, members are paired with the one that has the fewest rarer
+   shingles (an original rather than a changed copy).  That is one pair for each member, and joins
+   large groups of near copies.
+5. Rest: in buckets that still hold several components, members outside the largest one are paired
+   with all others that they are not joined with.  Where that would be more than ``RARE`` pairs, the
+   bucket's shingle is frequent: the prefixes are extended by one, then by two, and pairs must share a
+   combination of two, then three shingles.
+6. Pairs whose sizes, places of the first common shingle, or shared prefix shingles rule the threshold
+   out go; the others are verified word by word on their whole texts, and the links' connected
+   components taken.
 
 Pairs inside a component that is already known are not verified again, so links are complete as
 far as components go.  No bucket, candidate or partner is ever dropped for size.
@@ -24,22 +28,25 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.llm.components import components
 from sightline.llm.substring_dedup import CHUNK_BYTES, _low, _ranges, _wide, pack_chunks
 from sightline.llm.wordhash import Words, mix, runs
-from sightline.sources.work import cut
+from sightline.llm.workers import enter
+from sightline.sources.work import cut, discard, remove, work_dir
 
 #: Hashed counters of the frequency order, and the pieces in which they are summed.
 COUNTERS, PIECES = 1 << 22, 64
-#: Members up to which a bucket's shingle counts as rare.
-RARE = 64
+#: Pairs up to which a bucket's shingle counts as rare.
+RARE = 250_000
+#: Shingles before its own that an entry remembers, to see that a pair was met before.
+MEMORY = 8
 #: Combinations have up to so many shingles.
 MOST = 3
 KEY_BYTES = 4
@@ -79,6 +86,7 @@ def _counts(k: int):
     def run(it):
         import zstandard
 
+        enter("jaccard")
         total = np.zeros(COUNTERS, np.uint32)
         for batch in it:
             for sizes, z in zip(batch.column(0), batch.column(1)):
@@ -194,6 +202,22 @@ def _indexed(k, levels, percent):
     return run
 
 
+def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that share enough of their prefixes.
+
+    Of the two prefixes, the one that ends first in the common order holds all shared shingles up to
+    its end, and those are in the other prefix too; so the overlap is at most the shared prefix
+    shingles plus what lies behind one of the prefixes.
+    """
+    of = lambda side: sets.select(
+        F.col("sig").alias(side), F.col("keys").alias(f"k_{side}"), F.col("n").alias(f"n_{side}"),
+        (F.col("n") - F.least("n", F.col("p") + (MOST - 1))).alias(f"rest_{side}"),
+    )
+    most = F.size(F.array_intersect("k_a", "k_b")) + F.greatest("rest_a", "rest_b")
+    enough = most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(enough).select("a", "b")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose whole texts reach the threshold."""
     of = lambda side: sets.select(F.col("sig").alias(side), F.col("z").alias(f"z_{side}"))
@@ -210,22 +234,94 @@ def _verify(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFram
                 keep.append(100 * both >= percent * (len(words) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").select("a", "b", "z_a", "z_b")
+    likely = cut(_plausible(pairs, sets, percent), "likely")
+    joined = likely.join(of("b"), "b").join(of("a"), "a").select("a", "b", "z_a", "z_b")
     return joined.mapInArrow(run, "a binary, b binary")
 
 
-def _pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one key in different components, of sizes that can reach the threshold."""
-    a = entries.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    b = entries.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b")
+def _fits(na: str, pa: str, nb: str, pb: str, percent: int):
+    """Two sets of ``na`` and ``nb`` shingles can link if their first common one stands at ``pa`` and
+    ``pb`` in the order: what lies before is not common.  (A pair that fails this at a later common
+    shingle passes it at the first, if it can link.)"""
+    size = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    left = F.least(F.col(na) - F.col(pa), F.col(nb) - F.col(pb))
+    return size & (left * (100 + percent) >= percent * (F.col(na) + F.col(nb)))
+
+
+def _open(entries: DataFrame, known: DataFrame) -> DataFrame:
+    """Entries of keys that hold several components, with their component ``c``, ``minor`` (it is not the
+    key's largest one) and ``work``, the pairs that the key would make."""
+    c = known.select(F.col("node").alias("sig"), F.col("component").alias("c0"))
+    entries = entries.join(c, "sig", "left").withColumn("c", F.coalesce("c0", "sig")).drop("c0")
+    sizes = entries.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    keys = sizes.groupBy("key").agg(F.sum("m").alias("all"), F.max(F.struct("m", "c")).alias("top")).where("top.m < all")
+    keys = keys.select("key", F.col("top.c").alias("main"), ((F.col("all") - F.col("top.m")) * F.col("all")).alias("work"))
+    return entries.join(keys, "key").withColumn("minor", F.col("c") != F.col("main")).drop("main")
+
+
+def _remember(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds ``memory``: the last shared shingles before the first of the key, and between each two of it."""
+    place = lambda i: F.when(i >= 1, F.array_position("keys", F.get("key", i - 1)).cast("int")).otherwise(0)
+    before = lambda i: F.slice(
+        "keys",
+        F.greatest(place(i - 1) + 1, place(i) - MEMORY),
+        F.least(place(i) - place(i - 1) - 1, F.lit(MEMORY)),
+    )
+    memory = F.flatten(F.transform(F.sequence(F.lit(1), F.size("key")), before))
+    return entries.join(sets.select("sig", "keys"), "sig").withColumn("memory", memory).drop("keys")
+
 
+def _pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one key in different components, of sizes that can reach the threshold.
 
-def _open_keys(entries: DataFrame) -> DataFrame:
-    """Entries of keys that hold more than one component, with ``m``, the key's members."""
-    keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    return entries.join(keys.where("c0 <> c1").select("key", "m"), "key")
+    A pair whose members remember a common earlier shingle is met at that shingle's key too, and is
+    left to it.
+    """
+    entries = _remember(entries, sets)
+    side = lambda x, more=(): entries.select(
+        "key", F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}"), F.col("c").alias(f"c{x}"), F.col("memory").alias(f"m{x}"), *more
+    )
+    met = (F.col("ca") != F.col("cb")) & _fits("na", "pa", "nb", "pb", percent) & ~F.arrays_overlap("ma", "mb")
+    joined = side("a", ("minor",)).where("minor").drop("minor").join(side("b"), "key").where(met)
+    return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _links(sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """``node, component`` of every set that links with another."""
+    shared = sets.select("sig", "n", "p", F.explode(F.arrays_zip("pos", "keys")).alias("e")).where("e.pos < p")
+    entries = shared.select(F.array("e.keys").alias("key"), "sig", "n", F.col("e.pos").alias("at"))
+    hubs = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("at", "sig", "n")).alias("hub")).where("m > 1")
+    members = cut(entries.join(hubs, "key"), "members")
+    star = (
+        members.where((F.col("sig") != F.col("hub.sig")) & _fits("n", "at", "hub.n", "hub.at", percent))
+        .select(F.col("hub.sig").alias("a"), F.col("sig").alias("b"))
+        .distinct()
+    )
+    links = cut(_verify(star, sets, k, percent), "links")
+    known = components(links)
+    # buckets of two are done: their pair was verified
+    left = cut(_open(members.where("m > 2").select("key", "sig", "n", "at"), known), "open")
+    # sets so small that they need not share MOST shingles, and what can link with them
+    tiny = (MOST - 1) * 10_000 // percent**2
+    pairs = _pairs(left.where((F.col("work") <= RARE) | (F.col("n") <= tiny)), sets, percent)
+    hot = left.where(F.col("work") > RARE).select("sig", "key", "at")
+    for size in range(2, MOST + 1):
+        if hot.isEmpty():
+            break
+        # frequent combinations, each extended by a later shared shingle of the longer prefix
+        last = F.array_position("keys", F.element_at("key", -1))
+        grown = (
+            hot.join(sets.select("sig", "n", "p", "pos", "keys"), "sig")
+            .select("sig", "n", "p", "pos", "key", "at", last.alias("last"), F.posexplode("keys").alias("i", "y"))
+            .where((F.col("i") >= F.col("last")) & (F.get("pos", "i") < F.col("p") + (size - 1)))
+            .select(F.concat("key", F.array("y")).alias("key"), "sig", "n", "at")
+        )
+        grown = cut(_open(grown, known), "combos")
+        rest = grown if size == MOST else grown.where(F.col("work") <= RARE)
+        pairs = pairs.unionByName(_pairs(rest, sets, percent))
+        hot = grown.where(F.col("work") > RARE).select("sig", "key", "at")
+    more = cut(_verify(pairs.distinct(), sets, k, percent), "links")
+    return components(links.unionByName(more))
 
 
 def jaccard_components(
@@ -261,53 +357,25 @@ def jaccard_components(
         chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_indexed(k, levels, percent), _SET_DDL),
         "sets",
     )
-    sets = cut(
+    discard(chunks)
+    # one row for each set, stored in buckets of `sig` so that the joins below don't shuffle the texts
+    name = f"jaccard_sets_{uuid.uuid4().hex}"
+    (
         table.where(F.size("keys") > 0)
         .groupBy("sig")
-        .agg(*[F.first(c).alias(c) for c in ("n", "p", "pos", "keys", "z")]),
-        "distinct_sets",
-    )
-    entries = cut(
-        sets.select("sig", "n", "p", F.explode(F.arrays_zip("pos", "keys")).alias("e"))
-        .where("e.pos < p")
-        .select(F.col("e.keys").alias("key"), "sig", "n"),
-        "entries",
-    )
-    # hubs
-    hubs = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("sig").alias("hub")).where("m > 1")
-    star = (
-        entries.join(hubs, "key")
-        .where("sig <> hub")
-        .groupBy(F.col("hub").alias("a"), F.col("sig").alias("b"))
-        .agg(F.count(F.lit(1)).alias("together"))
+        .agg(*[F.first(c).alias(c) for c in ("n", "p", "pos", "keys", "z")])
+        .write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "sig")
+        .sortBy("sig")
+        .option("path", f"{work_dir(spark)}/{name}")
+        .saveAsTable(name)
     )
-    best = W.partitionBy("b").orderBy(F.desc("together"), "a")
-    star = star.withColumn("r", F.row_number().over(best)).where("r <= 2").select("a", "b")
-    links = cut(_verify(star, sets, k, percent), "links")
-    known = components(links)
-    # the rest
-    label = lambda e: e.join(
-        known.select(F.col("node").alias("sig"), F.col("component").alias("c0")), "sig", "left"
-    ).select(*e.columns, F.coalesce("c0", "sig").alias("c"))
-    left = cut(_open_keys(label(entries)), "open")
-    pairs = _pairs(left.where(F.col("m") <= RARE), percent)
-    hot = left.where(F.col("m") > RARE).select("sig", F.array("key").alias("combo"))
-    for size in range(2, MOST + 1):
-        # hot combinations, each extended by a later shared shingle of the longer prefix
-        tokens = sets.select("sig", "n", "p", "pos", "keys")
-        last = F.element_at("combo", -1)
-        grown = (
-            hot.join(tokens, "sig")
-            .select("sig", "n", "p", "combo", F.explode(F.arrays_zip("pos", "keys")).alias("e"), F.element_at("pos", F.array_position("keys", last).cast("int")).alias("at"))
-            .where((F.col("e.pos") > F.col("at")) & (F.col("e.pos") < F.col("p") + (size - 1)))
-            .select("sig", "n", F.concat("combo", F.array("e.keys")).alias("combo"))
-        )
-        grown = cut(_open_keys(label(grown.withColumn("key", F.col("combo")))), "combos")
-        rest = grown if size == MOST else grown.where(F.col("m") <= RARE)
-        pairs = pairs.unionByName(_pairs(rest, percent))
-        hot = grown.where(F.col("m") > RARE).select("sig", "combo")
-    more = cut(_verify(pairs.distinct(), sets, k, percent), "links")
-    joined = components(links.unionByName(more))
+    # what documents still need of it is narrow
+    narrow = cut(table.select("doc_id", "n", "sig"), "documents")
+    discard(table)
+    table = narrow
+    joined = _links(spark.table(name), k, percent)
+    spark.sql(f"DROP TABLE {name}")
+    remove(spark, f"{work_dir(spark)}/{name}")
     # back to documents
     ids = table.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low"))
     named = ids.join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig"))
