@@ -8,7 +8,7 @@ prefixes, and k shingles in prefixes that are k - 1 longer.
 2. Order: ``COUNTERS`` hashed counters, summed over all texts, give each shingle a frequency class.
    They are a table of fixed size, and the only thing that is broadcast.
 3. Index: chunks ask, once for each distinct prefix shingle, whether it occurs in another prefix;
-   one bit comes back.  Only sets with such shingles go on, and sets that are equal go on as one.
+   one bit comes back.  Only sets with enough such shingles go on, and sets that are equal go on as one.
 4. Hubs: in each bucket of the index, members are paired with the one that has the fewest rarer
    shingles (an original rather than a changed copy).  That is one pair for each member, and joins
    large groups of near copies.
@@ -103,7 +103,9 @@ def _sum_counts(t: pa.Table) -> pa.Table:
     total = np.zeros(COUNTERS // PIECES, np.uint64)
     for z in t["z"]:
         total += _unpack(z.as_py()).view(np.uint32)
-    level = np.floor(2 * np.log2(1.0 + total)).astype(np.uint8)
+    # exact for small counts, then eight classes for each doubling
+    level = np.where(total < 128, total, 128 + np.floor(8 * np.log2(np.maximum(total, 128) / 128.0)))
+    level = np.minimum(255, level).astype(np.uint8)
     return pa.table({"piece": pa.array(t["piece"].to_pylist()[:1], pa.int32()), "z": pa.array([level.tobytes()], pa.binary())})
 
 
@@ -193,6 +195,9 @@ def _indexed(k, levels, percent):
         out, at, begin = [], 0, 0
         for i, size, s, (x, p) in zip(row["ids"], row["sizes"], sets, prefixes):
             mine = np.flatnonzero(shared[at : at + len(x)])
+            # sets that link share MOST shingles of the longer prefixes, or all that they must share
+            if len(mine) < min(MOST, -(-percent * len(s) // 100)):
+                mine = mine[:0]
             sig = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
             z = c.compress(data[begin : begin + size].tobytes()) if len(mine) else None
             out.append((i, len(s), sig, p, mine.tolist(), x[mine].view(np.int64).tolist(), z))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm.workers import bound_batches, enter
+
 #: Hashed n-gram features; a power of two.
 FEATURES = 1 << 15
 #: Lengths of the character n-grams.
@@ -83,6 +85,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """(number of texts with each feature, number of texts) over all rows of ``texts`` (one column)."""
 
     def run(it):
+        enter("language")
         df, n = np.zeros(FEATURES, np.int64), 0
         for batch in it:
             for some in _slices(batch.column(0)):
@@ -98,6 +101,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         df = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in t["df"].to_pylist())
         return pa.table({"one": pa.array(t["one"].to_pylist()[:1], pa.int32()), "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "df": pa.array([zlib.compress(df.tobytes(), 1)], pa.binary())})
 
+    bound_batches(texts.sparkSession)
     ddl = "one int, n long, df binary"
     parts = texts.mapInArrow(run, ddl)
     # first among a few hundred groups, then those sums
@@ -200,6 +204,7 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it):
+        enter("language")
         m = shared.value
         for batch in it:
             at = 0

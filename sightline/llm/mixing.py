@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm.language_id import Ftrl, _softmax, _temperature
 from sightline.llm.wordhash import Words, column, slices
-from sightline.llm.workers import enter
+from sightline.llm.workers import bound_batches, enter
 from sightline.sources.work import cut
 
 #: Bounds of the sample that the classifier is fitted on.
@@ -121,6 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> dic
 def posteriors(docs: DataFrame, model: dict, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, n_tokens, p`` (posterior of each domain, in the model's order) for every row, and
     ``x``, which tells apart rows of one id.  Texts without words get the priors."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.float64())
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.wordhash import Words, column, runs, slices
+from sightline.llm.workers import bound_batches, enter
 from sightline.sources.work import cut
 
 CHUNK_BYTES = 6_000_000
@@ -59,6 +60,7 @@ def pack_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int =
     def run(it):
         from pyspark import TaskContext
 
+        enter("chunks")
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
         for b in it:
             data, offsets = column(b.column(1))
@@ -74,6 +76,7 @@ def pack_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int =
         if held:
             yield row(part, seq, held)
 
+    bound_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     return cut(picked.mapInArrow(run, "chunk long, ids array<long>, sizes array<long>, z binary"), "chunks")
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sightline.llm.tokens import Encoder, batches, encoder
+from sightline.llm.workers import bound_batches
 
 
 @dataclass
@@ -112,6 +113,7 @@ def token_counts(
 
     import pyarrow.compute  # noqa: F401  (pa.compute)
 
+    bound_batches(docs.sparkSession)
     picked = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as t")
     return picked.mapInArrow(run, ddl)
 

@@ -29,6 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.llm.tokens import batches, encoder
+from sightline.llm.workers import bound_batches
 from sightline.sources.work import cut, work_dir
 
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 16_384
@@ -95,6 +96,7 @@ def write_token_files(
     import zstandard
 
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     sample = (
         rows.where(F.length("t") <= SAMPLE_CHARS)

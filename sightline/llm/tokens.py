@@ -14,6 +14,8 @@ from itertools import chain
 
 import numpy as np
 
+from sightline.llm.workers import enter
+
 #: A piece; together the pieces are the whole text.
 PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
 #: Characters that some regular-expression engines count as blanks and others don't.
@@ -21,7 +23,7 @@ ODD = re.compile(
     "[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
 )
 #: Distinct pieces that a worker remembers before it starts anew; a bound on memory only.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Pieces that can go to the library many in one string, as their tokens can be told apart.
 PLAIN_BEGIN = re.compile(r" [A-Za-z\xdf-\xf6\xf8-\xff]+[.,;:!?]*")
 PLAIN_END = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+([.,;:!?]*)")
@@ -135,9 +137,14 @@ class Encoder:
 
 
 @functools.cache
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def encoder(path: str) -> Encoder:
     """One for each worker process, which serves many tasks."""
-    return Encoder(path)
+    enter("tokens", _encoder.cache_clear)
+    return _encoder(path)
 
 
 def batches(lengths: list[int], most: int):
