@@ -113,7 +113,8 @@ def contained_windows(
         places = base.select("doc_id", "x", F.size("w").alias("n"), F.lit(0).alias("pos"), F.lit("").alias("g")).limit(0)
     places = cut(places.select("doc_id", "x", "n", "pos", "g"), "places")
 
-    df = places.groupBy("g").agg(F.count_distinct("doc_id", "x").alias("df"))
+    # a struct is never null, so documents without id count too
+    df = places.groupBy("g").agg(F.count_distinct(F.struct("doc_id", "x")).alias("df"))
     rarest = (
         grams.join(df, "g", "left")
         .groupBy("win", "len", "k")

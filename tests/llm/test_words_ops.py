@@ -93,3 +93,11 @@ def test_license_scan(spark):
     key = lambda r: tuple(map(str, r))
     assert sorted((tuple(r)[:-1] for r in got), key=key) == sorted(((i, *brute_license(t)) for i, t in rows), key=key)
     assert all(0 <= r.score <= 1 for r in got) and all((r.score > 0) == bool(r.labels) for r in got)
+
+
+def test_passage_that_only_rows_without_id_hold(spark):
+    passage = words(12, 700)
+    docs = table(spark, [(None, "before " + passage + " after"), (None, words(12)), (1, words(12))])
+    benchmark = spark.createDataFrame([(9, passage)], "item_id long, text string")
+    got = {(r.doc_id, r.n_words): (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(docs, benchmark).collect()}
+    assert got == {(None, 14): (12, 1, True), (None, 12): (0, 0, False), (1, 12): (0, 0, False)}
