@@ -3,11 +3,14 @@
 1. A classifier is fitted on a bounded sample of the labelled table (at most ``PER_DOMAIN`` documents
    of each domain in expectation, of at most ``LONGEST`` characters) and gives every document a
    posterior over domains.
-2. Rates start at 1 and minimise, by projected gradient with momentum, half the squared distance of
-   the expected domain token totals from their targets (as shares of all tokens), plus ``RIDGE`` / 2
-   times the token-weighted mean square of the rates' change; no rate is negative.  A step needs the
-   totals over all documents, which the tasks sum; only those few numbers pass through the driver.
-   Posteriors and rates stay in a stored table.
+2. Rates start at 1 and minimise half the squared distance of the expected domain token totals from
+   their targets (as shares of all tokens), plus a ridge / 2 times the token-weighted mean square of
+   the rates' change; no rate is negative.  Steps are projected gradient steps scaled by the second
+   moments of the documents whose rate isn't zero.  The ridge falls from ``SOFT`` to ``RIDGE``, at
+   which feasible targets are met.  If they are not met within ``MET``, no rates near 1 can give
+   them, and the rates of ``SOFT`` hold, which approach them without a few documents taking
+   all of the mix.  A step needs totals over all documents, which the tasks sum; only those few
+   numbers pass through the driver.  Posteriors stay in a stored table.
 3. A rate is turned into whole copies by a hash of the document, so that the expected number of
    copies is the rate.
 """
@@ -31,7 +34,11 @@ from sightline.sources.work import cut
 PER_DOMAIN, LONGEST = 2000, 50_000
 #: Hashed word features; 256 byte features and one for repetition come on top.
 WORDS = 1 << 16
-RIDGE, STEPS, TOLERANCE, SAVE_EVERY = 5e-3, 60, 1e-5, 10
+SOFT, RIDGE = 5e-3, 1e-8
+#: Steps for each ridge, gradient (share of all tokens) at which they end, step sizes tried in each.
+STEPS, TOLERANCE, SIZES = 40, 1e-11, tuple(0.25**i for i in range(10))
+#: Relative distance from its target at which a domain's total counts as met.
+MET = 5e-3
 #: Share of the tokens that each domain gets.
 TARGETS = {"clean": 0.93, "low": 0.06, "toxic": 0.01}
 #: Expected clean tokens in the mix, over those in the corpus.
@@ -147,14 +154,6 @@ def posteriors(docs: DataFrame, model: dict, id_col: str, text_col: str) -> Data
     return rows.mapInArrow(run, "doc_id long, x long, n_tokens long, p array<double>")
 
 
-def _advance(rate: np.ndarray, last: np.ndarray, p: np.ndarray, steps: list) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after ``steps`` (momentum, step size, gradient by domain), and those one step before."""
-    for momentum, size, g in steps:
-        y = rate + momentum * (rate - last)
-        rate, last = np.maximum(0.0, y - size * (p @ g + RIDGE * (y - 1.0))), rate
-    return rate, last
-
-
 def _arrays(batch, names: list[str], k: int):
     p = batch.column("p").flatten().to_numpy().reshape(-1, k)
     return [batch.column(n).to_numpy(zero_copy_only=False) for n in names] + [p]
@@ -186,43 +185,64 @@ def _moments(table: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return got[:k], got[k:].reshape(k, k)
 
 
+def _tried(table: DataFrame, pulls: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For the rates ``max(0, 1 - p @ pull)`` of each pull: half the token-weighted sum of their
+    squares, expected tokens of each domain, second moments of the posteriors where they aren't 0."""
+    k = len(pulls[0])
+    size = 1 + k + k * k
+
+    def of(batch):
+        t, p = _arrays(batch, ["n_tokens"], k)
+        out = []
+        for pull in pulls:
+            rate = np.maximum(0.0, 1.0 - p @ pull)
+            held = p[rate > 0]
+            out += [[t @ rate**2 / 2], (rate * t) @ p, ((held * t[rate > 0][:, None]).T @ held).ravel()]
+        return np.concatenate(out)
+
+    got = _sums(table.select("n_tokens", "p"), size * len(pulls), of).reshape(len(pulls), size)
+    return [(float(x[0]), x[1 : 1 + k], x[1 + k :].reshape(k, k)) for x in got]
+
+
 def fit_rates(table: DataFrame, targets: np.ndarray) -> DataFrame:
     """``table`` (``n_tokens, p`` and other columns) with ``rate``, nonnegative, for which the sums of
-    ``rate * n_tokens * p`` come as close to ``targets`` as rates near 1 can."""
+    ``rate * n_tokens * p`` meet ``targets`` with rates as near 1 as can be, or, if no rates meet
+    them, come as close as rates near 1 can."""
     k = len(targets)
-    now, second = _moments(table, k)
-    table = table.withColumns({"rate": F.lit(1.0), "last": F.lit(1.0)})
-    tokens = max(1.0, float(now.sum()))
-    bend = np.linalg.eigvalsh(second / tokens)
-    steep, flat = max(bend[-1], 1e-9) + RIDGE, max(bend[0], 0.0) + RIDGE
-    momentum = (np.sqrt(steep) - np.sqrt(flat)) / (np.sqrt(steep) + np.sqrt(flat))
-
-    def keep(df: DataFrame, steps: list) -> DataFrame:
-        def run(it):
-            for batch in it:
-                rate, last, p = _arrays(batch, ["rate", "last"], k)
-                for name, v in zip(("rate", "last"), _advance(rate, last, p, steps)):
-                    batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(v))
-                yield batch
-
-        return cut(df.mapInArrow(run, df.schema), "rates")
-
-    steps: list = []
-    before = now
-    for _ in range(STEPS):
-        at = now + momentum * (now - before)  # totals are linear in the rates
-        steps.append((momentum, 1.0 / steep, (at - targets) / tokens))
-        if len(steps) == SAVE_EVERY:
-            table, steps = keep(table, steps), []
-
-        def of(batch, steps=tuple(steps)):
-            t, rate, last, p = _arrays(batch, ["n_tokens", "rate", "last"], k)
-            return (_advance(rate, last, p, steps)[0] * t) @ p
-
-        before, now = now, _sums(table.select("n_tokens", "rate", "last", "p"), k, of)
-        if np.abs(now - before).max() <= TOLERANCE * tokens:
-            break
-    return (keep(table, steps) if steps else table).drop("last")
+    tokens = max(1.0, float(_moments(table, k)[0].sum()))
+    want = np.asarray(targets, float) / tokens
+
+    def solve(ridge: float, pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pull of each domain on the rates, its expected tokens as shares of all)
+
+        At the optimum the pulls are the distances from the targets over the ridge: the rates'
+        optimum has its dual in these few numbers, with a convex piecewise quadratic to minimise."""
+
+        def state(pull, got):
+            square, have, second = got[0] / tokens, got[1] / tokens, got[2] / tokens
+            slope = want + ridge * pull - have
+            return square + pull @ want + ridge / 2 * pull @ pull, slope, pull, have, second
+
+        best = state(pull, _tried(table, [pull])[0])
+        for _ in range(STEPS):
+            value, slope, pull, have, second = best
+            if np.abs(slope).max() <= TOLERANCE:
+                break
+            step = np.linalg.solve(second + ridge * np.eye(k), slope)
+            pulls = [pull - size * step for size in SIZES]
+            best = min(map(state, pulls, _tried(table, pulls)), key=lambda x: (x[0], np.abs(x[1]).max()))
+            if best[0] >= value - 1e-15 and np.abs(best[1]).max() >= np.abs(slope).max() / 2:  # as exact as sums of floats are
+                best = (value, slope, pull, have, second)
+                break
+        return best[2], best[3]
+
+    pull = soft = solve(SOFT, np.zeros(k))[0]
+    for ridge in np.geomspace(SOFT, RIDGE, 5)[1:]:
+        pull, have = solve(float(ridge), pull)
+    if (np.abs(have - want) > MET * np.maximum(want, MET)).any():
+        pull = soft
+    drawn = sum((F.get("p", F.lit(d)) * F.lit(float(x)) for d, x in enumerate(pull)), F.lit(0.0))
+    return table.withColumn("rate", F.greatest(F.lit(0.0), F.lit(1.0) - drawn))
 
 
 def mixing_rates(

@@ -76,6 +76,20 @@ def test_rates_meet_targets_and_the_optimum(spark):
     assert np.abs(rate - np.maximum(0, 1 - p @ g / mixing.RIDGE)).max() < 0.05
 
 
+@pytest.mark.parametrize("toxic, pure", [(0.02, 0.99), (0.05, 0.8), (0.1, 0.99)])
+def test_every_feasible_target_is_met(spark, toxic, pure):
+    """Each domain within 0.5 % of its own target, for nearly pure posteriors and for mixed ones."""
+    r = np.random.default_rng(7)
+    kind = r.choice(3, 3000, p=[0.8 - toxic, 0.2, toxic])
+    t = r.integers(1, 2000, 3000)
+    p = pure * np.eye(3)[kind] + (1 - pure) * r.dirichlet([0.1, 0.1, 0.1], 3000)
+    rows = [(i, int(t[i]), p[i].tolist()) for i in range(3000)]
+    table_ = spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>").repartition(3)
+    targets = np.array([0.93, 0.06, 0.01]) / 0.93 * (t @ p)[0] * mixing.EPOCHS
+    rate = np.array([x.rate for x in mixing.fit_rates(table_, targets).orderBy("doc_id").collect()])
+    assert (rate >= 0).all() and np.abs((rate * t) @ p / targets - 1).max() <= 0.005
+
+
 def test_unreachable_targets_stop_at_zero(spark):
     p, t, table_ = posterior_table(spark)
     rate = np.array([r.rate for r in mixing.fit_rates(table_, np.array([t.sum(), 0.0, 0.0]) * 0.3).orderBy("doc_id").collect()])
