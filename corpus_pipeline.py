@@ -34,11 +34,22 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8): that with the group's
-    smallest id.  Of repeated rows of it one stays."""
-    groups = jaccard_join.jaccard_components(docs, k=5, percent=80)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(first["doc_id"])
-    return docs.join(first, same, "left_semi").dropDuplicates(["doc_id"])
+    smallest id, and of its texts under that id any fixed one.  A null id comes last.
+
+    Rows are told apart by id and text (a 64-bit hash of both), so rows of one id, or of none, with
+    different texts are in the groups of their texts.  Of rows that repeat both, the one with the
+    smallest other columns stays."""
+    row, number, group = (f"{n}_{uuid.uuid4().hex}" for n in ("row", "id", "group"))  # no column of the input has these names
+    hashed = F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+    groups = jaccard_join.jaccard_components(docs.withColumn(row, hashed), k=5, percent=80, id_col=row).select(
+        F.col("doc_id").alias(row), F.col("component_id").alias(group)
+    )
+    ids = docs.select(hashed.alias(row), docs["doc_id"].cast("long").alias(number)).distinct()
+    first = ids.join(groups.distinct(), row).groupBy(group).agg(
+        F.min(F.struct(F.col(number).isNull(), number, row))[row].alias(row)
+    )
+    kept = docs.join(first.select(F.col(row).alias(group)).distinct(), hashed == F.col(group), "left_semi")
+    return kept.groupBy(hashed.alias(row)).agg(F.min(F.struct(*docs.columns)).alias(group)).select(f"{group}.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

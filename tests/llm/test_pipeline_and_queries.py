@@ -42,6 +42,15 @@ def test_stages(spark, tmp_path):
     assert last.count() == docs.count()
 
 
+def test_different_texts_of_one_id_or_none_stay(spark):
+    a, b, c, d = (words(40, 1000 * i) for i in range(4))
+    rows = [(5, a), (5, b), (None, c), (None, d), (None, c), (7, a + " more"), (None, b), (5, a), (None, None), (8, None), (8, "")]
+    docs = table(spark, rows)
+    got = corpus_pipeline.one_of_each_group(spark, docs, "")
+    want = {(5, a), (5, b), (None, c), (None, d), (None, None), (8, None), (8, "")}
+    assert got.columns == docs.columns and sorted(map(str, [(r.doc_id, r.text) for r in got.collect()])) == sorted(map(str, want))
+
+
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 100
 
