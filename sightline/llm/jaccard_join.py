@@ -5,20 +5,23 @@ of each set only a prefix is indexed: two sets that reach the threshold share a
 prefixes, and k shingles in prefixes that are k - 1 longer.
 
 1. ``chunks``: texts are packed into stored rows (see ``substring_dedup``).
-2. Order: ``COUNTERS`` hashed counters, summed over all texts, give each shingle a frequency class.
-   They are a table of fixed size, and the only thing that is broadcast.
-3. Index: chunks ask, once for each distinct prefix shingle, whether it occurs in another prefix;
-   one bit comes back.  Only sets with enough such shingles go on, and sets that are equal go on as one.
+2. Order: chunks ask, once for each distinct shingle, in how many sets it stands; the answer is 0
+   for those that stand in one set only, else a class of the logarithm of the count.
+3. Index: sets too few of whose shingles stand anywhere else link with nothing and end here.  Of the
+   others, the prefix in that order is kept.  Texts with the same words go on as one node, named by a
+   128-bit digest of the words.
 4. Hubs: in each bucket of the index, members are paired with the one that has the fewest rarer
    shingles (an original rather than a changed copy).  That is one pair for each member, and joins
-   large groups of near copies.
+   large groups of near copies.  Buckets that could still make more than ``RARE`` pairs get further
+   rounds with other hubs.
 5. Rest: in buckets that still hold several components, members outside the largest one are paired
-   with all others that they are not joined with.  Where that would be more than ``RARE`` pairs, the
-   bucket's shingle is frequent: the prefixes are extended by one, then by two, and pairs must share a
-   combination of two, then three shingles.
-6. Pairs whose sizes, places of the first common shingle, or shared prefix shingles rule the threshold
-   out go; the others are verified word by word on their whole texts, and the links' connected
-   components taken.
+   with all others that they are not joined with.  Where that would be more than ``RARE`` pairs even
+   now, the bucket's shingle is frequent: the prefixes are extended by one, then by two, and pairs
+   must share a combination of two, then three shingles.
+6. Pairs whose sizes, places of the first common shingle, parities or shared prefix shingles rule the
+   threshold out go; the others are verified word by word on their whole texts, and the links'
+   connected components taken.  Parities: bit i tells whether an odd number of a set's shingles falls
+   to i, so two sets differ in at least as many shingles as their bits do.
 
 Pairs inside a component that is already known are not verified again, so links are complete as
 far as components go.  No bucket, candidate or partner is ever dropped for size.
@@ -32,24 +35,25 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.components import components
-from sightline.llm.substring_dedup import CHUNK_BYTES, _low, _ranges, _wide, pack_chunks
+from sightline.llm.spread import join_spread
+from sightline.llm.substring_dedup import _low, _ranges, _wide, pack_chunks
 from sightline.llm.wordhash import Words, mix, runs
 from sightline.llm.workers import enter
 from sightline.sources.work import cut, discard, remove, work_dir
 
-#: Hashed counters of the frequency order, and the pieces in which they are summed.
-COUNTERS, PIECES = 1 << 22, 64
-#: Pairs up to which a bucket's shingle counts as rare.
-RARE = 250_000
+#: Pairs up to which a bucket's shingle counts as rare, and rounds of hubs for those beyond.
+RARE, HUB_ROUNDS = 4_000_000, 3
 #: Shingles before its own that an entry remembers, to see that a pair was met before.
 MEMORY = 8
 #: Combinations have up to so many shingles.
 MOST = 3
 KEY_BYTES = 4
+#: Longs of 64 parities.
+PARITIES = 4
 _U = np.uint64
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _UPPER = str.maketrans({c: c + 32 for c in range(65, 91)})
@@ -69,64 +73,26 @@ def _unpack(z: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8)
 
 
-def _sets(sizes, data: np.ndarray, k: int):
+def _sets(w: Words, k: int):
     """Sorted distinct shingle hashes of each text."""
-    w = Words(data, np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))]), True)
     h = runs(w.hash, k)
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
         if b - a >= k:
             yield np.unique(h[a : b - k + 1])
         elif b > a:
-            yield mix(w.hash[a:b].sum(keepdims=True, dtype=_U) + runs(w.hash[a:b], b - a) + _U(b - a))
+            yield mix(runs(w.hash[a:b], b - a) + _U(b - a))
         else:
             yield h[:0]
 
 
-def _counts(k: int):
-    def run(it):
-        import zstandard
-
-        enter("jaccard")
-        total = np.zeros(COUNTERS, np.uint32)
-        for batch in it:
-            for sizes, z in zip(batch.column(0), batch.column(1)):
-                for s in _sets(sizes.as_py(), _unpack(z.as_py()), k):
-                    total[(s & _U(COUNTERS - 1)).astype(np.int64)] += 1  # collisions inside a set count once
-        c = zstandard.ZstdCompressor(level=1)
-        parts = [c.compress(x.tobytes()) for x in np.split(total, PIECES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], names=["piece", "z"])
-
-    return run
-
-
-def _sum_counts(t: pa.Table) -> pa.Table:
-    total = np.zeros(COUNTERS // PIECES, np.uint64)
-    for z in t["z"]:
-        total += _unpack(z.as_py()).view(np.uint32)
-    # exact for small counts, then eight classes for each doubling
-    level = np.where(total < 128, total, 128 + np.floor(8 * np.log2(np.maximum(total, 128) / 128.0)))
-    level = np.minimum(255, level).astype(np.uint8)
-    return pa.table({"piece": pa.array(t["piece"].to_pylist()[:1], pa.int32()), "z": pa.array([level.tobytes()], pa.binary())})
-
-
-def _prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """(shingles of the prefix that is MOST - 1 longer, in order; length of the plain prefix)."""
-    n = len(s)
-    p = n - -(-percent * n // 100) + 1
-    most = min(n, p + MOST - 1)
-    level = levels[(s & _U(COUNTERS - 1)).astype(np.int64)]
-    order = np.lexsort((s, level))[:most]
-    return s[order], p
-
-
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h >> _U(40)) * _U(buckets)) >> _U(24)).astype(np.int64)
 
 
 _ASK = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 _ASK_DDL = "bucket long, chunk long, n long, a binary, b binary"
-_ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
-_ANSWER_DDL = "chunk long, bucket long, n long, bits binary"
+_ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("levels", pa.binary())])
+_ANSWER_DDL = "chunk long, bucket long, n long, bits binary, levels binary"
 _SET = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -135,31 +101,34 @@ _SET = pa.schema(
         ("p", pa.int32()),
         ("pos", pa.list_(pa.int32())),
         ("keys", pa.list_(pa.int64())),
+        ("odd", pa.list_(pa.int64())),
         ("z", pa.binary()),
     ]
 )
-_SET_DDL = "doc_id long, n long, sig binary, p int, pos array<int>, keys array<long>, z binary"
+_SET_DDL = "doc_id long, n long, sig binary, p int, pos array<int>, keys array<long>, odd array<long>, z binary"
 
 
 def _rows(rows, schema):
     return [pa.array(x, f.type) for x, f in zip(zip(*rows), schema)]
 
 
-def _chunk_prefixes(sizes, data, k, levels, percent):
-    sets = list(_sets(sizes, data, k))
-    prefixes = [_prefix(s, levels, percent) for s in sets]
-    flat = np.concatenate([x for x, _ in prefixes]) if prefixes else np.zeros(0, _U)
-    u, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-    return sets, prefixes, u, inverse, count
+def _chunk_sets(sizes, data, k):
+    """Words and sets of a chunk; its distinct shingles, each one's place among them, and in how many sets they stand."""
+    w = Words(data, np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))]), True)
+    sets = list(_sets(w, k))
+    flat = np.concatenate(sets) if sets else np.zeros(0, _U)
+    return w, sets, *np.unique(flat, return_inverse=True, return_counts=True)
 
 
-def _ask(k, levels, percent, buckets):
+def _ask(k, buckets):
     def run(it):
+        enter("jaccard")
         for batch in it:
             for chunk, sizes, z in zip(*(batch.column(i) for i in range(3))):
-                _, _, u, _, count = _chunk_prefixes(sizes.as_py(), _unpack(z.as_py()), k, levels.value, percent)
+                _, _, u, _, count = _chunk_sets(sizes.as_py(), _unpack(z.as_py()), k)
+                some = np.minimum(count, 255).astype(np.uint8)  # beyond that, only the class is less exact
                 rows = [
-                    (b, chunk.as_py(), j - i, _low(u[i:j], KEY_BYTES), np.packbits(count[i:j] > 1).tobytes())
+                    (b, chunk.as_py(), j - i, _low(u[i:j], KEY_BYTES), some[i:j].tobytes())
                     for b, i, j in _ranges(_bucket(u, buckets))
                 ]
                 if rows:
@@ -170,38 +139,52 @@ def _ask(k, levels, percent, buckets):
 
 def _answer(t: pa.Table) -> pa.Table:
     n = t["n"].to_pylist()
-    h = np.concatenate([_wide(x, KEY_BYTES) for x in t["a"].to_pylist()])
-    twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=i).astype(bool) for x, i in zip(t["b"].to_pylist(), n)])
-    u, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-    again = count > 1
-    again[inverse[twice]] = True
-    bits = [np.packbits(x).tobytes() for x in np.split(again[inverse], np.cumsum(n)[:-1])]
-    return pa.Table.from_arrays(_rows(zip(t["chunk"].to_pylist(), t["bucket"].to_pylist(), n, bits), _ANSWER), schema=_ANSWER)
+    h = np.concatenate([_wide(x, KEY_BYTES).astype(np.uint32) for x in t["a"].to_pylist()])
+    some = np.concatenate([np.frombuffer(x, np.uint8) for x in t["b"].to_pylist()])
+    u, inverse = np.unique(h, return_inverse=True)
+    count = np.bincount(inverse, some, len(u))
+    level = np.where(count > 1, np.minimum(255, 1 + np.floor(4 * np.log2(np.maximum(count, 1)))), 0).astype(np.uint8)[inverse]
+    rows = [
+        (c, b, i, np.packbits(x > 0).tobytes(), x[x > 0].tobytes())
+        for c, b, i, x in zip(t["chunk"].to_pylist(), t["bucket"].to_pylist(), n, np.split(level, np.cumsum(n)[:-1]))
+    ]
+    return pa.Table.from_arrays(_rows(rows, _ANSWER), schema=_ANSWER)
 
 
-def _indexed(k, levels, percent):
+def _indexed(k, percent):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard
 
+        enter("jaccard")
         if not len(left):
             return _SET.empty_table()
         row = left.to_pylist()[0]
         data = _unpack(row["z"])
-        sets, prefixes, u, inverse, _ = _chunk_prefixes(row["sizes"], data, k, levels.value, percent)
-        got = sorted(zip(right["bucket"].to_pylist(), right["bits"].to_pylist(), right["n"].to_pylist()))
-        flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=m).astype(bool) for _, x, m in got]
-        shared = (np.concatenate(flags) if flags else np.zeros(0, bool))[inverse]
+        w, sets, u, inverse, _ = _chunk_sets(row["sizes"], data, k)
+        level = np.zeros(len(u), np.uint8)
+        got = sorted(zip(*(right[c].to_pylist() for c in ("bucket", "bits", "n", "levels"))))
+        if got:
+            shared = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=m) for _, x, m, _ in got]).astype(bool)
+            level[shared] = np.frombuffer(b"".join(x for *_, x in got), np.uint8)
+        level = level[inverse]
         c = zstandard.ZstdCompressor(level=3)
         out, at, begin = [], 0, 0
-        for i, size, s, (x, p) in zip(row["ids"], row["sizes"], sets, prefixes):
-            mine = np.flatnonzero(shared[at : at + len(x)])
-            # sets that link share MOST shingles of the longer prefixes, or all that they must share
-            if len(mine) < min(MOST, -(-percent * len(s) // 100)):
-                mine = mine[:0]
-            sig = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-            z = c.compress(data[begin : begin + size].tobytes()) if len(mine) else None
-            out.append((i, len(s), sig, p, mine.tolist(), x[mine].view(np.int64).tolist(), z))
-            at, begin = at + len(x), begin + size
+        for d, (i, size, s) in enumerate(zip(row["ids"], row["sizes"], sets)):
+            n = len(s)
+            mine = level[at : at + n]
+            if n and 100 * np.count_nonzero(mine) >= percent * n:
+                p = n - -(-percent * n // 100) + 1
+                order = np.lexsort((s, mine))[: min(n, p + MOST - 1)]
+                pos = np.flatnonzero(mine[order])
+                x = s[order[pos]]
+                odd = np.packbits(np.bincount((s >> _U(8)).astype(np.int64) & (64 * PARITIES - 1), minlength=64 * PARITIES) & 1)
+                words = w.text(int(w.first[d]), int(w.first[d + 1])).translate(_UPPER)
+                sig = hashlib.blake2b(words.encode(), digest_size=16).digest()
+                z = c.compress(data[begin : begin + size].tobytes())
+                out.append((i, n, sig, p, pos.tolist(), x.view(np.int64).tolist(), odd.astype(np.uint8).view(np.int64).tolist(), z))
+            else:
+                out.append((i, n, None, None, None, None, None, None))
+            at, begin = at + n, begin + size
         return pa.Table.from_arrays(_rows(out, _SET), schema=_SET) if out else _SET.empty_table()
 
     return run
@@ -220,7 +203,7 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     most = F.size(F.array_intersect("k_a", "k_b")) + F.greatest("rest_a", "rest_b")
     enough = most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(enough).select("a", "b")
+    return join_spread(pairs, of("a"), "a", then=lambda x: x.join(of("b"), "b")).where(enough).select("a", "b")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
@@ -239,9 +222,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFram
                 keep.append(100 * both >= percent * (len(words) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = cut(pairs, "pairs")
     likely = cut(_plausible(pairs, sets, percent), "likely")
-    joined = likely.join(of("b"), "b").join(of("a"), "a").select("a", "b", "z_a", "z_b")
-    return joined.mapInArrow(run, "a binary, b binary")
+    joined = join_spread(likely, of("a"), "a", then=lambda x: x.join(of("b"), "b")).select("a", "b", "z_a", "z_b")
+    links = cut(joined.mapInArrow(run, "a binary, b binary"), "links")
+    discard(pairs)
+    discard(likely)
+    return links
 
 
 def _fits(na: str, pa: str, nb: str, pb: str, percent: int):
@@ -253,19 +240,32 @@ def _fits(na: str, pa: str, nb: str, pb: str, percent: int):
     return size & (left * (100 + percent) >= percent * (F.col(na) + F.col(nb)))
 
 
-def _open(entries: DataFrame, known: DataFrame) -> DataFrame:
+def _open(entries: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Entries of keys that hold several components, with their component ``c``, ``minor`` (it is not the
-    key's largest one) and ``work``, the pairs that the key would make."""
+    key's largest one) and ``work``, the pairs that the key would make.  Entries that are too much
+    larger than all others of their key for what they still can share are not among them."""
     c = known.select(F.col("node").alias("sig"), F.col("component").alias("c0"))
-    entries = entries.join(c, "sig", "left").withColumn("c", F.coalesce("c0", "sig")).drop("c0")
-    sizes = entries.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-    keys = sizes.groupBy("key").agg(F.sum("m").alias("all"), F.max(F.struct("m", "c")).alias("top")).where("top.m < all")
-    keys = keys.select("key", F.col("top.c").alias("main"), ((F.col("all") - F.col("top.m")) * F.col("all")).alias("work"))
-    return entries.join(keys, "key").withColumn("minor", F.col("c") != F.col("main")).drop("main")
+    entries = entries.drop("c").join(c, "sig", "left").withColumn("c", F.coalesce("c0", "sig")).drop("c0")
+    entries = cut(entries.withColumn("hi", (F.col("n") - F.col("at")) * (100 + percent) / percent - F.col("n")), "entries")
+    sizes = entries.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("low"))
+    keys = (
+        sizes.groupBy("key")
+        .agg(F.sum("m").alias("all"), F.max(F.struct("m", "c")).alias("top"), F.min("low").alias("low"))
+        .where("top.m < all")
+        .select("key", "low", "all", F.col("top.c").alias("main"), ((F.col("all") - F.col("top.m")) * F.col("all")).alias("work"))
+    )
+    keys = cut(keys, "keys")
+    left = join_spread(entries, keys.drop("all"), "key", keys.select("key", F.col("all").alias("rows")))
+    left = left.where("hi >= low").withColumn("minor", F.col("c") != F.col("main")).drop("main", "hi", "low")
+    left = cut(left, "open")
+    discard(entries)
+    discard(keys)
+    return left
 
 
 def _remember(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds ``memory``: the last shared shingles before the first of the key, and between each two of it."""
+    """Adds the set's parities, and ``memory``: the last shared shingles before the first of the key, and
+    between each two of it."""
     place = lambda i: F.when(i >= 1, F.array_position("keys", F.get("key", i - 1)).cast("int")).otherwise(0)
     before = lambda i: F.slice(
         "keys",
@@ -273,21 +273,29 @@ def _remember(entries: DataFrame, sets: DataFrame) -> DataFrame:
         F.least(place(i) - place(i - 1) - 1, F.lit(MEMORY)),
     )
     memory = F.flatten(F.transform(F.sequence(F.lit(1), F.size("key")), before))
-    return entries.join(sets.select("sig", "keys"), "sig").withColumn("memory", memory).drop("keys")
+    odd = [F.get("odd", F.lit(i)).alias(f"o{i}") for i in range(PARITIES)]
+    return entries.join(sets.select("sig", "keys", *odd), "sig").withColumn("memory", memory).drop("keys")
 
 
 def _pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one key in different components, of sizes that can reach the threshold.
+    """Pairs of one key in different components, of sizes and parities that can reach the threshold.
 
     A pair whose members remember a common earlier shingle is met at that shingle's key too, and is
-    left to it.
+    left to it.  A key of many pairs is dealt over tasks: its minor entries are parted, the others
+    copied to each part.
     """
-    entries = _remember(entries, sets)
-    side = lambda x, more=(): entries.select(
-        "key", F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}"), F.col("c").alias(f"c{x}"), F.col("memory").alias(f"m{x}"), *more
-    )
-    met = (F.col("ca") != F.col("cb")) & _fits("na", "pa", "nb", "pb", percent) & ~F.arrays_overlap("ma", "mb")
-    joined = side("a", ("minor",)).where("minor").drop("minor").join(side("b"), "key").where(met)
+    entries = _remember(entries, sets).withColumn("parts", F.ceil(F.col("work") / RARE).cast("int"))
+    side = lambda x, more: entries.select(
+        "key", F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}"), F.col("c").alias(f"c{x}"), F.col("memory").alias(f"m{x}"),
+        *[F.col(f"o{i}").alias(f"o{i}{x}") for i in range(PARITIES)], more,
+    )
+    bits = [F.bit_count(F.col(f"o{i}a").bitwiseXOR(F.col(f"o{i}b"))) for i in range(PARITIES)]
+    # sets that link differ in at most (100 - percent) / (100 + percent) of their sizes' sum
+    close = sum(bits[1:], bits[0]) * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
+    met = (F.col("ca") != F.col("cb")) & _fits("na", "pa", "nb", "pb", percent) & close & ~F.arrays_overlap("ma", "mb")
+    some = side("a", F.when(F.col("minor"), F.pmod(F.xxhash64("sig"), "parts").cast("int")).alias("part")).where("part is not null")
+    every = side("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    joined = some.join(every, ["key", "part"]).where(met)
     return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -295,20 +303,39 @@ def _links(sets: DataFrame, k: int, percent: int) -> DataFrame:
     """``node, component`` of every set that links with another."""
     shared = sets.select("sig", "n", "p", F.explode(F.arrays_zip("pos", "keys")).alias("e")).where("e.pos < p")
     entries = shared.select(F.array("e.keys").alias("key"), "sig", "n", F.col("e.pos").alias("at"))
-    hubs = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("at", "sig", "n")).alias("hub")).where("m > 1")
-    members = cut(entries.join(hubs, "key"), "members")
+    hubs = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("at", "sig", "n")).alias("hub"))
+    hubs = cut(hubs.where("m > 1"), "hubs")
+    members = cut(join_spread(entries, hubs, "key", hubs.select("key", F.col("m").alias("rows"))), "members")
     star = (
         members.where((F.col("sig") != F.col("hub.sig")) & _fits("n", "at", "hub.n", "hub.at", percent))
         .select(F.col("hub.sig").alias("a"), F.col("sig").alias("b"))
         .distinct()
     )
-    links = cut(_verify(star, sets, k, percent), "links")
+    links = _verify(star, sets, k, percent)
     known = components(links)
     # buckets of two are done: their pair was verified
-    left = cut(_open(members.where("m > 2").select("key", "sig", "n", "at"), known), "open")
+    left = _open(members.where("m > 2").select("key", "sig", "n", "at"), known, percent)
+    for again in range(HUB_ROUNDS):
+        heavy = left.where(F.col("work") > RARE)
+        if heavy.isEmpty():
+            break
+        # another hub of each bucket's largest component, paired with all members outside it
+        of_main = heavy.where("not minor").groupBy("key").agg(F.min(F.struct(F.xxhash64("sig", F.lit(again)), "sig", "n", "at")).alias("hub"))
+        star = (
+            join_spread(heavy.where("minor"), of_main, "key")
+            .where(_fits("n", "at", "hub.n", "hub.at", percent))
+            .select(F.col("hub.sig").alias("a"), F.col("sig").alias("b"))
+            .distinct()
+        )
+        links = links.unionByName(_verify(star, sets, k, percent))
+        known = components(links)
+        later = _open(left.select("key", "sig", "n", "at"), known, percent)
+        discard(left)
+        left = later
     # sets so small that they need not share MOST shingles, and what can link with them
     tiny = (MOST - 1) * 10_000 // percent**2
     pairs = _pairs(left.where((F.col("work") <= RARE) | (F.col("n") <= tiny)), sets, percent)
+    opened = [left]
     hot = left.where(F.col("work") > RARE).select("sig", "key", "at")
     for size in range(2, MOST + 1):
         if hot.isEmpty():
@@ -321,11 +348,14 @@ def _links(sets: DataFrame, k: int, percent: int) -> DataFrame:
             .where((F.col("i") >= F.col("last")) & (F.get("pos", "i") < F.col("p") + (size - 1)))
             .select(F.concat("key", F.array("y")).alias("key"), "sig", "n", "at")
         )
-        grown = cut(_open(grown, known), "combos")
+        grown = _open(grown, known, percent)
+        opened.append(grown)
         rest = grown if size == MOST else grown.where(F.col("work") <= RARE)
         pairs = pairs.unionByName(_pairs(rest, sets, percent))
         hot = grown.where(F.col("work") > RARE).select("sig", "key", "at")
-    more = cut(_verify(pairs.distinct(), sets, k, percent), "links")
+    more = _verify(pairs.distinct(), sets, k, percent)
+    for done in (hubs, members, *opened):
+        discard(done)
     return components(links.unionByName(more))
 
 
@@ -335,7 +365,7 @@ def jaccard_components(
     percent: int = 80,
     id_col: str = "doc_id",
     text_col: str = "text",
-    chunk_bytes: int = CHUNK_BYTES,
+    chunk_bytes: int | None = None,
 ) -> DataFrame:
     """One row for each document row: ``doc_id``, ``n_shingles``, ``component_id``.
 
@@ -344,52 +374,46 @@ def jaccard_components(
     link when the Jaccard similarity of their sets is ``percent`` / 100 or more;
     ``component_id`` is the smallest id reachable by links.  Texts without words, null among them,
     link with nothing: their component is their own id.  A null id names a component only if no
-    other id is in it.  Repeated rows are equal sets, so they share a component.
+    other id is in it.  Repeated rows are equal sets, so they share a component.  A very long text is
+    read whole, in a chunk of its own, by one task.  An empty table gives no rows.  Other columns are
+    not looked at.  ``chunk_bytes``: see ``pack_chunks``.
     """
     spark = docs.sparkSession
     chunks = pack_chunks(docs, id_col, text_col, chunk_bytes)
-    counted = chunks.select("sizes", "z").mapInArrow(_counts(k), "piece int, z binary")
-    # PIECES rows, COUNTERS bytes in all
-    summed = counted.groupBy("piece").applyInArrow(_sum_counts, "piece int, z binary").collect()
-    level = np.zeros(COUNTERS, np.uint8)
-    for r in summed:
-        level[r["piece"] * (COUNTERS // PIECES) :][: COUNTERS // PIECES] = np.frombuffer(r["z"], np.uint8)
-    levels = spark.sparkContext.broadcast(level)
     buckets = min(1 << 20, max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.select("chunk").count()))
-    asked = chunks.select("chunk", "sizes", "z").mapInArrow(_ask(k, levels, percent, buckets), _ASK_DDL)
+    asked = chunks.select("chunk", "sizes", "z").mapInArrow(_ask(k, buckets), _ASK_DDL)
     answers = asked.groupBy("bucket").applyInArrow(_answer, _ANSWER_DDL)
-    table = cut(
-        chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_indexed(k, levels, percent), _SET_DDL),
-        "sets",
-    )
+    table = cut(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_indexed(k, percent), _SET_DDL), "sets")
     discard(chunks)
-    # one row for each set, stored in buckets of `sig` so that the joins below don't shuffle the texts
+    # one row for each node, stored in buckets of `sig` so that the joins below don't shuffle the texts
     name = f"jaccard_sets_{uuid.uuid4().hex}"
-    (
-        table.where(F.size("keys") > 0)
-        .groupBy("sig")
-        .agg(*[F.first(c).alias(c) for c in ("n", "p", "pos", "keys", "z")])
-        .write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "sig")
-        .sortBy("sig")
-        .option("path", f"{work_dir(spark)}/{name}")
-        .saveAsTable(name)
-    )
-    # what documents still need of it is narrow
-    narrow = cut(table.select("doc_id", "n", "sig"), "documents")
-    discard(table)
-    table = narrow
-    joined = _links(spark.table(name), k, percent)
-    spark.sql(f"DROP TABLE {name}")
-    remove(spark, f"{work_dir(spark)}/{name}")
+    try:
+        (
+            table.where("sig is not null")
+            .groupBy("sig")
+            .agg(*[F.first(c).alias(c) for c in ("n", "p", "pos", "keys", "odd", "z")])
+            .write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "sig")
+            .sortBy("sig")
+            .option("path", f"{work_dir(spark)}/{name}")
+            .saveAsTable(name)
+        )
+        # what documents still need of it is narrow
+        narrow = cut(table.select("doc_id", "n", "sig"), "documents")
+        discard(table)
+        joined = _links(spark.table(name), k, percent)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, f"{work_dir(spark)}/{name}")
     # back to documents
-    ids = table.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low"))
+    ids = narrow.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low"))
     named = ids.join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig"))
-    names = cut(
-        named.join(named.groupBy("c").agg(F.min("low").alias("component_id")), "c").select("sig", "component_id"), "names"
-    )
-    return table.join(names, "sig", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    named = cut(named.select("sig", "c", "low"), "named")
+    lowest = named.groupBy("c").agg(F.min("low").alias("component_id"))
+    names = cut(join_spread(named, lowest, "c").select("sig", "component_id"), "names")
+    discard(named)
+    cold = narrow.where("sig is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    found = join_spread(narrow.where("sig is not null"), names, "sig").select("doc_id", "n", "component_id")
+    return cold.unionByName(found).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

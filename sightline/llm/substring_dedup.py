@@ -15,11 +15,14 @@ extend the hits:
 
 What a chunk sends for a run or window does not depend on how often it stands there, so a passage
 that fills a third of the corpus is one entry for each chunk: no bucket grows hot, and no pairs are
-ever made.  Windows are compared by 80 bits of two independent hashes beside the bucket number.
+ever made.  Windows are compared by 80 bits of two hashes beside the bucket number; the two are independent
+from the bytes of the words on.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,15 +32,26 @@ from sightline.llm.wordhash import Words, column, runs, slices
 from sightline.llm.workers import bound_batches, enter
 from sightline.sources.work import cut
 
-CHUNK_BYTES = 6_000_000
+#: Least bytes of text in a chunk, and keys that a message carries on average at least.
+CHUNK_BYTES, KEYS = 6_000_000, 64
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
 
 
-def pack_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Stored rows ``chunk, ids, z``: ids of some documents, ascending, and their texts, compressed."""
+def pack_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int | None = None) -> DataFrame:
+    """Stored rows ``chunk, ids, z``: ids of some documents, ascending, and their texts, compressed.
+
+    Every chunk sends a message to every bucket, and there are as many buckets as chunks.  So that the
+    messages do not outgrow the text, chunks grow with its square root: a message then carries
+    ``KEYS`` keys (words, about) or more.  That is 6 MB up to 100 GB of text, 20 MB for 1 TB and 200 MB
+    for 100 TB, of which a task needs some 25 times as much memory.  ``chunk_bytes`` overrides it.
+    """
     import zstandard
 
+    if chunk_bytes is None:
+        total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+        chunk_bytes = max(CHUNK_BYTES, math.isqrt(6 * KEYS * total))
+
     def row(part, seq, held):
         ids = np.concatenate([h[0] for h in held])
         known = np.concatenate([h[1] for h in held])
@@ -120,7 +134,7 @@ class _Chunk:
         some = mark[np.arange(n) + self.window - self.block + 1] > mark[:n]
         first = np.flatnonzero(self.whole & some)
         a = runs(self.words.hash, self.window, 0)[first] if len(first) else np.zeros(0, _U)
-        b = runs(self.words.hash, self.window, 1)[first] if len(first) else np.zeros(0, _U)
+        b = runs(self.words.hashes(1), self.window, 1)[first] if len(first) else np.zeros(0, _U)
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         new = np.ones(len(a), bool)
@@ -306,7 +320,7 @@ def _kept(window: int, buckets: int):
 
 
 def substring_dedup(
-    docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES
+    docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int | None = None
 ) -> DataFrame:
     """One row for each document row: ``doc_id``, ``n_words``, ``n_removed``, ``kept_text`` (the
     words that stay, joined by one space).

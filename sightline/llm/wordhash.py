@@ -5,14 +5,17 @@ Works on the bytes of an Arrow string column, without a Python object for each w
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-#: Odd multipliers of the polynomial hashes, and the constants of a 64-bit finalizer.
-_R = 0x9E3779B97F4A7C15
-_K = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+#: The constants of a 64-bit finalizer.
 _M1, _M2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,22 +28,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, grown as needed."""
-
-    def __init__(self, r: int):
-        self.r, self.inv = r, pow(r, -1, 1 << 64)
-        self.up = self.down = np.ones(1, _U)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            grow = lambda r: np.cumprod(np.concatenate([np.ones(1, _U), np.full(n - 1, r, _U)]), dtype=_U)
-            self.up, self.down = grow(self.r), grow(self.inv)
-        return self.up, self.down
-
-
-_byte_powers = _Powers(_R)
+@functools.cache
+def _factors(lane: int, n: int) -> np.ndarray:
+    """``n`` odd numbers without any rule among them; the same in every process."""
+    raw = hashlib.shake_256(f"lane {lane}".encode()).digest(8 * n)
+    return np.frombuffer(raw, "<u8").astype(_U) | _U(1)
 
 
 class Words:
@@ -73,25 +65,38 @@ class Words:
             ends = np.sort(np.concatenate([ends, joint]))
         self.start, self.end = starts, ends
         self.first = np.searchsorted(starts, offsets)
-        self.hash = self._hashes(data, lower)
+        self.lower = lower
+        self.hash = self.hashes(0)
 
-    def _hashes(self, data: np.ndarray, lower: bool) -> np.ndarray:
+    def hashes(self, lane: int) -> np.ndarray:
+        """Hash of each word.  Every eight bytes are mixed into what came before, so that no arithmetic
+        relation between two words makes them equal; the ``lane``s are independent of each other."""
         out = np.empty(len(self.start), _U)
-        step = 1 << 18  # small enough for the caches; grown to whole words
-        i = 0
-        while i < len(out):
-            j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + step)))
-            a, b = int(self.start[i]), int(self.end[j - 1])
-            part = data[a:b]
-            if lower:
-                part = part + np.uint8(32) * ((part >= 65) & (part <= 90))
-            up, down = _byte_powers(b - a + 1)
-            cum = np.empty(b - a + 1, _U)
-            cum[0] = 0
-            np.cumsum((part.astype(_U) + _U(1)) * up[: b - a], out=cum[1:])
-            s, e = self.start[i:j] - a, self.end[i:j] - a
-            out[i:j] = mix((cum[e] - cum[s]) * down[s] + (e - s).astype(_U) * _U(_K[0]))
-            i = j
+        key = _factors(lane, 4)
+        step = 1 << 16
+        for i in range(0, len(out), step):
+            start, end = self.start[i : i + step], self.end[i : i + step]
+            a, b = int(start[0]), int(end[-1])
+            part = np.zeros(b - a + 8, np.uint8)
+            part[: b - a] = self.data[a:b]
+            if self.lower:
+                part += np.uint8(32) * ((part >= 65) & (part <= 90))
+            eight = np.ndarray(b - a + 1, "<u8", part, strides=(1,))  # the eight bytes from each byte on
+            at, left = start - a, end - start
+            h = mix(left.astype(_U) * key[0] + key[1])
+            live = np.flatnonzero(left <= LONG_WORD)
+            at, left = at[live], left[live]
+            while len(live):
+                x = eight[at]
+                short = left < 8
+                x[short] &= (_U(1) << (left[short] * 8).astype(_U)) - _U(1)
+                h[live] = mix((h[live] ^ x) * key[2] + key[3])
+                more = left > 8
+                live, at, left = live[more], at[more] + 8, left[more] - 8
+            for j in np.flatnonzero(end - start > LONG_WORD).tolist():
+                word = part[start[j] - a : end[j] - a].tobytes()
+                h[j] = int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=bytes([lane])).digest(), "little")
+            out[i : i + step] = h
         return out
 
     def text(self, i: int, j: int) -> str:
@@ -100,17 +105,15 @@ class Words:
         return " ".join(d[a:b].tobytes().decode() for a, b in zip(self.start[i:j].tolist(), self.end[i:j].tolist()))
 
 
-def runs(word_hash: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """Hash of every run of ``n`` words, by its first word; the order of the words counts."""
+def runs(word_hash: np.ndarray, n: int, lane: int = 0) -> np.ndarray:
+    """Hash of every run of ``n`` words, by its first word; each place in a run has a factor of its own."""
     k = len(word_hash) - n + 1
     if k <= 0:
         return np.zeros(0, _U)
-    r = pow(_K[1 + seed], 1, 1 << 64)
     out = np.zeros(k, _U)
-    for i in range(n):
-        out *= _U(r)
-        out += word_hash[i : i + k]
-    return mix(out + _U(seed * _K[2] % (1 << 64)))
+    for i, f in enumerate(_factors(lane + 2, n)):
+        out += word_hash[i : i + k] * f
+    return mix(out)
 
 
 def column(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ import random
 import pytest
 from helpers import awkward, blank_words, sha, table, words
 
-from sightline.llm import jaccard_join, substring_dedup
+from sightline.llm import jaccard_join, spread, substring_dedup
 from sightline.llm.components import components
 from sightline.llm.wordhash import Words, column
 
@@ -79,6 +79,75 @@ def brute_components(rows, k, percent):
     return sorted((i, len(sets[n]), min(ids[root(n)])) for n, (i, _) in enumerate(rows))
 
 
+def thue_morse(n, a, b):
+    s = a
+    while len(s) < n:
+        s += s.translate(str.maketrans({a: b, b: a}))
+    return s
+
+
+#: Two words of 1024 characters whose byte polynomials agree modulo 2**64, whatever odd factor they have.
+LIKE, UNLIKE = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+
+
+def test_words_with_equal_polynomials_are_told_apart(spark):
+    rows = [(1, LIKE), (2, UNLIKE), (3, UNLIKE), (4, LIKE + "x")]
+    assert sorted(map(tuple, jaccard_join.jaccard_components(table(spark, rows)).collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 2), (4, 1, 4)]
+    rows = [(1, words(19) + " " + LIKE), (2, words(19) + " " + UNLIKE), (3, words(19) + " " + LIKE)]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_one_large_group_of_near_copies(spark):
+    """Thousands of changed copies of one text, many of them too far from it, at the real limits."""
+    r = random.Random(9)
+    base = [f"v{r.randrange(400)}" for _ in range(120)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(r.choice((0, 1, 2, 4, 9))):
+            w[r.randrange(120)] = f"m{r.randrange(50)}"
+        rows.append((i, " ".join(w)))
+    got = jaccard_join.jaccard_components(table(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == fast_components(rows, 5, 80)
+
+
+def fast_components(rows, k, percent):
+    """As ``brute_components``, by a matrix of all intersections."""
+    import numpy as np
+
+    sets = [brute_set(t, k) for _, t in rows]
+    number = {x: j for j, x in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(rows), len(number)), np.float32)
+    for a, s in enumerate(sets):
+        m[a, [number[x] for x in s]] = 1
+    both, n = m @ m.T, m.sum(1)
+    linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    low = np.arange(len(rows))
+    while True:
+        now = np.where(linked, low[None, :], len(rows)).min(1)
+        if (now == low).all():
+            return sorted((i, len(s), rows[c][0]) for (i, _), s, c in zip(rows, sets, low.tolist()))
+        low = now
+
+
+def brute_set(text, k):
+    w = blank_words(text, lower=True)
+    return {tuple(w[s : s + k]) for s in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("rows_of_a_task", [3, 10_000])
+def test_join_spread(spark, monkeypatch, rows_of_a_task):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(spread, "ROWS", rows_of_a_task)
+    left = spark.range(100).select(F.when(F.col("id") < 60, 7).otherwise(F.col("id") % 5).alias("k"), "id")
+    right = spark.range(1, 9).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = spread.join_spread(left, right, "k")
+    assert got.columns == ["k", "id", "v"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+
+
 def near_copies(seed, groups=6, size=12, n=80):
     r = random.Random(seed)
     rows = []
@@ -98,6 +167,7 @@ def near_copies(seed, groups=6, size=12, n=80):
 )
 def test_jaccard_components(spark, monkeypatch, rows, k, percent, rare):
     monkeypatch.setattr(jaccard_join, "RARE", rare)
+    monkeypatch.setattr(spread, "ROWS", 10)
     rows = rows + [(rows[3][0], rows[3][1])]  # a repeated row
     got = jaccard_join.jaccard_components(table(spark, rows), k, percent, chunk_bytes=4000).collect()
     assert sorted(map(tuple, got)) == brute_components(rows, k, percent)
