@@ -1,9 +1,10 @@
-"""Exact token counts at every prefix of a text, from one encoding of it.
+"""Exact token counts at every prefix of a text, from one encoding of its pieces.
 
-``PrefixCounts`` is the table of a text: for each piece (see ``tokens``) its first character and
-the number of tokens before it, filled left to right: count[piece i + 1] = count[piece i] +
-tokens(piece i).  Any prefix is some whole pieces and the beginning of one more, so a question
-about a prefix costs a binary search and one encoding of at most one piece.
+The table of a text is filled left to right: tokens of text[:i], for a prefix that ends inside piece
+j (see ``tokens``), are the tokens of all pieces before it, plus those of the begun piece.  The second
+number is a fixed property of the piece and is looked up, so a text of n characters costs n
+additions; questions about truncation and budgets are then answered from the table, without the
+tokenizer.
 """
 
 from __future__ import annotations
@@ -21,46 +22,34 @@ from sightline.llm.workers import bound_batches
 
 @dataclass
 class PrefixCounts:
-    """``starts[i]``: first character of piece i; ``before[i]``: tokens of all pieces before it.
-    Both have one more entry at the end, for the whole text."""
+    """``tokens[i]``: tokens of the first i characters, as if they were encoded by themselves.
+
+    -1 stands at prefixes that end inside a token of a run of more than 64 characters without a
+    blank; those alone are encoded when asked for."""
 
     text: str
-    starts: np.ndarray
-    before: np.ndarray
+    tokens: np.ndarray
     encoder: Encoder
 
     @property
     def total(self) -> int:
-        return int(self.before[-1])
+        return int(self.tokens[-1])
 
     def at(self, chars: int) -> int:
-        """Tokens of ``text[:chars]``, as if that prefix were encoded by itself."""
+        """Tokens of ``text[:chars]``."""
         chars = max(0, min(chars, len(self.text)))
-        i = int(np.searchsorted(self.starts, chars, "right")) - 1
-        part = self.text[self.starts[i] : chars]
-        return int(self.before[i]) + (len(self.encoder.t.encode(part, add_special_tokens=False).ids) if part else 0)
+        n = int(self.tokens[chars])
+        return n if n >= 0 else len(self.encoder.t.encode(self.text[:chars], add_special_tokens=False).ids)
 
     def longest(self, budget: int) -> int:
-        """The most characters whose prefix, encoded by itself, has at most ``budget`` tokens, where
-        the prefix ends between two pieces, or inside the first piece beyond the budget."""
-        i = max(0, int(np.searchsorted(self.before, budget, "right")) - 1)
-        first = int(self.starts[i])
-        if i + 1 >= len(self.starts):
-            return first
-        end = int(self.starts[i + 1])
-        return next((c for c in range(end - 1, first, -1) if self.at(c) <= budget), first)
+        """The most characters whose prefix has at most ``budget`` tokens (of those in the table)."""
+        return int(np.flatnonzero((self.tokens >= 0) & (self.tokens <= max(0, budget)))[-1])
 
 
 def prefix_counts(texts: list[str], encoder: Encoder) -> Iterator[PrefixCounts]:
-    flat, n, split = encoder.pieces(texts)
-    size = encoder.counts(flat)
-    at = 0
-    for text, k, pieces in zip(texts, n, split):
-        zero = np.zeros(1, np.int64)
-        starts = np.concatenate([zero, np.cumsum(np.fromiter(map(len, pieces), np.int64, int(k)))])
-        before = np.concatenate([zero, np.cumsum(size[at : at + k])])
-        at += int(k)
-        yield PrefixCounts(text, starts, before, encoder)
+    counts, n = encoder.prefix_tokens(texts)
+    for text, c in zip(texts, np.split(counts, np.cumsum(n)[:-1])):
+        yield PrefixCounts(text, c, encoder)
 
 
 def token_counts(
@@ -72,12 +61,13 @@ def token_counts(
     text_col: str = "text",
 ) -> DataFrame:
     """One row for each document row: ``doc_id``, ``n_bytes`` (UTF-8), ``n_tokens``,
-    ``over_limit`` (more than ``limit`` tokens) and ``cut_chars``: characters of the longest run of
-    whole pieces from the start of the text that has at most ``limit`` tokens.
+    ``over_limit`` (more than ``limit`` tokens) and ``cut_chars``: characters of the longest prefix
+    of the text that has at most ``limit`` tokens (see ``PrefixCounts`` for the one exception).
 
-    With ``tables`` also the prefix table itself: ``piece_starts`` and ``tokens_before`` (arrays).
-    Null texts count as empty: no bytes, no tokens.  Rows are independent of each other; nothing is
-    shuffled.
+    With ``tables`` also the prefix table itself: ``prefix_tokens`` (array, one entry for each
+    prefix).  Null and empty texts have no bytes and no tokens.  Rows are independent of each other
+    and nothing is shuffled: repeated rows each keep theirs, an empty table gives none, and a very
+    long text is read whole, in a batch of its own.  Other columns are not looked at.
     """
     fields = [
         ("doc_id", pa.int64()),
@@ -88,28 +78,25 @@ def token_counts(
     ]
     ddl = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_chars long"
     if tables:
-        fields += [("piece_starts", pa.list_(pa.int64())), ("tokens_before", pa.list_(pa.int64()))]
-        ddl += ", piece_starts array<long>, tokens_before array<long>"
+        fields.append(("prefix_tokens", pa.list_(pa.int32())))
+        ddl += ", prefix_tokens array<int>"
     schema = pa.schema(fields)
 
     def run(it):
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, True)
         for b in it:
-            ids, column = b.column(0), b.column(1)
-            lengths = pa.compute.binary_length(column).fill_null(0).to_pylist()
-            for i, j in batches(lengths, 4_000_000):
-                texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
-                rows = [[] for _ in fields]
+            lengths = pa.compute.binary_length(b.column(1)).fill_null(0)
+            for i, j in batches(lengths.to_pylist(), 4_000_000):
+                counts, n = enc.prefix_tokens([t or "" for t in b.column(1).slice(i, j - i).to_pylist()])
+                ends = np.cumsum(n)
+                total = counts[ends - 1]
+                fits = np.where((counts >= 0) & (counts <= limit), np.arange(len(counts)), 0)
+                cut = np.maximum.reduceat(fits, ends - n) - (ends - n)
+                columns = [b.column(0).slice(i, j - i), lengths.slice(i, j - i).cast(pa.int64()), total, total > limit, cut]
                 if tables:
-                    for c in prefix_counts(texts, enc):
-                        k = int(np.searchsorted(c.before, limit, "right")) - 1
-                        for r, v in zip(rows[2:], (c.total, c.total > limit, int(c.starts[k]), c.starts, c.before)):
-                            r.append(v)
-                else:
-                    for r, v in zip(rows[2:], _answers(texts, enc, limit)):
-                        r.extend(v)
-                rows[0], rows[1] = ids.slice(i, j - i), lengths[i:j]
-                yield pa.RecordBatch.from_arrays([pa.array(r, t) if not isinstance(r, pa.Array) else r for r, (_, t) in zip(rows, fields)], schema=schema)
+                    offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32())))
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, fields)], schema=schema)
 
     import pyarrow.compute  # noqa: F401  (pa.compute)
 
@@ -118,21 +105,6 @@ def token_counts(
     return picked.mapInArrow(run, ddl)
 
 
-def _answers(texts: list[str], encoder: Encoder, limit: int) -> tuple[list, list, list]:
-    """n_tokens, over_limit and cut_chars of each text; only texts beyond the limit need their table."""
-    flat, n, split = encoder.pieces(texts)
-    size = encoder.counts(flat)
-    cum = np.concatenate([[0], np.cumsum(size)])
-    bounds = np.concatenate([[0], np.cumsum(n)])
-    total = cum[bounds[1:]] - cum[bounds[:-1]]
-    cut = [len(t) for t in texts]
-    for i in np.flatnonzero(total > limit):
-        before = cum[bounds[i] : bounds[i + 1] + 1] - cum[bounds[i]]
-        k = int(np.searchsorted(before, limit, "right")) - 1
-        cut[i] = sum(map(len, split[i][:k]))
-    return total.tolist(), (total > limit).tolist(), cut
-
-
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -70,7 +70,7 @@ def _train(it, tokenizer_path: str, end_id: int):
 
 
 def _dtype(tokenizer_path: str, end_id: int) -> str:
-    return "<u2" if max(len(encoder(tokenizer_path).mark) - 1, end_id) < 65_536 else "<u4"
+    return "<u2" if max(encoder(tokenizer_path).top, end_id) < 65_536 else "<u4"
 
 
 def _zdict(content: bytes):

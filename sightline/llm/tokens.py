@@ -3,7 +3,7 @@
 A piece is a run of ASCII blanks with the non-blank run behind it.  The two tokenizers that are
 used here never join what lies on both sides of such a boundary (their pre-tokenizers break where a
 blank follows a non-blank), so the tokens of a text are those of its pieces, one after another.
-Texts with other white space or control characters go to the library whole.
+Texts with other white space or control characters are cut only between visible ASCII characters.
 """
 
 from __future__ import annotations
@@ -22,11 +22,16 @@ PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
 ODD = re.compile(
     "[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
 )
-#: Distinct pieces that a worker remembers before it starts anew; a bound on memory only.
-REMEMBERED = 500_000
-#: Pieces that can go to the library many in one string, as their tokens can be told apart.
-PLAIN_BEGIN = re.compile(r" [A-Za-z\xdf-\xf6\xf8-\xff]+[.,;:!?]*")
-PLAIN_END = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+([.,;:!?]*)")
+#: In texts with such characters, pieces begin only where visible ASCII stands on both sides of one blank.
+SAFE = re.compile("(?<=[!-~])(?= [!-~])")
+#: Bytes that a worker remembers of pieces before it starts anew (each with ``EACH`` for its entries).
+REMEMBERED, EACH = 160_000_000, 120
+#: Characters up to which a piece's prefixes are all encoded.
+LONGEST = 64
+_L = "a-z\xdf-\xf6\xf8-\xff"
+#: Pieces of plain parts: (line feed)(letters)(punctuation); the pre-tokenizers break just between them.
+PLAIN_BEGIN = re.compile(rf"(\n?)((?<!\n) [A-Z\xc0-\xd6\xd8-\xde{_L}]+|[A-Z\xc0-\xd6\xd8-\xde{_L}]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]*)")
+PLAIN_END = re.compile(rf"()([\xc0-\xd6\xd8-\xde{_L}]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]*)")
 
 
 class _Index(dict):
@@ -42,14 +47,38 @@ class _Index(dict):
         return i
 
 
+class _Lists:
+    """Short number lists on end: list i is ``flat[starts[i] : starts[i + 1]]``."""
+
+    def __init__(self, flat=None, sizes=None, dtype=np.uint32):
+        self.flat = np.zeros(0, dtype) if flat is None else flat
+        self.starts = np.zeros(1, np.int64) if sizes is None else np.concatenate([[0], np.cumsum(sizes)])
+
+    def sizes(self, which: np.ndarray) -> np.ndarray:
+        return self.starts[which + 1] - self.starts[which]
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of those numbers on end, and their sizes."""
+        size = self.sizes(which)
+        at = np.arange(int(size.sum()), dtype=np.int64) + np.repeat(self.starts[which] - (np.cumsum(size) - size), size)
+        return self.flat[at], size
+
+    def extend(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, flat])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+
+
 class Encoder:
     """Token ids of whole texts, with a memory of pieces.
 
     A vocabulary with word-end marks drops white space and case; its pieces are blank-separated
-    words in lower-case ASCII.  Any other is taken to be byte-level, with blanks kept.
+    words in lower-case ASCII.  Any other is taken to be byte-level, with blanks kept.  With
+    ``prefixes``, pieces are cut from the text as it is, and the tokens of each of their prefixes are
+    remembered as well.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, prefixes: bool = False):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,92 +88,156 @@ class Encoder:
         self.t.no_truncation()
         self.t.no_padding()
         vocab = self.t.get_vocab()
+        self.top = max(vocab.values())
         self.ends = any(k.endswith("</w>") for k in vocab)
-        self.mark = np.zeros(max(vocab.values()) + 1, bool)
-        self.mark[[i for k, i in vocab.items() if (k.endswith("</w>") if self.ends else k.startswith("Ġ"))]] = True
+        # the same model for parts that its own rules would leave whole, many in one string
+        rules = json.loads(self.t.to_str())
+        rules["normalizer"] = rules["post_processor"] = None
+        rules["added_tokens"] = []
+        rules["pre_tokenizer"] = {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"String": "\x00"}, "behavior": "Removed", "invert": False},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        }
+        self.model = Tokenizer.from_str(json.dumps(rules))
+        self.prefixes = prefixes
+        self.plain = None if prefixes and self.ends else (PLAIN_END if self.ends else PLAIN_BEGIN).fullmatch
         self.reset()
 
     def reset(self) -> None:
-        self.index = _Index()
-        self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
+        self.index, self.bytes = _Index(), 0
+        self.tokens = _Lists()
+        #: of each piece, tokens of its first character, its first two, and so on
+        self.of_prefixes = _Lists(dtype=np.int32)
 
     def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [x.ids for x in self.t.encode_batch_fast(pieces, add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
 
-    def _together(self, pieces: list[str], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``words``: marked tokens that each piece has."""
-        joined = [(" " if self.ends else "").join(pieces[i : i + 1000]) for i in range(0, len(pieces), 1000)]
-        got = [x.ids for x in self.t.encode_batch_fast(joined, add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(got), np.uint32, sum(map(len, got)))
-        at = np.flatnonzero(self.mark[flat])
-        last = np.cumsum(words)
-        if len(at) != (last[-1] if len(last) else 0):
-            return self._alone(pieces)
-        cuts = np.concatenate([[0], at[last - 1] + 1]) if self.ends else np.concatenate([at, [len(flat)]])
-        return flat, np.diff(cuts)
+    def _together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [], []
+        for i in range(0, len(parts), 200_000):
+            some = parts[i : i + 200_000]
+            got = self.model.encode_batch(["\0".join(some[j : j + 1000]) for j in range(0, len(some), 1000)], add_special_tokens=False)
+            for j, x in enumerate(got):
+                ids.append(np.array(x.ids, np.uint32))
+                sizes.append(np.bincount(np.array(x.word_ids, np.int64), minlength=min(1000, len(some) - 1000 * j)))
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def _learn(self) -> None:
         new, self.index.new = self.index.new, []
-        plain = (PLAIN_END if self.ends else PLAIN_BEGIN).fullmatch
-        found = [plain(p) for p in new]
+        self.bytes += sum(map(len, new)) + EACH * len(new)
+        found = [self.plain(p) for p in new] if self.plain else [None] * len(new)
         easy = np.fromiter((m is not None for m in found), bool, len(new))
-        words = np.fromiter((2 if self.ends and m[1] else 1 for m in found if m), np.int64, int(easy.sum()))
-        a, an = self._together([p for p, m in zip(new, found) if m], words)
-        b, bn = self._alone([p for p, m in zip(new, found) if not m])
-        sizes = np.zeros(len(new), np.int64)
-        sizes[easy], sizes[~easy] = an, bn
-        flat = np.zeros(int(sizes.sum()), np.uint32)
-        of_easy = np.repeat(easy, sizes)
-        flat[of_easy], flat[~of_easy] = a, b
-        self.ids = np.concatenate([self.ids, flat])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        parts = _Index()  # number of each part
+        three = np.array([[parts[x] if x else -1 for x in (m[1], m[2].lower() if self.ends else m[2], m[3])] for m in found if m], np.int64).reshape(-1, 3)
+        names = list(parts)
+        lists = _Lists(*self._together(names))
+        a, of_part = lists.of(three[three >= 0])
+        in_parts = np.zeros(three.shape, np.int64)
+        in_parts[three >= 0] = of_part
+        hard = [p for p, m in zip(new, found) if not m]
+        self.tokens.extend(*_merge(easy, a, in_parts.sum(1), *self._alone(hard)))
+        if self.prefixes:
+            known = _Index()
+            which = np.fromiter((known[x[:j]] for x in names for j in range(1, len(x) + 1)), np.int64)
+            _, size = self._together(list(known))
+            a, length = _Lists(size[which], np.fromiter(map(len, names), np.int64, len(names))).of(three[three >= 0])
+            before = (np.cumsum(in_parts, 1) - in_parts)[three >= 0]  # tokens of the parts before
+            lengths = np.zeros(three.shape, np.int64)
+            lengths[three >= 0] = length
+            self.of_prefixes.extend(*_merge(easy, a + np.repeat(before, length), lengths.sum(1), *self._hard_prefixes(hard)))
+
+    def _hard_prefixes(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of every prefix.  Of pieces longer than ``LONGEST``, those that end between two tokens
+        (there, no merge was made across the end), and -1 for the others."""
+        short = [p[:j] for p in pieces if len(p) <= LONGEST for j in range(1, len(p) + 1)]
+        counts = iter(np.split(self._alone(short)[1], np.cumsum([len(p) for p in pieces if len(p) <= LONGEST])))
+        out = []
+        for p in pieces:
+            if len(p) <= LONGEST:
+                out.append(next(counts))
+                continue
+            x = self.t.encode(p, add_special_tokens=False)
+            c = np.full(len(p), -1, np.int64)
+            end = 0
+            for i, (s, e) in enumerate(x.offsets):
+                if s >= end > 0 and not p[s - 1].isspace():
+                    c[s - 1] = i
+                end = e
+            c[-1] = len(x.ids)
+            out.append(c)
+        return (np.concatenate(out) if out else np.zeros(0, np.int64)), np.fromiter(map(len, pieces), np.int64, len(pieces))
 
     def _split(self, text: str) -> list[str]:
         if ODD.search(text):
-            return [text]
-        if not self.ends:
+            return SAFE.split(text)
+        if self.prefixes or not self.ends:
             return PIECE.findall(text)
         if "<|" not in text:
             text = text.encode().lower().decode()
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
-    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        """Numbers of all pieces of all texts on end, the count of pieces of each text, the pieces."""
-        if len(self.index) > REMEMBERED:
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all pieces of all texts on end, and the count of pieces of each text."""
+        if self.bytes > REMEMBERED:
             self.reset()
         split = [self._split(t) for t in texts]
         n = np.fromiter(map(len, split), np.int64, len(split))
         flat = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
         if self.index.new:
             self._learn()
-        return flat, n, split
-
-    def counts(self, flat: np.ndarray) -> np.ndarray:
-        return self.starts[flat + 1] - self.starts[flat]
+        return flat, n
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids on end, and the number of ids of each text."""
-        flat, n, _ = self.pieces(texts)
-        size = self.counts(flat)
-        ends = np.cumsum(size)
-        at = np.arange(int(size.sum()), dtype=np.int64) + np.repeat(self.starts[flat] - (ends - size), size)
-        cum = np.concatenate([[0], ends])
-        bounds = np.concatenate([[0], np.cumsum(n)])
-        return self.ids[at], cum[bounds[1:]] - cum[bounds[:-1]]
+        flat, n = self.pieces(texts)
+        ids, size = self.tokens.of(flat)
+        return ids, _sums(size, n)
+
+    def prefix_tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of every prefix of every text on end, the empty and the whole one among them, and the
+        number of prefixes of each text.  -1: see ``_hard_prefixes``."""
+        flat, n = self.pieces(texts)
+        inside, length = self.of_prefixes.of(flat)
+        size = self.tokens.sizes(flat)
+        begin = np.cumsum(n) - n
+        before = np.concatenate([[0], np.cumsum(size)])
+        before = before[:-1] - np.repeat(before[begin], n)
+        counts = np.where(inside < 0, -1, inside + np.repeat(before, length))
+        chars = _sums(length, n)
+        return np.insert(counts, np.cumsum(chars) - chars, 0), chars + 1
+
+
+def _merge(easy, a, an, b, bn) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of two kinds in one order: those of ``easy`` from ``a``, the others from ``b``."""
+    sizes = np.zeros(len(easy), np.int64)
+    sizes[easy], sizes[~easy] = an, bn
+    flat = np.zeros(int(sizes.sum()), a.dtype)
+    of_easy = np.repeat(easy, sizes)
+    flat[of_easy], flat[~of_easy] = a, b
+    return flat, sizes
+
+
+def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the first n[0] values, the next n[1], and so on."""
+    cum = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(n)
+    return cum[ends] - cum[ends - n]
 
 
 @functools.cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, prefixes: bool) -> Encoder:
+    return Encoder(path, prefixes)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, prefixes: bool = False) -> Encoder:
     """One for each worker process, which serves many tasks."""
     enter("tokens", _encoder.cache_clear)
-    return _encoder(path)
+    return _encoder(path, prefixes)
 
 
 def batches(lengths: list[int], most: int):

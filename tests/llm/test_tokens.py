@@ -25,24 +25,52 @@ def test_ids_are_the_library_s(path):
     assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
-@pytest.mark.parametrize("text", TEXTS)
-def test_every_prefix(text):
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_every_prefix(path):
+    e = Encoder(path, True)
+    length = lambda t: len(e.t.encode(t, add_special_tokens=False).ids)
+    for text, c in zip(TEXTS, token_counts.prefix_counts(TEXTS, e)):
+        want = [length(text[:i]) for i in range(len(text) + 1)]
+        assert c.tokens.tolist() == want and [c.at(i) for i in range(len(want))] == want
+        for budget in range(c.total + 2):
+            assert c.longest(budget) == max(i for i, n in enumerate(want) if n <= budget)
+
+
+def test_prefixes_of_long_runs():
+    e = Encoder(BYTES, True)
+    texts = ["\u4f60\u597d\u4e16\u754c\u3002" * 30 + " end", "x" * 300 + " y", "a\xa0b" * 60, "'s" * 50]
+    for text, c in zip(texts, token_counts.prefix_counts(texts, e)):
+        want = [len(e.t.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+        assert [c.at(i) for i in range(len(want))] == want
+        assert all(n in (-1, w) for n, w in zip(c.tokens.tolist(), want)) and c.tokens[-1] == want[-1]
+        assert (c.tokens >= 0).sum() >= c.total // 3
+
+
+def test_memory_is_bounded_by_bytes(monkeypatch):
+    from sightline.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 10_000)
     e = Encoder(BYTES)
-    c = next(token_counts.prefix_counts([text], e))
-    assert [c.at(i) for i in range(len(text) + 1)] == [len(e.t.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
-    for budget in range(c.total + 2):
-        assert c.at(c.longest(budget)) <= budget
+    for i in range(5):
+        text = " ".join(f"w{i}x{j}" for j in range(50)) + " " + "\u4f60" * 3000
+        assert e.encode([text])[0].tolist() == e.t.encode(text, add_special_tokens=False).ids
+        assert e.bytes <= 10_000 + 20_000
 
 
 def test_token_counts(spark):
-    rows = awkward() + [(4, "x"), (None, "y z")]
+    rows = awkward() + [(4, "x"), (None, "y z"), (30, "a\xa0b " * 40)]
     t = Encoder(BYTES).t
     got = token_counts.token_counts(table(spark, rows), BYTES, limit=30, tables=True).collect()
-    want = sorted((str(i), len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows)
+    count = lambda x: len(t.encode(x or "", add_special_tokens=False).ids)
+    want = sorted((str(i), len((x or "").encode()), count(x)) for i, x in rows)
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got) == want
-    assert all(r.over_limit == (r.n_tokens > 30) and r.tokens_before[-1] == r.n_tokens for r in got)
+    assert all(r.over_limit == (r.n_tokens > 30) and r.prefix_tokens[-1] == r.n_tokens for r in got)
     cut = {r.doc_id: r.cut_chars for r in token_counts.token_counts(table(spark, rows), BYTES, limit=30).collect()}
     assert cut == {r.doc_id: r.cut_chars for r in got}
+    for i, x in rows:
+        if i not in (4, 9):
+            x = x or ""
+            assert cut[i] == max(j for j in range(len(x) + 1) if count(x[:j]) <= 30)
 
 
 def test_token_files_round_trip(spark, tmp_path):
