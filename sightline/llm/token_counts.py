@@ -1,10 +1,9 @@
-"""Exact token counts at every prefix of a text, from one encoding of its pieces.
+"""Exact token counts at every prefix of a text, from one encoding of it.
 
-The table of a text is filled left to right: tokens of text[:i], for a prefix that ends inside piece
-j (see ``tokens``), are the tokens of all pieces before it, plus those of the begun piece.  The second
-number is a fixed property of the piece and is looked up, so a text of n characters costs n
-additions; questions about truncation and budgets are then answered from the table, without the
-tokenizer.
+The table of a text is filled left to right: entry t + 1 is entry t and the characters of token t.  It
+has an entry for every prefix of whole tokens, and each of those has exactly as many tokens when it is
+encoded by itself, as no merge was made across its end.  Questions about truncation and budgets are
+answered from the table, without the tokenizer.
 """
 
 from __future__ import annotations
@@ -16,40 +15,44 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sightline.llm.tokens import Encoder, batches, encoder
+from sightline.llm.tokens import SAFE, Encoder, batches, encoder
 from sightline.llm.workers import bound_batches
 
 
 @dataclass
 class PrefixCounts:
-    """``tokens[i]``: tokens of the first i characters, as if they were encoded by themselves.
-
-    -1 stands at prefixes that end inside a token of a run of more than 64 characters without a
-    blank; those alone are encoded when asked for."""
+    """``ends[t]``: characters of the first t tokens, or -1 if token t ends inside a character."""
 
     text: str
-    tokens: np.ndarray
+    ends: np.ndarray
     encoder: Encoder
 
     @property
     def total(self) -> int:
-        return int(self.tokens[-1])
+        return len(self.ends) - 1
+
+    def longest(self, budget: int) -> int:
+        """Characters of the longest prefix of whole tokens with at most ``budget`` tokens."""
+        return int(self.ends[: max(0, min(budget, self.total)) + 1].max())
 
     def at(self, chars: int) -> int:
-        """Tokens of ``text[:chars]``."""
+        """Tokens of ``text[:chars]``.  Only a prefix that ends inside a token costs an encoding, of what
+        lies behind the last blank between two whole tokens."""
         chars = max(0, min(chars, len(self.text)))
-        n = int(self.tokens[chars])
-        return n if n >= 0 else len(self.encoder.t.encode(self.text[:chars], add_special_tokens=False).ids)
-
-    def longest(self, budget: int) -> int:
-        """The most characters whose prefix has at most ``budget`` tokens (of those in the table)."""
-        return int(np.flatnonzero((self.tokens >= 0) & (self.tokens <= max(0, budget)))[-1])
+        whole = np.flatnonzero((self.ends >= 0) & (self.ends <= chars))
+        if self.ends[whole[-1]] == chars:
+            return int(whole[-1])
+        for t in whole[::-1].tolist():
+            b = int(self.ends[t])
+            if b == 0 or SAFE.match(self.text, b):
+                return t + len(self.encoder.t.encode(self.text[b:chars], add_special_tokens=False).ids)
+        raise AssertionError("the empty prefix has an entry")
 
 
 def prefix_counts(texts: list[str], encoder: Encoder) -> Iterator[PrefixCounts]:
-    counts, n = encoder.prefix_tokens(texts)
-    for text, c in zip(texts, np.split(counts, np.cumsum(n)[:-1])):
-        yield PrefixCounts(text, c, encoder)
+    ends, n = encoder.prefix_ends(texts)
+    for text, e in zip(texts, np.split(ends, np.cumsum(n)[:-1])):
+        yield PrefixCounts(text, e, encoder)
 
 
 def token_counts(
@@ -62,10 +65,10 @@ def token_counts(
 ) -> DataFrame:
     """One row for each document row: ``doc_id``, ``n_bytes`` (UTF-8), ``n_tokens``,
     ``over_limit`` (more than ``limit`` tokens) and ``cut_chars``: characters of the longest prefix
-    of the text that has at most ``limit`` tokens (see ``PrefixCounts`` for the one exception).
+    of whole tokens that has at most ``limit`` of them (null for vocabularies that drop white space).
 
-    With ``tables`` also the prefix table itself: ``prefix_tokens`` (array, one entry for each
-    prefix).  Null and empty texts have no bytes and no tokens.  Rows are independent of each other
+    With ``tables`` also the prefix table itself: ``prefix_ends`` (array: characters of the first 0,
+    1, 2, ... tokens, -1 where a token ends inside a character).  Null and empty texts have no bytes and no tokens.  Rows are independent of each other
     and nothing is shuffled: repeated rows each keep theirs, an empty table gives none, and a very
     long text is read whole, in a batch of its own.  Other columns are not looked at.
     """
@@ -78,24 +81,30 @@ def token_counts(
     ]
     ddl = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_chars long"
     if tables:
-        fields.append(("prefix_tokens", pa.list_(pa.int32())))
-        ddl += ", prefix_tokens array<int>"
+        fields.append(("prefix_ends", pa.list_(pa.int64())))
+        ddl += ", prefix_ends array<long>"
     schema = pa.schema(fields)
 
     def run(it):
-        enc = encoder(tokenizer_path, True)
+        enc = encoder(tokenizer_path)
         for b in it:
             lengths = pa.compute.binary_length(b.column(1)).fill_null(0)
             for i, j in batches(lengths.to_pylist(), 4_000_000):
-                counts, n = enc.prefix_tokens([t or "" for t in b.column(1).slice(i, j - i).to_pylist()])
-                ends = np.cumsum(n)
-                total = counts[ends - 1]
-                fits = np.where((counts >= 0) & (counts <= limit), np.arange(len(counts)), 0)
-                cut = np.maximum.reduceat(fits, ends - n) - (ends - n)
-                columns = [b.column(0).slice(i, j - i), lengths.slice(i, j - i).cast(pa.int64()), total, total > limit, cut]
+                texts = [t or "" for t in b.column(1).slice(i, j - i).to_pylist()]
+                if enc.ends:
+                    n = enc.encode(texts)[1]
+                    none = [pa.nulls(j - i, t) for _, t in fields[4:]]
+                    columns = [b.column(0).slice(i, j - i), lengths.slice(i, j - i).cast(pa.int64()), pa.array(n), pa.array(n > limit), *none]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    continue
+                ends, n = enc.prefix_ends(texts)
+                begin = np.cumsum(n) - n
+                tokens = np.arange(len(ends)) - np.repeat(begin, n)
+                cut = np.maximum.reduceat(np.where(tokens <= limit, ends, 0), begin)
+                columns = [b.column(0).slice(i, j - i), lengths.slice(i, j - i).cast(pa.int64()), n - 1, n - 1 > limit, cut]
                 if tables:
-                    offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
-                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32())))
+                    offsets = pa.array(np.append(begin, len(ends)), pa.int32())
+                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(ends, pa.int64())))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, fields)], schema=schema)
 
     import pyarrow.compute  # noqa: F401  (pa.compute)

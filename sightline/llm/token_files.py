@@ -3,8 +3,9 @@
 Layout under the target folder, all of it Parquet so that any Spark reader can open it:
 
 ``dictionary``  one row: ``dict_hash``, ``dictionary`` (bytes), ``id_bytes`` (bytes of one id), ``end_id``
-``shards``      one row for each shard: ``part, seq, dict_hash, payload`` (frames on end) and the
-                offset index, one entry for each document: ``doc_ids, offsets, sizes``
+``shards``      one row for each shard: ``part, seq, dict_hash, payload`` (frames on end), the offset
+                index, one entry for each document: ``doc_ids, offsets, sizes``, and the least and
+                greatest id, ``min_id`` and ``max_id``, by which Parquet skips row groups of one or two shards
 ``starts``      one row for each shard: ``part, seq, start`` (ids before the shard), ``n_tokens``
 
 Shards in order of (part, seq), and documents within them, ascend by document id.  A frame is one
@@ -14,7 +15,7 @@ decompress that alone with the dictionary named by ``dict_hash``.
 
 Ids and texts never pass through the driver.  The dictionary is trained on a bounded sample: ids of
 at most ``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS`` characters, those with the smallest
-id hashes.  The sample touches only how small frames get, never what they hold.
+hashes of id and text among a share of the corpus that holds some four times as many.  The sample touches only how small frames get, never what they hold.
 """
 
 from __future__ import annotations
@@ -30,14 +31,14 @@ from pyspark.sql import functions as F
 
 from sightline.llm.tokens import batches, encoder
 from sightline.llm.workers import bound_batches
-from sightline.sources.work import cut, work_dir
+from sightline.sources.work import cut, discard, work_dir
 
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 16_384
 DICT_BYTES = 65_536
 SHARD_BYTES = 4_000_000
 _HEAD = "dict_hash string, dictionary binary, id_bytes int, end_id long"
 _SHARD = (
-    "part int, seq int, dict_hash string, n_tokens long, doc_ids array<long>, offsets array<long>, sizes array<long>, "
+    "part int, seq int, dict_hash string, n_tokens long, min_id long, max_id long, doc_ids array<long>, offsets array<long>, sizes array<long>, "
     "payload binary"
 )
 
@@ -90,20 +91,21 @@ def write_token_files(
 ) -> None:
     """Encode every whole text, append ``end_id``, and write the files described above to ``out``.
 
-    Null texts count as empty: a document of the end id alone.  Null ids come first.  Repeated ids
-    each keep their frame, in order of size and content.  An empty table writes empty tables.
+    Null and empty texts are a document of the end id alone.  Null ids come first.  Repeated ids
+    each keep their frame, in order of size and content.  An empty table writes empty tables.  A very
+    long text is encoded whole, in a batch of its own, and fills a shard alone.  Other columns are not
+    looked at.
     """
     import zstandard
 
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    sample = (
-        rows.where(F.length("t") <= SAMPLE_CHARS)
-        .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("t"))
-        .limit(SAMPLE_DOCS)
-        .select("t")
-    )
+    # a share by hash first, so that what the tasks hand on for sorting does not grow with their number
+    share = min(1.0, 4 * SAMPLE_DOCS / max(1, docs.count()))
+    h = F.xxhash64("doc_id", "t")
+    drawn = rows.where((F.length("t") <= SAMPLE_CHARS) & (F.pmod(h, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))))
+    sample = drawn.orderBy(h, "doc_id").limit(SAMPLE_DOCS).select("t")
     trained = sample.coalesce(1).mapInArrow(lambda it: _train(it, tokenizer_path, end_id), _HEAD)
     trained.write.parquet(f"{out}/dictionary")
     head = spark.read.schema(_HEAD).parquet(f"{out}/dictionary").first()  # at most DICT_BYTES
@@ -121,8 +123,11 @@ def write_token_files(
             lengths = pa.compute.binary_length(b.column(1)).to_pylist()
             for i, j in batches(lengths, 4_000_000):
                 ids, n = enc.encode(b.column(1).slice(i, j - i).to_pylist())
-                flat = np.insert(ids, np.cumsum(n), end_id).astype(dtype)
                 ends = np.cumsum(n + 1)
+                flat = np.full(len(ids) + len(n), end_id, dtype)
+                inside = np.ones(len(flat), bool)
+                inside[ends - 1] = False
+                flat[inside] = ids
                 view = memoryview(flat.tobytes())
                 w = flat.itemsize
                 frames = [c.compress(view[(e - k) * w : e * w]) for e, k in zip(ends.tolist(), (n + 1).tolist())]
@@ -153,12 +158,14 @@ def write_token_files(
                     pa.array([seq], pa.int32()),
                     pa.array([dict_hash]),
                     pa.array([sum(n)], pa.int64()),
+                    pa.array([min((i for i in ids if i is not None), default=None)], pa.int64()),
+                    pa.array([max((i for i in ids if i is not None), default=None)], pa.int64()),
                     pa.array([list(ids)], kind),
                     pa.array([offsets.tolist()], kind),
                     pa.array([sizes.tolist()], kind),
                     pa.array([b"".join(payload)], pa.binary()),
                 ],
-                names=["part", "seq", "dict_hash", "n_tokens", "doc_ids", "offsets", "sizes", "payload"],
+                names=[f.split()[0] for f in _SHARD.split(", ")],
             )
 
         for b in it:
@@ -171,7 +178,10 @@ def write_token_files(
         if held:
             yield row()
 
-    ordered.mapInArrow(shard, _SHARD).write.parquet(f"{out}/shards")
+    # frames are compressed; row groups of one or two shards, so that readers can skip the others
+    stored = ordered.mapInArrow(shard, _SHARD).write.option("compression", "uncompressed")
+    stored.option("parquet.block.size", SHARD_BYTES).parquet(f"{out}/shards")
+    discard(frames)
     shards = spark.read.schema(_SHARD).parquet(f"{out}/shards").select("part", "seq", "n_tokens")
     # ids before each part: one row for each part; ids before each shard: within its part
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("total"))
@@ -252,13 +262,14 @@ def _read(spark: SparkSession, out: str, column: str, of, kind: pa.DataType) ->
 
 
 def read_document(spark: SparkSession, out: str, doc_id: int) -> list[list[int]]:
-    """The ids of one document (a list for each of its rows), touching only its frames."""
+    """The ids of one document (a list for each of its rows): row groups whose ids lie elsewhere are
+    skipped by their statistics, and only the document's own frames are decompressed."""
     head = spark.read.schema(_HEAD).parquet(f"{out}/dictionary").first()
     d = _decoder(bytes(head["dictionary"]), head["dict_hash"])
     dtype = "<u2" if head["id_bytes"] == 2 else "<u4"
     hit = (
         spark.read.schema(_SHARD).parquet(f"{out}/shards")
-        .where(F.array_contains("doc_ids", doc_id))
+        .where((F.col("min_id") <= doc_id) & (F.col("max_id") >= doc_id))
         .select("payload", F.explode(F.arrays_zip("doc_ids", "offsets", "sizes")).alias("e"))
         .where(F.col("e.doc_ids") == doc_id)
         .select(F.expr("substring(payload, cast(e.offsets + 1 as int), cast(e.sizes as int))").alias("frame"))

@@ -26,14 +26,18 @@ ODD = re.compile(
 SAFE = re.compile("(?<=[!-~])(?= [!-~])")
 #: Bytes that a worker remembers of pieces before it starts anew (each with ``EACH`` for its entries).
 REMEMBERED, EACH = 160_000_000, 120
-#: Characters up to which a piece's prefixes are all encoded.
-LONGEST = 64
 _L = "a-z\xdf-\xf6\xf8-\xff"
 #: Pieces of plain parts: (line feed)(letters)(punctuation); the pre-tokenizers break just between them.
 PLAIN_BEGIN = re.compile(rf"(\n?)((?<!\n) [A-Z\xc0-\xd6\xd8-\xde{_L}]+|[A-Z\xc0-\xd6\xd8-\xde{_L}]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]*)")
 PLAIN_END = re.compile(rf"()([\xc0-\xd6\xd8-\xde{_L}]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]*)")
 
 
+#: How a byte-level vocabulary writes the bytes 128 to 191, which continue a character.
+#: Bytes that are printable in Latin-1 stand for themselves, the others for 256, 257 and so on.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_CONTINUES = {chr(b) for b in _PRINTED if 128 <= b < 192} | {chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED))) if 128 <= b < 192}
+
+
 class _Index(dict):
     """Number of each piece; an unknown one gets the next number and is noted in ``new``."""
 
@@ -72,12 +76,10 @@ class Encoder:
     """Token ids of whole texts, with a memory of pieces.
 
     A vocabulary with word-end marks drops white space and case; its pieces are blank-separated
-    words in lower-case ASCII.  Any other is taken to be byte-level, with blanks kept.  With
-    ``prefixes``, pieces are cut from the text as it is, and the tokens of each of their prefixes are
-    remembered as well.
+    words in lower-case ASCII.  Any other is taken to be byte-level, with blanks kept.
     """
 
-    def __init__(self, path: str, prefixes: bool = False):
+    def __init__(self, path: str):
         import json
         import os
 
@@ -102,15 +104,19 @@ class Encoder:
             ],
         }
         self.model = Tokenizer.from_str(json.dumps(rules))
-        self.prefixes = prefixes
-        self.plain = None if prefixes and self.ends else (PLAIN_END if self.ends else PLAIN_BEGIN).fullmatch
+        self.plain = (PLAIN_END if self.ends else PLAIN_BEGIN).fullmatch
+        if not self.ends:
+            # characters that begin in each token, and whether its first byte begins one
+            special = {i: t.content for i, t in self.t.get_added_tokens_decoder().items()}
+            self.chars, self.clean = np.zeros(self.top + 1, np.int32), np.ones(self.top + 1, bool)
+            for name, i in vocab.items():
+                bits = np.array([c not in _CONTINUES for c in name]) if i not in special else np.ones(len(name), bool)
+                self.chars[i], self.clean[i] = bits.sum(), bits[0]
         self.reset()
 
     def reset(self) -> None:
         self.index, self.bytes = _Index(), 0
         self.tokens = _Lists()
-        #: of each piece, tokens of its first character, its first two, and so on
-        self.of_prefixes = _Lists(dtype=np.int32)
 
     def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [x.ids for x in self.t.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -130,7 +136,7 @@ class Encoder:
     def _learn(self) -> None:
         new, self.index.new = self.index.new, []
         self.bytes += sum(map(len, new)) + EACH * len(new)
-        found = [self.plain(p) for p in new] if self.plain else [None] * len(new)
+        found = [self.plain(p) for p in new]
         easy = np.fromiter((m is not None for m in found), bool, len(new))
         parts = _Index()  # number of each part
         three = np.array([[parts[x] if x else -1 for x in (m[1], m[2].lower() if self.ends else m[2], m[3])] for m in found if m], np.int64).reshape(-1, 3)
@@ -141,41 +147,10 @@ class Encoder:
         in_parts[three >= 0] = of_part
         hard = [p for p, m in zip(new, found) if not m]
         self.tokens.extend(*_merge(easy, a, in_parts.sum(1), *self._alone(hard)))
-        if self.prefixes:
-            known = _Index()
-            which = np.fromiter((known[x[:j]] for x in names for j in range(1, len(x) + 1)), np.int64)
-            _, size = self._together(list(known))
-            a, length = _Lists(size[which], np.fromiter(map(len, names), np.int64, len(names))).of(three[three >= 0])
-            before = (np.cumsum(in_parts, 1) - in_parts)[three >= 0]  # tokens of the parts before
-            lengths = np.zeros(three.shape, np.int64)
-            lengths[three >= 0] = length
-            self.of_prefixes.extend(*_merge(easy, a + np.repeat(before, length), lengths.sum(1), *self._hard_prefixes(hard)))
-
-    def _hard_prefixes(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of every prefix.  Of pieces longer than ``LONGEST``, those that end between two tokens
-        (there, no merge was made across the end), and -1 for the others."""
-        short = [p[:j] for p in pieces if len(p) <= LONGEST for j in range(1, len(p) + 1)]
-        counts = iter(np.split(self._alone(short)[1], np.cumsum([len(p) for p in pieces if len(p) <= LONGEST])))
-        out = []
-        for p in pieces:
-            if len(p) <= LONGEST:
-                out.append(next(counts))
-                continue
-            x = self.t.encode(p, add_special_tokens=False)
-            c = np.full(len(p), -1, np.int64)
-            end = 0
-            for i, (s, e) in enumerate(x.offsets):
-                if s >= end > 0 and not p[s - 1].isspace():
-                    c[s - 1] = i
-                end = e
-            c[-1] = len(x.ids)
-            out.append(c)
-        return (np.concatenate(out) if out else np.zeros(0, np.int64)), np.fromiter(map(len, pieces), np.int64, len(pieces))
-
     def _split(self, text: str) -> list[str]:
         if ODD.search(text):
             return SAFE.split(text)
-        if self.prefixes or not self.ends:
+        if not self.ends:
             return PIECE.findall(text)
         if "<|" not in text:
             text = text.encode().lower().decode()
@@ -198,18 +173,18 @@ class Encoder:
         ids, size = self.tokens.of(flat)
         return ids, _sums(size, n)
 
-    def prefix_tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of every prefix of every text on end, the empty and the whole one among them, and the
-        number of prefixes of each text.  -1: see ``_hard_prefixes``."""
-        flat, n = self.pieces(texts)
-        inside, length = self.of_prefixes.of(flat)
-        size = self.tokens.sizes(flat)
-        begin = np.cumsum(n) - n
-        before = np.concatenate([[0], np.cumsum(size)])
-        before = before[:-1] - np.repeat(before[begin], n)
-        counts = np.where(inside < 0, -1, inside + np.repeat(before, length))
-        chars = _sums(length, n)
-        return np.insert(counts, np.cumsum(chars) - chars, 0), chars + 1
+    def prefix_ends(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Characters of the first 0, 1, 2, ... tokens of every text on end, and the number of entries of
+        each text.  -1 where a token ends inside a character."""
+        if self.ends:
+            raise ValueError("tokens of this vocabulary don't cover the text, so prefixes have no place in it")
+        ids, n = self.encode(texts)
+        ends = np.cumsum(n)
+        at = np.cumsum(self.chars[ids], dtype=np.int64)
+        at -= np.repeat(np.concatenate([[0], at])[ends - n], n)
+        inside = ~self.clean[ids]  # then the token before ends inside a character
+        at[np.flatnonzero(inside[1:])] = -1
+        return np.insert(at, ends - n, 0), n + 1
 
 
 def _merge(easy, a, an, b, bn) -> tuple[np.ndarray, np.ndarray]:
@@ -230,14 +205,14 @@ def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def _encoder(path: str, prefixes: bool) -> Encoder:
-    return Encoder(path, prefixes)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
-def encoder(path: str, prefixes: bool = False) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One for each worker process, which serves many tasks."""
     enter("tokens", _encoder.cache_clear)
-    return _encoder(path, prefixes)
+    return _encoder(path)
 
 
 def batches(lengths: list[int], most: int):

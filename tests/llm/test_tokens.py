@@ -25,25 +25,16 @@ def test_ids_are_the_library_s(path):
     assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
-@pytest.mark.parametrize("path", [BYTES, WORDS])
-def test_every_prefix(path):
-    e = Encoder(path, True)
-    length = lambda t: len(e.t.encode(t, add_special_tokens=False).ids)
-    for text, c in zip(TEXTS, token_counts.prefix_counts(TEXTS, e)):
-        want = [length(text[:i]) for i in range(len(text) + 1)]
-        assert c.tokens.tolist() == want and [c.at(i) for i in range(len(want))] == want
-        for budget in range(c.total + 2):
-            assert c.longest(budget) == max(i for i, n in enumerate(want) if n <= budget)
-
-
-def test_prefixes_of_long_runs():
-    e = Encoder(BYTES, True)
-    texts = ["\u4f60\u597d\u4e16\u754c\u3002" * 30 + " end", "x" * 300 + " y", "a\xa0b" * 60, "'s" * 50]
+def test_every_prefix():
+    e = Encoder(BYTES)
+    texts = TEXTS + ["\u4f60\u597d\u4e16\u754c\u3002" * 30 + " end", "x" * 300 + " y", "a\xa0b" * 60, "'s" * 50, "\U0001f600\U0001f601 \ud7ff z"]
     for text, c in zip(texts, token_counts.prefix_counts(texts, e)):
         want = [len(e.t.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
-        assert [c.at(i) for i in range(len(want))] == want
-        assert all(n in (-1, w) for n, w in zip(c.tokens.tolist(), want)) and c.tokens[-1] == want[-1]
-        assert (c.tokens >= 0).sum() >= c.total // 3
+        assert [c.at(i) for i in range(len(want))] == want and c.total == want[-1]
+        assert all(want[i] == t for t, i in enumerate(c.ends.tolist()) if i >= 0)
+        for budget in range(c.total + 2):
+            assert want[c.longest(budget)] <= budget
+        assert c.longest(c.total) == len(text)
 
 
 def test_memory_is_bounded_by_bytes(monkeypatch):
@@ -64,13 +55,15 @@ def test_token_counts(spark):
     count = lambda x: len(t.encode(x or "", add_special_tokens=False).ids)
     want = sorted((str(i), len((x or "").encode()), count(x)) for i, x in rows)
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got) == want
-    assert all(r.over_limit == (r.n_tokens > 30) and r.prefix_tokens[-1] == r.n_tokens for r in got)
+    assert all(r.over_limit == (r.n_tokens > 30) and len(r.prefix_ends) == r.n_tokens + 1 for r in got)
     cut = {r.doc_id: r.cut_chars for r in token_counts.token_counts(table(spark, rows), BYTES, limit=30).collect()}
     assert cut == {r.doc_id: r.cut_chars for r in got}
+    words = token_counts.token_counts(table(spark, rows), WORDS, limit=3).collect()
+    assert all(r.cut_chars is None and r.over_limit == (r.n_tokens > 3) for r in words)
     for i, x in rows:
         if i not in (4, 9):
             x = x or ""
-            assert cut[i] == max(j for j in range(len(x) + 1) if count(x[:j]) <= 30)
+            assert count(x[: cut[i]]) == min(30, count(x))
 
 
 def test_token_files_round_trip(spark, tmp_path):
