@@ -4,8 +4,8 @@ Every benchmark window (``window`` consecutive words of an item, or a whole shor
 sequence of shingles.  A document can contain the window only if it contains the window's rarest
 shingle, so with exact containment a prefix of one shingle is enough:
 
-1. All shingles of all documents meet the benchmark's shingles, as text, not as hashes.  What
-   matches is written once: one row for each matching place.
+1. All shingles of all documents meet the benchmark's shingles, as text, not as hashes, in one pass
+   of generated code.  What matches is written once: one row for each matching place.
 2. Rarity is the number of documents with a shingle, counted over all documents from those rows.
 3. Each window's rarest shingle is joined with the places; shingle position minus the shingle's
    offset in the window is the only place where the window can start, and it must lie in the
@@ -13,33 +13,33 @@ shingle, so with exact containment a prefix of one shingle is enough:
 4. The window is there exactly if the shingles that tile it stand at their places, looked up
    among the matching places.
 
-Only the benchmark side is ever broadcast, and only after its rows were counted against
-``BROADCAST_ROWS``; a larger benchmark is joined by shuffle.  Nothing of the corpus is gathered.
+Only the benchmark side is ever broadcast, and only after its rows and bytes were counted against
+``BROADCAST_ROWS`` and ``BROADCAST_BYTES``; a larger benchmark is joined by shuffle.  Nothing of the corpus is gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.llm.words import plain_words
 from sightline.sources.work import cut
 
-#: Benchmark shingles or windows that may be broadcast; of some 100 bytes each.
-BROADCAST_ROWS = 1_000_000
-
-
-def _shingles(words: Column, k: int) -> Column:
-    """All runs of ``k`` words, joined by one space; of a shorter text nothing."""
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (k - 1))),
-        lambda i: F.when(F.size(words) >= k, F.array_join(F.slice(words, i, k), " ")),
-    )
+#: Benchmark shingles or windows that may be broadcast, and bytes of their words.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 200_000_000
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _shingles(base: DataFrame, k: int, first: int) -> DataFrame:
+    """``doc_id, x, n, pos, g``: runs of ``k`` words, joined by one space, and where they begin.  With -1
+    as ``first``, every text has a row of that place and no shingle too."""
+    n = F.col("n").cast("int")
+    last = F.greatest(F.lit(first - 1), n - k)
+    at = base.withColumn("pos", F.explode(F.when(last >= first, F.sequence(F.lit(first), last))))
+    words = [F.get("w", F.col("pos") + i) for i in range(k)]
+    return at.select("doc_id", "x", "n", "pos", F.when(F.col("pos") >= 0, F.concat_ws(" ", *words)).alias("g"))
 
 
 def benchmark_windows(
@@ -77,7 +77,10 @@ def contained_windows(
     which a window stands in a document; words are counted from 0.
     """
     wins = cut(benchmark_windows(benchmark, window, shingle), "windows")
-    n_wins = wins.count()
+    size = wins.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("win")), F.lit(0)).alias("bytes")).first()
+    each = max(1, window - shingle + 1)  # shingles of a window
+    few = size["n"] * each <= BROADCAST_ROWS and size["bytes"] * each <= BROADCAST_BYTES
+    small = F.broadcast if few else lambda df: df
     # the shingles of each window and their offsets
     grams = wins.select("win", "len", "k", F.split("win", " ").alias("w")).select(
         "win",
@@ -92,26 +95,28 @@ def contained_windows(
     )
     lengths = [r[0] for r in wins.select("k").distinct().collect()]  # at most `shingle` values
     wanted = grams.select("g").distinct()
-    n_grams = n_wins * max(1, window - shingle + 1)
 
-    base = docs.select(
+    words = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("x"),
         plain_words(F.col(text_col)).alias("w"),
     )
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("x"),
-        F.size(plain_words(F.col(text_col))).cast("long").alias("n_words"),
-    )
-    places = None
-    for k in sorted(lengths):
-        at = base.select("doc_id", "x", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"), k)).alias("pos", "g"))
-        hit = at.join(_small(wanted, n_grams), "g", "left_semi")
-        places = hit if places is None else places.unionByName(hit)
-    if places is None:  # no window at all
-        places = base.select("doc_id", "x", F.size("w").alias("n"), F.lit(0).alias("pos"), F.lit("").alias("g")).limit(0)
-    places = cut(places.select("doc_id", "x", "n", "pos", "g"), "places")
+    base = words.select("doc_id", "x", F.size("w").cast("long").alias("n"), "w")
+    seen = F.col("wanted").isNotNull()
+    wanted = wanted.withColumn("wanted", F.lit(True))
+    if few and lengths:
+        # the row of each text comes from the same pass
+        each_length = [
+            _shingles(base, k, -1 if i == 0 else 0).join(small(wanted), "g", "left").where(seen | (F.col("pos") < 0))
+            for i, k in enumerate(sorted(lengths))
+        ]
+    else:
+        each_length = [base.select("doc_id", "x", "n", F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("g"))]
+        each_length += [_shingles(base, k, 0).join(wanted, "g") for k in sorted(lengths)]
+    met = functools.reduce(DataFrame.unionByName, [d.select("doc_id", "x", "n", "pos", "g") for d in each_length])
+    met = cut(met, "places")
+    rows = met.where("pos < 0").select("doc_id", "x", F.col("n").alias("n_words"))
+    places = met.where("pos >= 0")
 
     # a struct is never null, so documents without id count too
     df = places.groupBy("g").agg(F.count_distinct(F.struct("doc_id", "x")).alias("df"))
@@ -123,7 +128,7 @@ def contained_windows(
         .select("win", "len", "k", F.col("r.off").alias("off"), F.col("r.g").alias("g"))
     )
     found = (
-        places.join(_small(rarest, n_wins), "g")
+        places.join(small(rarest), "g")
         .withColumn("start", F.col("pos") - F.col("off"))
         .where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
         .select("doc_id", "x", "start", "win", "len", "k")
@@ -151,7 +156,7 @@ def contained_windows(
         .agg(F.count(F.lit(1)).alias("have"))
         .where("have = need")
     )
-    items = _small(wins.select("win", "items"), n_wins)
+    items = small(wins.select("win", "items"))
     return rows, held.join(items, "win").select("doc_id", "x", "start", "len", "items")
 
 
@@ -160,7 +165,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     occurrence of a benchmark window), ``n_items``, ``items_sha256`` and ``contaminated``.
 
     Null or wordless texts have no words and are never contaminated; null or wordless items have
-    no window.  Repeated rows each get their row.  Empty tables give no hits, or no rows.
+    no window.  Repeated rows each get their row.  Empty tables give no hits, or no rows.  A very long
+    text is cut into words in its task, and its shingles go on one by one.  Of a window's shingles that
+    are as rare, the first is joined.  Other columns are not looked at.
     """
     rows, occ = contained_windows(docs, benchmark, window, shingle, **cols)
     by = W.partitionBy("doc_id", "x").orderBy("start")
