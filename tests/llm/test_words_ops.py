@@ -1,5 +1,7 @@
 """Exact dedup, decontamination and licence scan against plain Python."""
 
+import math
+
 import pytest
 from helpers import awkward, plain_words, sha, table, words
 
@@ -64,35 +66,54 @@ def test_contamination(spark, monkeypatch, limit):
     assert sorted(map(tuple, got), key=key) == sorted(brute_contamination(rows, items), key=key)
 
 
-def brute_license(text, templates=licenses.TEMPLATES):
-    w, base, base_labels, labels = plain_words(text), [], set(), set()
-    for t in templates:
-        tw, (first, n) = t.words.split(), t.key
-        key = tw[first : first + n]
-        places = [s for s in range(len(w) - n + 1) if w[s : s + n] == key]
-        if places:
-            labels.add(t.label)
-            if t.base:
-                base += places
-                base_labels.add(t.label)
-    return (len(w), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)))
+def brute_licenses(rows, templates=licenses.TEMPLATES):
+    texts = [plain_words(t) for _, t in rows]
+    vocab = {w for t in templates for w in t.words.split()}
+    idf = {v: math.log((len(texts) + 1) / (sum(v in w for w in texts) + 1)) + 1e-9 for v in vocab}
+    out = []
+    for (i, _), w in zip(rows, texts):
+        base, base_labels, labels, score = [], set(), set(), 0.0
+        for t in templates:
+            tw, (first, n) = t.words.split(), t.key
+            rare = sorted(range(len(tw)), key=lambda j: (-idf[tw[j]], j))[: licenses.RARE]
+            for s in range(-first, len(w)):
+                there = [0 <= s + j < len(w) and w[s + j] == x for j, x in enumerate(tw)]
+                if all(there[first : first + n]) and sum(there[j] for j in rare) >= min(licenses.AGREE, len(tw)):
+                    labels.add(t.label)
+                    score = max(score, sum(idf[x] for x, y in zip(tw, there) if y) / sum(idf[x] for x in tw))
+                    if t.base:
+                        base.append(s)
+                        base_labels.add(t.label)
+        out.append((i, len(w), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), round(min(1.0, score), 9)))
+    return out
 
 
 def test_license_scan(spark):
+    full = licenses.TEMPLATES[3].words
     texts = [
         "Permission is hereby granted, free of charge, to any person",
         "permission is hereby denied",
+        "permission is hereby granted",
         "under the GNU Lesser General Public License or the Mozilla Public License",
         "general public general public license license mit mit license license",
         "MIT\nLicense" * 3,
         "apache license " * 400,
         "BSD-License creative commons attribution released into the public domain",
+        "head " * 50 + full.upper() + ". " + full.replace("merge", "x") + " GNU general public license " + licenses.TEMPLATES[5].words,
+        "license mit apache public general", *(t.words for t in licenses.TEMPLATES),
     ]
-    rows = awkward() + [(100 + i, t) for i, t in enumerate(texts)] + [(100, "isc license"), (None, "mit license")]
-    got = licenses.license_scan(table(spark, rows)).collect()
+    rows = awkward() + [(100 + i, t) for i, t in enumerate(texts)] + [(100, "isc license"), (None, "mit license"), (7000, "mit " * 50_000 + "license"), (7001, ("mit license x " * 20_000))]
+    got = [(*tuple(r)[:-1], round(r.score, 9)) for r in licenses.license_scan(table(spark, rows)).collect()]
     key = lambda r: tuple(map(str, r))
-    assert sorted((tuple(r)[:-1] for r in got), key=key) == sorted(((i, *brute_license(t)) for i, t in rows), key=key)
-    assert all(0 <= r.score <= 1 for r in got) and all((r.score > 0) == bool(r.labels) for r in got)
+    assert sorted(got, key=key) == sorted(brute_licenses(rows), key=key)
+    assert all((r[-1] > 0) == bool(r[-2]) for r in got)
+
+
+def test_licenses_of_another_table(spark):
+    own = (licenses.Template("a", "one", (0, 1), True), licenses.Template("b", "one two two one three", (1, 2)))
+    rows = [(1, "one one two two one three"), (2, "two two"), (3, "x two two one three"), (4, None)]
+    got = licenses.license_scan(table(spark, rows), licenses.template_table(spark, own)).collect()
+    assert sorted((*tuple(r)[:-1], round(r.score, 9)) for r in got if r.doc_id < 4) == sorted(brute_licenses(rows, own)[:3])
 
 
 def test_passage_that_only_rows_without_id_hold(spark):
