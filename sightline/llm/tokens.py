@@ -25,7 +25,7 @@ ODD = re.compile(
 #: In texts with such characters, pieces begin only where visible ASCII stands on both sides of one blank.
 SAFE = re.compile("(?<=[!-~])(?= [!-~])")
 #: Bytes that a worker remembers of pieces before it starts anew (each with ``EACH`` for its entries).
-REMEMBERED, EACH = 160_000_000, 120
+REMEMBERED, EACH = 96_000_000, 170
 _L = "a-z\xdf-\xf6\xf8-\xff"
 #: Pieces of plain parts: (line feed)(letters)(punctuation); the pre-tokenizers break just between them.
 PLAIN_BEGIN = re.compile(rf"(\n?)((?<!\n) [A-Z\xc0-\xd6\xd8-\xde{_L}]+|[A-Z\xc0-\xd6\xd8-\xde{_L}]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]*)")
