@@ -9,20 +9,20 @@ from sightline.functions import querytext
 from sightline.jobs import standins as s
 from sightline.jobs.queries import _THIN, _pool, _pool_sql, _thin, query
 from sightline.jobs.search_queries import _FUSED, _answers, _fused, _with_targets
-from sightline.jobs.text_queries import _KIND, _PARSED
+from sightline.jobs.text_queries import _KIND, _OBJECTS, _PARSED, _TARGETS
 from sightline.operators import evaluation as ev
 from sightline.operators import search as sr
 
 THREE = ("all", "frame", "crop")
 
-# ---- labels: a query's relevant videos are those of points with its label among the first hundred points;
+# ---- labels: a query's relevant videos are those of points with its label;
 # queries divisible by three have a golden frame, those divisible by five are negatives ----
 
 
 def _labels(spark, sf_dir: str) -> DataFrame:
-    q = s.query_vectors(spark, sf_dir).select("query_id", F.substring("query_id", 2, 3).cast("long").alias("n"), "label")
+    q = s.query_vectors(spark, sf_dir).select("query_id", s.query_number().alias("n"), "label")
     golden = F.col("n") % 3 == 0
-    grp = F.floor((F.col("n") + 4) / 4)
+    grp = F.floor((F.col("n") * s.EVERY + 4) / 4)
     return q.select(
         "query_id",
         "n",
@@ -37,7 +37,7 @@ def _labels(spark, sf_dir: str) -> DataFrame:
 
 
 def _relevant(spark, sf_dir: str) -> DataFrame:
-    near = s.idx(spark, sf_dir).where("vec_id < 100").select("label", "video_id").distinct()
+    near = s.idx(spark, sf_dir).select("label", "video_id").distinct()
     return _labels(spark, sf_dir).join(near, "label").select("query_id", "video_id")
 
 
@@ -46,13 +46,13 @@ def _scored(spark, sf_dir: str) -> DataFrame:
     return ev.first_ranks(labels, _thin(spark, sf_dir), _relevant(spark, sf_dir), THREE).join(labels, "query_id")
 
 
-_LABELS = """labels AS (
-  SELECT query_id, substr(query_id, 2, 3)::BIGINT AS n, label FROM qv),
+_LABELS = f"""labels AS (
+  SELECT query_id, {s.NUMBER} AS n, label FROM qv),
 lab AS (
   SELECT *, CASE WHEN n % 5 = 0 THEN 'negatif' WHEN n % 3 = 0 THEN 'golden' WHEN n % 2 = 0 THEN 'scene' ELSE 'class' END AS gt_type,
-    'k' || (n % 4) AS category, n % 5 <> 0 AS scorable, CASE WHEN n % 3 = 0 THEN 'v' || (((n + 4) // 4) % 5) END AS golden_video,
-    CASE WHEN n % 3 = 0 THEN (n + 4) // 4 END AS golden_frame, n % 10 = 5 AS gated FROM labels),
-relevant AS (SELECT DISTINCT query_id, video_id FROM lab JOIN (SELECT DISTINCT label, video_id FROM idx WHERE vec_id < 100) USING (label))"""
+    'k' || (n % 4) AS category, n % 5 <> 0 AS scorable, CASE WHEN n % 3 = 0 THEN 'v' || (((n * {s.EVERY} + 4) // 4) % 5) END AS golden_video,
+    CASE WHEN n % 3 = 0 THEN (n * {s.EVERY} + 4) // 4 END AS golden_frame, n % 10 = 5 AS gated FROM labels),
+relevant AS (SELECT DISTINCT query_id, video_id FROM lab JOIN (SELECT DISTINCT label, video_id FROM idx) USING (label))"""
 _SCORED = f"""{_THIN}, {_LABELS}, ranks AS (
   SELECT query_id, variant, min(rank) FILTER (r.video_id IS NOT NULL) AS rank,
     min(rank) FILTER (t.video_id = golden_video AND t.frame_idx = golden_frame) AS golden_rank,
@@ -123,14 +123,19 @@ def eval_topn(spark, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {s.IDX}, {s.QUERY}, {_LABELS} SELECT count(*) FILTER (gt_type = 'negatif' AND gated) AS gated, count(*) FILTER (gt_type = 'negatif') AS negatives,
-  coalesce(string_agg(query_id, ',' ORDER BY query_id) FILTER (gt_type = 'negatif' AND gated), '') AS gated_ids,
-  coalesce(string_agg(query_id, ',' ORDER BY query_id) FILTER (scorable AND gated), '') AS false_gates,
+  count(*) FILTER (scorable AND gated) AS false_gates,
   count(*) FILTER (gt_type = 'negatif' AND gated) / count(*) FILTER (gt_type = 'negatif') AS rate FROM lab""")
 def eval_negatives(spark, sf_dir: str) -> DataFrame:
     labels = _labels(spark, sf_dir)
     return ev.negatives(labels.drop("gated"), labels)
 
 
+@query(f"WITH {s.IDX}, {s.QUERY}, {_LABELS} SELECT query_id, gt_type, NOT scorable AS right FROM lab WHERE gated AND (gt_type = 'negatif' OR scorable)")
+def eval_gated(spark, sf_dir: str) -> DataFrame:
+    labels = _labels(spark, sf_dir)
+    return ev.gated_queries(labels.drop("gated"), labels)
+
+
 @query(f"""WITH {_THIN}, {_LABELS}, {_TOPS} SELECT min(top1_score) FILTER (scorable) AS least_positive,
   max(top1_score) FILTER (gt_type = 'negatif' AND NOT gated) AS largest_negative,
   round(min(top1_score) FILTER (scorable) - max(top1_score) FILTER (gt_type = 'negatif' AND NOT gated), 6) AS margin FROM lab JOIN tops USING (query_id)""")
@@ -216,12 +221,12 @@ def z_gap_median(spark, sf_dir: str) -> DataFrame:
 
 _FUSED_AXIS = f"""{_FUSED}, per AS (SELECT query_id, count(*) FILTER (status = 'kept') AS n_hits FROM fused GROUP BY query_id),
 axis AS (
-  SELECT query_id, 'b' || (substr(query_id, 2, 3)::INT % 3) AS bucket, CASE substr(query_id, 2, 3)::INT % 4 WHEN 0 THEN 'any' WHEN 1 THEN 'not_found' ELSE 'has_results' END AS expect,
+  SELECT query_id, 'b' || ({s.NUMBER} % 3) AS bucket, CASE {s.NUMBER} % 4 WHEN 0 THEN 'any' WHEN 1 THEN 'not_found' ELSE 'has_results' END AS expect,
     CASE WHEN coalesce(n_hits, 0) = 0 THEN 'not_found' ELSE 'has_results' END AS got FROM qv LEFT JOIN per USING (query_id))"""
 
 
 def _axis(spark, sf_dir: str) -> DataFrame:
-    n = F.substring("query_id", 2, 3).cast("int")
+    n = s.query_number()
     expected = s.query_vectors(spark, sf_dir).select(
         "query_id", F.concat(F.lit("b"), (n % 3).cast("string")).alias("bucket"),
         F.when(n % 4 == 0, "any").when(n % 4 == 1, "not_found").otherwise("has_results").alias("expect"),
@@ -306,12 +311,38 @@ def time_audit(spark, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_PARSED}, kinds AS (SELECT query_id, coalesce(list_filter(list_transform(tok, lambda t: {_KIND}), lambda k: k IS NOT NULL AND k <> 'adjunct')[-1], 'neutral') AS predicted,
   CASE WHEN contains(raw_query, 'otopark') THEN 'scene' ELSE 'object' END AS expected FROM tok)
-SELECT round(avg((predicted = expected)::INT), 6) AS accuracy, count(*) AS n, coalesce(string_agg(query_id, ',' ORDER BY query_id) FILTER (predicted <> expected), '') AS differing FROM kinds""")
+SELECT round(avg((predicted = expected)::INT), 6) AS accuracy, count(*) AS n, count(*) FILTER (predicted <> expected) AS differing FROM kinds""")
 def intent_accuracy(spark, sf_dir: str) -> DataFrame:
+    return ev.accuracy(_intents(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"""WITH {_PARSED}, kinds AS (SELECT query_id, coalesce(list_filter(list_transform(tok, lambda t: {_KIND}), lambda k: k IS NOT NULL AND k <> 'adjunct')[-1], 'neutral') AS predicted,
+  CASE WHEN contains(raw_query, 'otopark') THEN 'scene' ELSE 'object' END AS expected FROM tok)
+SELECT * FROM kinds WHERE predicted <> expected""")
+def intent_differences(spark, sf_dir: str) -> DataFrame:
+    return ev.differing(_intents(spark, sf_dir))
+
+
+def _intents(spark, sf_dir: str) -> DataFrame:
     parsed = querytext.parse(s.phr(spark, sf_dir))
     expected = F.when(F.contains("raw_query", F.lit("otopark")), "scene").otherwise("object")
-    out = ev.accuracy(parsed.select("query_id", F.col("intent").alias("predicted"), expected.alias("expected")))
-    return out.withColumn("accuracy", F.round("accuracy", 6))
+    return parsed.select("query_id", F.col("intent").alias("predicted"), expected.alias("expected"))
+
+
+@query(f"""WITH {_PARSED}, {_OBJECTS}, {_TARGETS}, found AS (
+  SELECT t.query_id, t.raw_query, t.object_en, t.color_en FROM targets t)
+SELECT query_id, CASE WHEN object_en IS NULL AND color_en IS NULL AND contains(raw_query, 'yol') THEN 'grey' ELSE color_en END AS color_en,
+  coalesce(object_en, CASE WHEN contains(raw_query, 'yol') THEN 'road' WHEN contains(raw_query, 'kavşak') THEN 'crossing' END) AS object_en FROM found""")
+def extracted_targets(spark, sf_dir: str) -> DataFrame:
+    """Unknown objects filled by an extractor, which sees each distinct text once."""
+    parsed = querytext.parse(s.phr(spark, sf_dir))
+    raw = parsed.where("object_en is null").select("text", "raw_query").groupBy("text").agg(F.min("raw_query").alias("raw"))
+    says = querytext.unresolved_texts(parsed).join(raw, "text").select(
+        "text",
+        F.when(F.contains("raw", F.lit("yol")), "road").when(F.contains("raw", F.lit("kavşak")), "crossing").alias("object"),
+        F.when(F.contains("raw", F.lit("yol")), "grey").alias("color"),
+    )
+    return querytext.fill_unknown(parsed, says).select("query_id", "object_en", "color_en")
 
 
 @query("""SELECT event_type AS kind, count(*) AS n, median(value) AS median, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import querytext as q
 from sightline.jobs import standins as s
-from sightline.jobs.queries import _THIN, _pool_sql, _thin, query
+from sightline.jobs.queries import SQL, _THIN, _pool_sql, _thin, query
 from sightline.jobs.text_queries import _KIND, _OBJECTS, _PARSED, _TARGETS, _lit
 from sightline.operators import index as ix
 from sightline.operators import search as sr
@@ -16,23 +16,23 @@ from sightline.operators import verify as vf
 from sightline.sources.work import cut
 
 # The stand-in's queries: targets by the number of the query, answers by the number of the hit.
-_NUM = "cast(substring(query_id, 2, 3) as int)"
+_NUM = "cast(substring(query_id, 2, 9) as long)"
 _TARGET_ROWS = (("car", "red"), ("man", "blue"), ("dog", None), ("rain", None), ("SUV", "black"), ("umbrella", None))
 _TARGET_SQL = (
-    "CASE substr(query_id, 2, 3)::INT % 6 " + " ".join(f"WHEN {i} THEN {_lit(o)}" for i, (o, _) in enumerate(_TARGET_ROWS)) + " END AS object_en, "
-    "CASE substr(query_id, 2, 3)::INT % 6 " + " ".join(f"WHEN {i} THEN {_lit(c)}" for i, (_, c) in enumerate(_TARGET_ROWS) if c) + " END AS color_en"
+    f"CASE {s.NUMBER} % 6 " + " ".join(f"WHEN {i} THEN {_lit(o)}" for i, (o, _) in enumerate(_TARGET_ROWS)) + " END AS object_en, "
+    f"CASE {s.NUMBER} % 6 " + " ".join(f"WHEN {i} THEN {_lit(c)}" for i, (_, c) in enumerate(_TARGET_ROWS) if c) + " END AS color_en"
 )
 
 
 def _with_targets(hits: DataFrame) -> DataFrame:
-    pick = lambda i: F.get(F.array(*[F.lit(r[i]) for r in _TARGET_ROWS]), F.expr(_NUM) % 6)
+    pick = lambda i: F.get(F.array(*[F.lit(r[i]) for r in _TARGET_ROWS]), (F.expr(_NUM) % 6).cast("int"))
     return hits.withColumns({"object_en": pick(0), "color_en": pick(1), "needs_verification": F.lit(True)}).withColumn(
         "has_color", F.col("color_en").isNotNull()
     )
 
 
 def _answers(work: DataFrame) -> DataFrame:
-    n = F.substring("id", 2, 12).cast("int") + F.expr(_NUM)
+    n = F.substring("id", 2, 12).cast("long") + F.expr(_NUM)
     kinds = F.explode(F.array(F.lit("presence"), F.lit("color"))).alias("kind")
     m = n + F.when(F.col("kind") == "color", 1).otherwise(0)
     answer = F.when(m % 5 == 0, None).when(m % 3 == 0, "No.").otherwise("Yes")
@@ -41,7 +41,7 @@ def _answers(work: DataFrame) -> DataFrame:
 
 _WORK = f"""{_THIN}, work AS (SELECT *, {_TARGET_SQL} FROM thin WHERE variant = 'all'),
 said AS (
-  SELECT *, color_en IS NOT NULL AS has_color, substr(id, 2)::INT + substr(query_id, 2, 3)::INT AS m,
+  SELECT *, color_en IS NOT NULL AS has_color, substr(id, 2)::BIGINT + {s.NUMBER} AS m,
     color_en IS NOT NULL AND source = 'crop' AND coalesce(CASE object_en {' '.join(f"WHEN {_lit(o)} THEN {_lit(c)}" for o, c in vf.CLASS_OF_OBJECT)} END = yolo_class, false) AS settled
   FROM work),
 asked AS (
@@ -85,6 +85,52 @@ def fuse_verdicts(spark, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir).select("query_id", "id", "status", F.round("vrank", 6).alias("vrank"), vf.verdict_label().alias("label"))
 
 
+_TASKS = SQL["verification_tasks"].rstrip()
+
+
+def _fake_model():
+    """A model in one line: errors, "No" or "Yes" by the numbers of image and question."""
+
+    def answer(image: str, question: str) -> str:
+        m = int(image[1:]) + len(question)
+        if m % 7 == 0:
+            raise TimeoutError
+        return "No" if m % 3 == 0 else "Yes"
+
+    return answer
+
+
+_SAYS = lambda q: f"CASE WHEN (substr(id, 2)::BIGINT + length({q})) % 7 = 0 THEN NULL WHEN (substr(id, 2)::BIGINT + length({q})) % 3 = 0 THEN 'No' ELSE 'Yes' END"
+
+
+@query(f"""WITH tasks AS ({_TASKS}), p AS (SELECT *, {_SAYS('presence_question')} AS said FROM tasks)
+SELECT query_id, id, 'presence' AS kind, said AS answer FROM p WHERE presence_question IS NOT NULL
+UNION ALL SELECT query_id, id, 'color', {_SAYS('color_question')} FROM p WHERE color_question IS NOT NULL AND (presence_question IS NULL OR said = 'Yes')""")
+def verify_answers(spark, sf_dir: str) -> DataFrame:
+    """Answers of a stand-in for a model, for which an image is its hit's id."""
+    asked = vf.questions(vf.worklist(_with_targets(_thin(spark, sf_dir)))).withColumns({"crop": F.col("id"), "frame": F.col("id")})
+    return vf.ask(asked, _fake_model)
+
+
+_OUTAGE = f"""{_WORK}, silent AS (
+  SELECT * REPLACE (CASE WHEN {s.NUMBER} % 2 = 0 THEN CASE WHEN settled THEN true END ELSE present END AS present,
+    CASE WHEN {s.NUMBER} % 2 = 0 THEN NULL ELSE color_match END AS color_match) FROM judged),
+down AS (SELECT *, bool_and(present IS NULL) OVER (PARTITION BY query_id) AS unavailable FROM silent)"""
+
+
+@query(f"""WITH {_OUTAGE} SELECT query_id, id, rank, unavailable, CASE WHEN unavailable OR present IS NULL THEN 'kept'
+  WHEN NOT present OR (has_color AND color_match IS NOT DISTINCT FROM false) THEN 'filtered' ELSE 'kept' END AS status,
+  CASE WHEN unavailable THEN 'unverified' WHEN present IS NULL THEN 'failed' WHEN NOT present THEN 'no match' WHEN has_color AND color_match THEN 'color ok'
+       WHEN has_color AND NOT color_match THEN 'color wrong' ELSE 'present' END AS label FROM down""")
+def verification_outage(spark, sf_dir: str) -> DataFrame:
+    """The service answers nothing for every second query and is down: those keep their order, unverified."""
+    work = vf.worklist(_with_targets(_thin(spark, sf_dir)))
+    answers = _answers(work).withColumn("answer", F.when(F.expr(_NUM) % 2 != 0, F.col("answer")))
+    fused = vf.fuse(vf.verdicts(work, answers), service_up=False)
+    label = vf.verdict_label(verified=~F.col("unavailable")).alias("label")
+    return fused.select("query_id", "id", "rank", "unavailable", "status", label)
+
+
 # ---- whole searches ----
 
 TOP = 48
@@ -92,17 +138,17 @@ TOP = 48
 
 def _asked(spark, sf_dir: str) -> DataFrame:
     """Parsed query texts with the gate's columns and a vector: that of the embedding whose number is the
-    conversation's, modulo their number."""
+    conversation's, modulo the number of embeddings."""
     parsed = q.parse(s.phr(spark, sf_dir))
     inventory = ix.class_inventory(s.idx(spark, sf_dir)).where("yolo_class <> 'kamyon'")
     gated = sr.not_found_gate(parsed, inventory).drop("ts_from", "ts_to")
     conv = F.substring_index("query_id", ":", 1).cast("long")
     turn = F.substring_index("query_id", ":", -1).cast("long")
-    n = F.pmod(conv, F.lit(50))
+    vectors = s.idx(spark, sf_dir).select(F.col("vec_id").alias("n"), "vector")
+    n = F.pmod(conv, F.lit(vectors.count()))
     start = F.when(turn % 3 == 0, F.lit(s.BASE_TS + 5.0)).when(turn % 3 == 1, F.lit(10.0))
-    vectors = s.idx(spark, sf_dir).where("vec_id < 50").select(F.col("vec_id").alias("n"), "vector")
     rows = gated.withColumns({"n": n, "ts_from": start, "ts_to": start + 40.0, "camera_id": F.lit(None).cast("string")})
-    return rows.join(F.broadcast(vectors), "n")  # fifty rows
+    return rows.join(vectors, "n")
 
 
 _OUTCOMES = f"""{s.IDX}, {_PARSED}, {_OBJECTS}, {_TARGETS},
@@ -110,7 +156,7 @@ inv AS (SELECT list(DISTINCT yolo_class) AS have FROM idx WHERE source = 'crop'
 kinds AS (SELECT query_id, coalesce(list_filter(list_transform(tok, lambda t: {_KIND}), lambda k: k IS NOT NULL AND k <> 'adjunct')[-1], 'neutral') AS intent FROM tok),
 gate AS (
   SELECT o.query_id, list_sort(list_filter(required, lambda c: NOT list_contains(have, c))) AS missing, generic_vehicle, have, k.intent,
-    o.has_color, o.needs_verification, t.object_en, t.color_en, split_part(o.query_id, ':', 1)::BIGINT % 50 AS n, split_part(o.query_id, ':', 2)::BIGINT AS turn
+    o.has_color, o.needs_verification, t.object_en, t.color_en, split_part(o.query_id, ':', 1)::BIGINT % (SELECT count(*) FROM idx) AS n, split_part(o.query_id, ':', 2)::BIGINT AS turn
   FROM objects o JOIN kinds k USING (query_id) JOIN targets t USING (query_id), inv),
 gates AS (
   SELECT *, len(missing) = 0 AND generic_vehicle AND NOT list_has_any(have, ['bisiklet', 'araba', 'motosiklet', 'otobüs', 'kamyon']) AS no_vehicle,

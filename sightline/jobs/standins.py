@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 BASE_TS = 1704067200
 #: Labels of the embeddings table become classes.
 CLASS_OF = ("insan", "araba", "kamyon", "otobüs", "bisiklet", "motosiklet")
-MEMBERS = 20  # embeddings that serve as query vectors
+EVERY = 50  # embeddings whose number it divides serve as query vectors
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -105,26 +105,33 @@ SIGHT = """sight AS (
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first embeddings as queries; every third has a time window, every fourth a camera."""
-    q = idx(spark, sf_dir).where(F.col("vec_id") < MEMBERS)
-    start = F.when(F.col("vec_id") % 6 == 0, F.lit(BASE_TS + 20.0)).when(F.col("vec_id") % 6 == 3, F.lit(10.0))
+    """Every fiftieth embedding as a query; of them, every third has a time window, every fourth a camera."""
+    n = F.floor(F.col("vec_id") / EVERY)
+    q = idx(spark, sf_dir).where(F.col("vec_id") % EVERY == 0)
+    start = F.when(n % 6 == 0, F.lit(BASE_TS + 20.0)).when(n % 6 == 3, F.lit(10.0))
     return q.select(
-        F.concat(F.lit("q"), F.lpad(F.col("vec_id").cast("string"), 3, "0")).alias("query_id"),
+        F.concat(F.lit("q"), F.lpad(n.cast("string"), 9, "0")).alias("query_id"),
         "vector",
         start.alias("ts_from"),
         (start + 30.0).alias("ts_to"),
-        F.when(F.col("vec_id") % 4 == 1, "c1").alias("camera_id"),
+        F.when(n % 4 == 1, "c1").alias("camera_id"),
         "label",
-        F.when(F.col("vec_id") % 2 == 0, "scene").otherwise("object").alias("intent"),
+        F.when(n % 2 == 0, "scene").otherwise("object").alias("intent"),
     )
 
 
-_START = f"CASE WHEN vec_id % 6 = 0 THEN {BASE_TS + 20.0}::DOUBLE WHEN vec_id % 6 = 3 THEN 10.0::DOUBLE END"
+def query_number(query_id: str = "query_id"):
+    return F.substring(query_id, 2, 9).cast("long")
+
+
+NUMBER = "substr(query_id, 2, 9)::BIGINT"
+_N = f"(vec_id // {EVERY})"
+_START = f"CASE WHEN {_N} % 6 = 0 THEN {BASE_TS + 20.0}::DOUBLE WHEN {_N} % 6 = 3 THEN 10.0::DOUBLE END"
 QUERY = f"""qv AS (
-  SELECT 'q' || lpad(vec_id::VARCHAR, 3, '0') AS query_id, vector, {_START} AS ts_from, {_START} + 30.0 AS ts_to,
-         CASE WHEN vec_id % 4 = 1 THEN 'c1' END AS camera_id, label,
-         CASE WHEN vec_id % 2 = 0 THEN 'scene' ELSE 'object' END AS intent
-  FROM idx WHERE vec_id < {MEMBERS})"""
+  SELECT 'q' || lpad({_N}::VARCHAR, 9, '0') AS query_id, vector, {_START} AS ts_from, {_START} + 30.0 AS ts_to,
+         CASE WHEN {_N} % 4 = 1 THEN 'c1' END AS camera_id, label,
+         CASE WHEN {_N} % 2 = 0 THEN 'scene' ELSE 'object' END AS intent
+  FROM idx WHERE vec_id % {EVERY} = 0)"""
 
 
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:

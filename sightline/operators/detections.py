@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +28,37 @@ def clean(det: DataFrame, p: Params = DEFAULT) -> DataFrame:
     )
 
 
+_FOUND = "det_idx int, cls_id int, conf double, x1 double, y1 double, x2 double, y2 double"
+
+
+def detect(frames: DataFrame, make: Callable[[], Callable], image: str = "image", batch: int = 8) -> DataFrame:
+    """Detections of a user's model: ``video_id, frame_idx, det_idx, cls_id, conf, x1, y1, x2, y2``.
+
+    ``make`` is called once in each Python worker and gives ``detect(list of images) -> list of lists of
+    (cls_id, conf, x1, y1, x2, y2)``; images are the values of the column ``image``, in batches of
+    ``batch``.  A frame without detections, or without image, has no row.  ``det_idx`` is the place in
+    the model's list.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]):
+        model = make()
+        for b in it:
+            for i in range(0, b.num_rows, batch):
+                part = b.slice(i, batch)
+                rows = [
+                    (v, f, n, int(c), *map(float, box))
+                    for v, f, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), model(part.column(2).to_pylist()))
+                    for n, (c, *box) in enumerate(found)
+                ]
+                if rows:
+                    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 5]
+                    names = ["video_id", "frame_idx", *[x.split()[0] for x in _FOUND.split(", ")]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    picked = frames.where(F.col(image).isNotNull()).select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), image)
+    return picked.mapInArrow(run, f"video_id string, frame_idx long, {_FOUND}")
+
+
 def iou(a: str, b: str) -> Column:
     """Intersection over union of the boxes ``{a}x1 ...`` and ``{b}x1 ...``; 0 if they don't meet."""
     c = lambda s, k: F.col(f"{s}{k}")
@@ -35,32 +69,23 @@ def iou(a: str, b: str) -> Column:
     return F.when((w <= 0) | (h <= 0), 0.0).otherwise(both / (area(a) + area(b) - both))
 
 
-def number_frames(frames: DataFrame) -> DataFrame:
-    """``frame_no``: place of a kept frame in its video.  Frames without detections count."""
-    return frames.select("video_id", "frame_idx").distinct().withColumn(
-        "frame_no", F.row_number().over(W.partitionBy("video_id").orderBy("frame_idx"))
-    )
-
-
 def suppress_static(det: DataFrame, frames: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Detections without a box of the same class and nearly the same place in the kept frame before.
 
     The comparison is with the previous frame's cleaned detections, whether or not those were
-    suppressed.  An anti join on video, frame and class; the box condition rides on the equal keys.
+    suppressed; frames without detections count as frames.  An anti join on video, frame and class; the
+    box condition rides on the equal keys.  The previous frame of each is found over the distinct frame
+    numbers alone, once.
     """
-    placed = det.join(number_frames(frames), ["video_id", "frame_idx"])
+    order = W.partitionBy("video_id").orderBy("frame_idx")
+    previous = frames.select("video_id", "frame_idx").distinct().withColumn("frame_before", F.lag("frame_idx").over(order))
     box = ["x1", "y1", "x2", "y2"]
-    before = placed.select(
-        F.col("video_id").alias("v"),
-        (F.col("frame_no") + 1).alias("n"),
-        F.col("cls_id").alias("c"),
-        *[F.col(k).alias(f"before_{k}") for k in box],
-    )
-    now = placed.select("*", *[F.col(k).alias(f"now_{k}") for k in box])
-    same = (F.col("video_id") == F.col("v")) & (F.col("frame_no") == F.col("n")) & (F.col("cls_id") == F.col("c"))
-    return now.join(before, same & (iou("before_", "now_") > p.static_iou), "left_anti").drop(
-        "frame_no", *[f"now_{k}" for k in box]
+    now = det.join(previous, ["video_id", "frame_idx"]).select("*", *[F.col(k).alias(f"now_{k}") for k in box])
+    before = det.select(
+        F.col("video_id").alias("v"), F.col("frame_idx").alias("n"), F.col("cls_id").alias("c"), *[F.col(k).alias(f"before_{k}") for k in box]
     )
+    same = (F.col("video_id") == F.col("v")) & (F.col("frame_before") == F.col("n")) & (F.col("cls_id") == F.col("c"))
+    return now.join(before, same & (iou("before_", "now_") > p.static_iou), "left_anti").drop("frame_before", *[f"now_{k}" for k in box])
 
 
 def cap_crops(det: DataFrame, p: Params = DEFAULT, ties: tuple[str, ...] = ("det_idx",)) -> DataFrame:

@@ -118,15 +118,24 @@ def top_hits(hits: DataFrame, n: int = 5) -> DataFrame:
 
 
 def negatives(labels: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """One row: negatives gated and in all, their rate, ids of the gated, and ids of scorable queries that
-    were gated by mistake."""
-    o = labels.join(outcomes.select("query_id", "gated"), "query_id", "left").withColumn("g", F.coalesce("gated", F.lit(False)))
+    """One row: negatives gated and in all, their rate, and the scorable queries that were gated by mistake.
+    ``gated_queries`` names them."""
+    o = _with_gates(labels, outcomes)
     neg = F.col("gt_type") == "negatif"
-    ids = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("query_id")))), ",")
-    return o.agg(
-        F.count_if(neg & F.col("g")).alias("gated"), F.count_if(neg).alias("negatives"), ids(neg & F.col("g")).alias("gated_ids"),
-        ids(F.col("scorable") & F.col("g")).alias("false_gates"),
-    ).withColumn("rate", F.try_divide("gated", "negatives"))
+    counts = o.agg(
+        F.count_if(neg & F.col("g")).alias("gated"), F.count_if(neg).alias("negatives"), F.count_if(F.col("scorable") & F.col("g")).alias("false_gates")
+    )
+    return counts.withColumn("rate", F.try_divide("gated", "negatives"))
+
+
+def gated_queries(labels: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The negatives that were gated, and the scorable queries that were gated by mistake (not ``right``)."""
+    o = _with_gates(labels, outcomes).where(F.col("g") & ((F.col("gt_type") == "negatif") | F.col("scorable")))
+    return o.select("query_id", "gt_type", (~F.col("scorable")).alias("right"))
+
+
+def _with_gates(labels: DataFrame, outcomes: DataFrame) -> DataFrame:
+    return labels.join(outcomes.select("query_id", "gated"), "query_id", "left").withColumn("g", F.coalesce("gated", F.lit(False)))
 
 
 def score_separation(labels: DataFrame, tops: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -171,16 +180,19 @@ def z_gap(pool: DataFrame, relevant: DataFrame, k: int = 40) -> DataFrame:
 
 def upper_median(values: DataFrame, column: str) -> DataFrame:
     """The middle value, or the upper one of the two middle values, one row.  Nulls don't count."""
-    listed = F.array_sort(F.collect_list(column))
-    return values.agg(F.get(listed, F.floor(F.size(listed) / 2).cast("int")).alias("median"), F.count(column).alias("n"))
+    # the discrete median is the lower one of the two, and of the negated values the upper one
+    return values.agg(F.expr(f"-percentile_disc(0.5) WITHIN GROUP (ORDER BY -`{column}`) + 0.0").alias("median"), F.count(column).alias("n"))
 
 
 def accuracy(pairs: DataFrame) -> DataFrame:
-    """One row: share of rows whose ``predicted`` is ``expected``, their number, and the ids that differ."""
+    """One row: share of rows whose ``predicted`` is ``expected``, their number, and how many differ."""
     ok = F.col("predicted").eqNullSafe(F.col("expected"))
-    return pairs.agg(
-        F.avg(ok.cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(~ok, F.col("query_id")))), ",").alias("differing")
-    )
+    return pairs.agg(F.avg(ok.cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n"), F.count_if(~ok).alias("differing"))
+
+
+def differing(pairs: DataFrame) -> DataFrame:
+    """The rows whose ``predicted`` is not ``expected``."""
+    return pairs.where(~F.col("predicted").eqNullSafe(F.col("expected")))
 
 
 def outcome_axis(expected: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sightline.sources.work import cut
+
 #: Fixed value: the URL namespace of name-based UUIDs.
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
@@ -32,19 +34,21 @@ def point_ids(points: DataFrame, prefix: str) -> DataFrame:
 
 
 def upsert_latest(batches: DataFrame, key: str = "id", order: str = "batch_no") -> DataFrame:
-    """The row of the latest batch for each key.
+    """The row of the latest batch for each key; of several in that batch, the one with the greatest
+    other columns, in their order, so that the result does not depend on the order of rows.
 
     One shuffle on the key.  ``max_by`` combines before it, so a key that comes in many batches is
     no hot spot.
     """
     rest = [c for c in batches.columns if c != key]
-    best = batches.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r"))
+    best = batches.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("r"))
     return best.select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
 def write_points(points: DataFrame, path: str, merge_with: DataFrame | None = None, files_per_video: int = 1) -> None:
     """Replace the stored points of the videos in ``points``; with ``merge_with`` (the stored points)
     keep those points of theirs that were not sent again."""
+    points = cut(points, "points")  # read twice below; what made them runs once
     if merge_with is not None:
         old = merge_with.join(points.select("video_id").distinct(), "video_id", "left_semi")
         both = old.withColumn("batch_no", F.lit(0)).unionByName(points.withColumn("batch_no", F.lit(1)))

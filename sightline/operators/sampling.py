@@ -21,17 +21,58 @@ from sightline.params import DEFAULT, Params
 # ---- pixels ----
 
 
+def shrink(bgr: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Bilinear resize of a decoded picture (uint8; rows, columns, colours), pixel centres on pixel centres."""
+
+    def places(n: int, m: int):
+        x = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+        i = np.minimum(np.floor(x).astype(int), max(0, n - 2))
+        return i, np.minimum(i + 1, n - 1), x - i
+
+    top, below, dy = places(bgr.shape[0], height)
+    left, right, dx = places(bgr.shape[1], width)
+    g = bgr.astype(np.float64)
+    g = g[top] * (1 - dy)[:, None, None] + g[below] * dy[:, None, None]
+    g = g[:, left] * (1 - dx)[None, :, None] + g[:, right] * dx[None, :, None]
+    return np.floor(g + 0.5).astype(np.uint8)
+
+
+def gray_of(bgr: np.ndarray) -> np.ndarray:
+    """Luma of a picture in whole numbers: 0.114 blue, 0.587 green, 0.299 red."""
+    b, g, r = (bgr[..., i].astype(np.int32) for i in range(3))
+    return ((1868 * b + 9617 * g + 4899 * r + 8192) >> 14).astype(np.uint8)
+
+
+def gray_grids(frames: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """The gate's grids (``w, h, gray``) of decoded frames: ``width, height, bgr`` (row-major bytes, three of
+    a pixel).  Other columns stay.  Frames without pixels have none afterwards and can't be gated."""
+    rest = [c for c in frames.columns if c not in ("width", "height", "bgr")]
+    picked = frames.where("bgr is not null and width > 0 and height > 0").select(*rest, "width", "height", "bgr")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.select(*rest).schema.fields)
+
+    def run(it):
+        for b in it:
+            out = []
+            for w, h, raw in zip(*(b.column(c).to_pylist() for c in ("width", "height", "bgr"))):
+                out.append(gray_of(shrink(np.frombuffer(raw, np.uint8).reshape(h, w, 3), p.grid_width, p.grid_height)).tobytes())
+            size = [pa.array([n] * b.num_rows, pa.int32()) for n in (p.grid_width, p.grid_height)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *size, pa.array(out, pa.binary())], names=[*rest, "w", "h", "gray"])
+
+    return picked.mapInArrow(run, f"{ddl}, w int, h int, gray binary")
+
+
 def smooth(gray: np.ndarray) -> np.ndarray:
-    """5 x 5 binomial blur with mirrored borders, in float."""
-    g = gray.astype(np.float64)
+    """5 x 5 binomial blur with mirrored borders, of whole numbers (rounded half up)."""
+    g = gray.astype(np.int32)
     for axis in (0, 1):
-        p = np.pad(g, [(2, 2) if i == axis else (0, 0) for i in (0, 1)], mode="reflect") if g.shape[axis] > 2 else None
-        if p is None:
-            continue
         n = g.shape[axis]
+        if n < 3:  # nothing to mirror: the border pixel stands for what lies beyond
+            p = np.pad(g, [(2, 2) if i == axis else (0, 0) for i in (0, 1)], mode="edge")
+        else:
+            p = np.pad(g, [(2, 2) if i == axis else (0, 0) for i in (0, 1)], mode="reflect")
         part = lambda i, p=p, n=n, axis=axis: np.take(p, range(i, i + n), axis=axis)
-        g = (part(0) + part(4) + 4 * (part(1) + part(3)) + 6 * part(2)) / 16
-    return g
+        g = part(0) + part(4) + 4 * (part(1) + part(3)) + 6 * part(2)
+    return ((g + 128) >> 8).astype(np.uint8)
 
 
 def level(gray: np.ndarray) -> np.ndarray:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Queries that one scan answers; their vectors are broadcast.  More queries take more scans.
 QUERY_BLOCK = 4096
+#: Points and queries of one block of scores in a task: 8 MB of doubles.
+POINTS, QUERIES = 2048, 512
 
 
 def embed(rows: DataFrame, column: str, make: Callable[[], Callable], batch: int = 16, out: str = "vector") -> DataFrame:
@@ -55,9 +57,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-12))
 
 
-_HIT = "query_id string, variant string, in_window boolean, score double, id string"
-
-
 def top_k(
     points: DataFrame,
     queries: DataFrame,
@@ -74,73 +73,107 @@ def top_k(
     its best points without the window come back, with ``time_dropped`` true: both are kept in one
     scan.  Result: ``query_id, variant, id, score, pos, time_dropped`` and the payload.
 
-    Each task keeps at most ``k`` rows for each query, variant and window state, so what is shuffled
-    does not grow with the points of a task.
+    Points and queries without vector take no part.  A point without ``ts`` is outside every window, and
+    inside for queries that have none.
+
+    The index is read once for each ``QUERY_BLOCK``.  Each task keeps at most ``k`` rows for each query,
+    variant and window state, with their payload, so neither its memory nor what is shuffled grows with
+    the points of a task.
     """
     for c, kind in (("ts_from", "double"), ("ts_to", "double"), ("camera_id", "string")):
         if c not in queries.columns:
             queries = queries.withColumn(c, F.lit(None).cast(kind))
-    queries = queries.select("query_id", "vector", "ts_from", "ts_to", "camera_id")
+    queries = queries.where("vector is not null").select("query_id", "vector", "ts_from", "ts_to", "camera_id")
     blocks = -(-queries.count() // QUERY_BLOCK) or 1
     of_block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     hits = None
     for b in range(blocks):
-        some = _best_of_tasks(points, queries.where(of_block == b), k, variants, digits)
+        some = _best_of_tasks(points, queries.where(of_block == b), k, variants, payload, digits)
         hits = some if hits is None else hits.unionByName(some)
     by = W.partitionBy("query_id", "variant", "in_window").orderBy(F.desc("score"), "id")
     ranked = hits.withColumn("pos", F.row_number().over(by)).where(F.col("pos") <= k)
     # points outside the window count only where none is inside
     any_inside = F.max("in_window").over(W.partitionBy("query_id", "variant"))
     picked = ranked.withColumn("any", any_inside).where(F.col("in_window") == F.col("any"))
-    picked = picked.select("query_id", "variant", "id", "score", "pos", (~F.col("any")).alias("time_dropped"))
-    return points.select("id", *payload).join(picked, "id")
+    return picked.select("id", *payload, "query_id", "variant", "score", "pos", (~F.col("any")).alias("time_dropped"))
+
+
+_RANK = [("q", "ascending"), ("v", "ascending"), ("in_window", "descending"), ("score", "descending"), ("id", "ascending")]
+
+
+def _best(rows: pa.Table, k: int) -> pa.Table:
+    """The first ``k`` rows of each query, variant and window state."""
+    rows = rows.sort_by(_RANK).combine_chunks()
+    group = [rows[c].to_numpy() for c in ("q", "v", "in_window")]
+    new = np.ones(len(rows), bool)
+    new[1:] = np.logical_or.reduce([g[1:] != g[:-1] for g in group])
+    start = np.flatnonzero(new)
+    place = np.arange(len(rows)) - np.repeat(start, np.diff(np.append(start, len(rows))))
+    return rows.filter(pa.array(place < k))
 
 
-def _best_of_tasks(points: DataFrame, queries: DataFrame, k: int, variants: tuple[str, ...], digits: int) -> DataFrame:
+def _best_of_tasks(points: DataFrame, queries: DataFrame, k: int, variants: tuple[str, ...], payload: tuple[str, ...], digits: int) -> DataFrame:
     """The best rows of each task for every query and variant, inside the window and, for queries
     that have one, outside it.  A query without a window has every point inside."""
     rows = queries.collect()  # at most about QUERY_BLOCK
+    bounded = np.array([r["ts_from"] is not None or r["ts_to"] is not None for r in rows], bool)
     asked = points.sparkSession.sparkContext.broadcast(
         {
             "ids": [r["query_id"] for r in rows],
             "v": unit_rows(np.array([r["vector"] for r in rows], np.float64)) if rows else None,
             "from": np.array([-np.inf if r["ts_from"] is None else r["ts_from"] for r in rows]),
             "to": np.array([np.inf if r["ts_to"] is None else r["ts_to"] for r in rows]),
+            "bounded": bounded,
             "camera": [r["camera_id"] for r in rows],
         }
     )
+    extra = [c for c in payload if c not in ("ts", "source", "camera_id")]
+    picked = points.where("vector is not null").select("id", "vector", "ts", "source", "camera_id", *extra)
+    hit = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.drop("vector").schema.fields)
+
+    def block(q, part: pa.Table, a: int, z: int):
+        """Best rows of some points for queries a to z - 1."""
+        x = unit_rows(part["vector"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(part), -1))
+        score = np.round(q["v"][a:z] @ x.T, digits)
+        ts = np.asarray(part["ts"].to_numpy(), float)
+        cameras = np.array(part["camera_id"].to_pylist(), object)
+        of_camera = {c: np.ones(len(part), bool) if c is None else cameras == c for c in set(q["camera"][a:z])}
+        fits = np.array([of_camera[c] for c in q["camera"][a:z]])
+        inside = ~q["bounded"][a:z, None] | ((ts >= q["from"][a:z, None]) & (ts <= q["to"][a:z, None]))
+        sources = np.array(part["source"].to_pylist(), object)
+        for v, variant in enumerate(variants):
+            mine = fits if variant == "all" else fits & (sources == variant)
+            for window in (True, False):
+                s = np.where(mine & (inside == window), score, -np.inf)
+                # points are in order of id, so a stable sort keeps the first ids among equals
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(s, top, axis=1)
+                i, j = np.nonzero(best > -np.inf)
+                if len(i):
+                    found = part.drop_columns(["vector"]).take(pa.array(top[i, j]))
+                    for name, value in (("q", a + i), ("v", np.full(len(i), v)), ("in_window", np.full(len(i), int(window))), ("score", best[i, j])):
+                        found = found.append_column(name, pa.array(value))
+                    yield found
 
     def run(it):
         q = asked.value
-        best: dict[tuple, tuple] = {}
+        held: list[pa.Table] = []
+        n, most = 0, 4 * k * max(1, len(q["ids"])) * len(variants)
         for b in it if q["ids"] else ():
-            ids = np.array(b.column("id").to_pylist(), object)
-            x = unit_rows(b.column("vector").flatten().to_numpy().astype(np.float64).reshape(len(ids), -1))
-            ts = b.column("ts").to_numpy(zero_copy_only=False)
-            source = np.array(b.column("source").to_pylist(), object)
-            camera = np.array(b.column("camera_id").to_pylist(), object)
-            score = np.round(q["v"] @ x.T, digits)
-            for i in range(len(q["ids"])):
-                fits = np.ones(len(ids), bool) if q["camera"][i] is None else camera == q["camera"][i]
-                inside = (ts >= q["from"][i]) & (ts <= q["to"][i])
-                for variant in variants:
-                    mine = fits if variant == "all" else fits & (source == variant)
-                    for window, rows_ in ((True, mine & inside), (False, mine & ~inside)):
-                        at = np.flatnonzero(rows_)
-                        if not len(at):
-                            continue
-                        s, d = best.get((i, variant, window), (np.zeros(0), np.zeros(0, object)))
-                        s, d = np.concatenate([s, score[i, at]]), np.concatenate([d, ids[at]])
-                        if len(s) > k:  # all that tie with the k-th, then the first ids among them
-                            most = np.flatnonzero(s >= -np.partition(-s, k - 1)[k - 1])
-                            order = sorted(most.tolist(), key=lambda j: (-s[j], d[j]))[:k]
-                            s, d = s[order], d[order]
-                        best[i, variant, window] = (s, d)
-        for (i, variant, window), (s, d) in best.items():
-            n = len(s)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([q["ids"][i]] * n), pa.array([variant] * n), pa.array([window] * n), pa.array(s), pa.array(d.tolist(), pa.string())],
-                names=["query_id", "variant", "in_window", "score", "id"],
-            )
-
-    return points.select("id", "vector", "ts", "source", "camera_id").mapInArrow(run, _HIT)
+            for begin in range(0, b.num_rows, POINTS):
+                part = pa.Table.from_batches([b.slice(begin, POINTS)]).sort_by("id").combine_chunks()
+                for a in range(0, len(q["ids"]), QUERIES):
+                    for found in block(q, part, a, min(a + QUERIES, len(q["ids"]))):
+                        held.append(found)
+                        n += len(found)
+                if n > most:
+                    held = [_best(pa.concat_tables(held), k)]
+                    n = len(held[0])
+        if held:
+            best = _best(pa.concat_tables(held), k)
+            ids, names = pa.array(q["ids"], pa.string()), pa.array(variants, pa.string())
+            best = best.append_column("query_id", ids.take(best["q"].combine_chunks())).append_column("variant", names.take(best["v"].combine_chunks()))
+            best = best.set_column(best.schema.get_field_index("in_window"), "in_window", best["in_window"].cast(pa.bool_())).drop_columns(["q", "v"])
+            yield from best.combine_chunks().to_batches(10_000)
+
+    return picked.mapInArrow(run, f"{hit}, in_window boolean, score double, query_id string, variant string")

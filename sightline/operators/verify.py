@@ -6,6 +6,9 @@ Answers come from a user's model (``answers``: ``query_id, id, kind, answer``; k
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,6 +61,45 @@ def questions(work: DataFrame) -> DataFrame:
     )
 
 
+_ANSWERS = "query_id string, id string, kind string, answer string"
+
+
+def ask(asked: DataFrame, make: Callable[[], Callable], crop: str = "crop", frame: str = "frame", tries: int = 2) -> DataFrame:
+    """Answers of a user's model to the questions of ``questions``: ``query_id, id, kind, answer``.
+
+    ``make`` is called once in each Python worker and gives ``answer_yes_no(image, question) -> str``;
+    the image is the value of the column ``crop`` or ``frame``, by ``view``.  The colour is asked only where
+    presence is settled or was answered with yes.  An error is tried again, ``tries`` times in all, and
+    is a null answer then; so is a missing image.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]):
+        model = make()
+
+        def once(image, question):
+            for _ in range(tries if image is not None else 0):
+                try:
+                    return model(image, question)
+                except Exception:  # noqa: BLE001  (whatever the user's model raises)
+                    continue
+            return None
+
+        for b in it:
+            rows = []
+            for q, i, settled, presence, color, image in zip(*(c.to_pylist() for c in b.columns)):
+                there = None
+                if presence is not None:
+                    there = once(image, presence)
+                    rows.append((q, i, "presence", there))
+                if color is not None and (settled or (there or "").strip().lower().startswith("y")):
+                    rows.append((q, i, "color", once(image, color)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=[x.split()[0] for x in _ANSWERS.split(", ")])
+
+    image = F.when(F.col("view") == "crop", F.col(crop)).otherwise(F.col(frame))
+    return asked.select("query_id", "id", "settled", "presence_question", "color_question", image.alias("image")).mapInArrow(run, _ANSWERS)
+
+
 def yes(answer: Column) -> Column:
     """True if the answer begins with a y; null stays null."""
     return F.lower(F.trim(answer)).startswith("y")

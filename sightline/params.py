@@ -9,6 +9,8 @@ from dataclasses import dataclass
 class Params:
     # frame gate
     sample_fps: float = 2.0
+    grid_width: int = 320
+    grid_height: int = 180
     pixel_threshold: float = 10.0
     keep_ratio: float = 0.0005
     dedup_ratio: float = 0.001

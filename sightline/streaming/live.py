@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pickle
+import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,14 +21,20 @@ def gate_stream(frames: DataFrame, p: Params = DEFAULT, blur: bool = True) -> Da
     """Kept frames of a stream of frames (``video_id, frame_idx, t, w, h, gray``), with one gate's state
     for each video.
 
-    Within a micro-batch a video's frames are taken in order of time; frames of one video must not
-    overtake each other across batches, as in a camera's own stream.
+    Within a micro-batch a video's frames are taken in order of time, for which the task holds their
+    grids, compressed: bound a batch at the source (``maxFilesPerTrigger`` or the like).  Frames of one
+    video must not overtake each other across batches, as in a camera's own stream.
     """
 
     def step(key, batches, state: GroupState):
         gates = {key[0]: pickle.loads(state.get[0]) if state.exists else Gate()}
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["t", "frame_idx"])
-        rows = zip(*(pdf[c] for c in ("video_id", "frame_idx", "t", "w", "h", "gray")))
+        # pixels are kept compressed until all of the micro-batch's rows are here and in order
+        held = []
+        for pdf in batches:
+            for v, i, t, w, h, gray in zip(*(pdf[c] for c in ("video_id", "frame_idx", "t", "w", "h", "gray"))):
+                held.append((t, i, v, w, h, zlib.compress(gray, 1)))
+        held.sort(key=lambda r: r[:2])
+        rows = ((v, i, t, w, h, zlib.decompress(gray)) for t, i, v, w, h, gray in held)
         kept = [(v, i, t, score, why) for v, i, t, ok, score, why in gate_rows(rows, gates, p, blur) if ok]
         state.update((pickle.dumps(gates[key[0]]),))
         yield pd.DataFrame(kept, columns=["video_id", "frame_idx", "t", "motion_score", "why"])
@@ -55,12 +62,20 @@ def event_stream(sightings: DataFrame, gap_s: float = DEFAULT.event_gap_s, late:
     )
 
 
-def upsert_stream(points: DataFrame, path: str, checkpoint: str, time: str = "time", late: str = "1 hour"):
-    """Starts a stream that appends new index points to ``path``.  Points come with their deterministic
-    ``id``; one that was sent twice within ``late`` is written once."""
-    unique = points.withWatermark(time, late).dropDuplicatesWithinWatermark(["id"])
+def upsert_stream(points: DataFrame, path: str, checkpoint: str, order: str = "time"):
+    """Starts a stream that writes index points to ``path``: the last write of an ``id`` wins, for ever.
+
+    Every micro-batch is one folder, ``batch_no=N``, with the latest row of each of its ids (by ``order``).
+    A batch that is tried again replaces its own folder, so nothing is written twice.
+    ``stored_points`` reads the latest row of each id over all batches.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        upsert_latest(batch.withColumn("batch_no", F.lit(number))).write.mode("append").parquet(path)
+        upsert_latest(batch, order=order).write.mode("overwrite").parquet(f"{path}/batch_no={number}")
+
+    return points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stored_points(spark: SparkSession, path: str) -> DataFrame:
+    """The latest row of each id that ``upsert_stream`` wrote to ``path``."""
+    return upsert_latest(spark.read.parquet(path).withColumn("batch_no", F.col("batch_no").cast("long"))).drop("batch_no")

@@ -122,3 +122,29 @@ def test_fill_unknown_only_fills_gaps(spark):
     assert sorted(map(str, q.fill_unknown(p, e).select("text", "object_en", "color_en").collect())) == sorted(
         map(str, spark.createDataFrame([("Forklift", "forklift", "blue"), ("forklift", "forklift", "red"), ("araba", "car", None)], "text string, object_en string, color_en string").collect())
     )
+
+
+@pytest.mark.parametrize("sizes", [(2048, 512), (3, 2)])
+def test_top_k_against_a_full_sort(spark, monkeypatch, sizes):
+    """With null times, null vectors, zero vectors, ties, and queries of every kind."""
+    import random
+
+    monkeypatch.setattr(v, "POINTS", sizes[0])
+    monkeypatch.setattr(v, "QUERIES", sizes[1])
+    r = random.Random(3)
+    vec = lambda: None if r.random() < 0.1 else [float(r.randrange(-2, 3)) for _ in range(3)]
+    points = [(f"p{i:03}", vec(), None if r.random() < 0.2 else float(i), r.choice(["a", "b", None]), r.choice(["frame", "crop"]), i) for i in range(120)]
+    queries = [(f"q{i}", vec(), *r.choice([(None, None), (10.0, 30.0), (None, 20.0), (900.0, None)]), r.choice([None, "a", "z"])) for i in range(12)]
+    p = spark.createDataFrame(points, "id string, vector array<float>, ts double, camera_id string, source string, n int").repartition(5)
+    q = spark.createDataFrame(queries, "query_id string, vector array<float>, ts_from double, ts_to double, camera_id string")
+    got = {(x.query_id, x.variant, x.pos): (x.id, x.score, x.time_dropped, x.n) for x in v.top_k(p, q, 4, ("all", "crop"), payload=("n", "ts")).collect()}
+    want = {}
+    unit = lambda x: np.array(x) / max(np.linalg.norm(x), 1e-12)
+    for qid, qv, lo, hi, cam in queries:
+        for variant in ("all", "crop"):
+            rows = [x for x in points if x[1] and qv and cam in (None, x[3]) and variant in ("all", x[4])]
+            inside = [x for x in rows if (lo is None and hi is None) or (x[2] is not None and (lo is None or x[2] >= lo) and (hi is None or x[2] <= hi))]
+            best = sorted((-round(float(unit(x[1]) @ unit(qv)), 6) + 0.0, x[0], x[5]) for x in inside or rows)[:4]
+            want |= {(qid, variant, n + 1): (i, pytest.approx(-score, abs=2e-6), not inside, m) for n, (score, i, m) in enumerate(best)}
+    assert got == want
+    assert v.top_k(p.where("false"), q, 4, payload=("n", "ts")).count() == 0

@@ -111,3 +111,35 @@ def test_wilson(spark):
     low, high = ev.wilson(F.col("h").cast("double"), F.col("n").cast("double"))
     got = [(round(r[0], 3), round(r[1], 3)) for r in spark.createDataFrame(rows, "h int, n int").select(low, high).collect()]
     assert got[0] == (0.0, 0.0) and got[1][0] == 0.0 and got[2][1] == 1.0 and got[3] == (0.646, 0.985)
+
+
+def test_models_that_fail(spark):
+    from sightline.operators import verify as vf
+
+    calls = []
+
+    def make():
+        seen = set()
+
+        def answer(image, question):
+            if image == "bad" or (image == "once" and (image, question) not in seen):
+                seen.add((image, question))
+                raise OSError
+            return "No" if image == "none" else " Yes."
+
+        return answer
+
+    rows = [("q", n, n, False, "p?", "c?", "crop") for n in ("good", "bad", "once", "none")] + [("q", "null", None, False, "p?", None, "crop"), ("q", "sure", "good", True, None, "c?", "crop"), ("q", "far", "bad", False, "p?", None, "frame")]
+    df = spark.createDataFrame(rows, "query_id string, id string, crop string, settled boolean, presence_question string, color_question string, view string")
+    got = sorted((r.id, r.kind, r.answer) for r in vf.ask(df.selectExpr("*", "'good' as frame"), make).collect())
+    yes = " Yes."
+    assert got == [("bad", "presence", None), ("far", "presence", yes), ("good", "color", yes), ("good", "presence", yes), ("none", "presence", "No"), ("null", "presence", None), ("once", "color", yes), ("once", "presence", yes), ("sure", "color", yes)] and not calls
+
+
+def test_detector_rows(spark):
+    from sightline.operators import detections as d
+
+    frames = spark.createDataFrame([("v", 1, b"ab"), ("v", 2, b""), ("v", 3, None)], "video_id string, frame_idx long, image binary")
+    make = lambda: lambda images: [[(c, 0.5, 1, 2, 3, 4) for c in im] for im in images]
+    got = sorted(map(tuple, d.detect(frames, make, batch=1).collect()))
+    assert got == [("v", 1, 0, 97, 0.5, 1.0, 2.0, 3.0, 4.0), ("v", 1, 1, 98, 0.5, 1.0, 2.0, 3.0, 4.0)]

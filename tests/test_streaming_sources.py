@@ -45,12 +45,33 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert got[:2] == [(1000.0, 1050.0, 2, "b"), (1101.0, 1101.0, 1, "c")] and all(r[3] != "late" for r in got)
 
 
-def test_upsert_stream_writes_once(spark, tmp_path):
+def test_upsert_stream_keeps_the_last_write(spark, tmp_path):
     base = str(tmp_path)
-    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "id string, x int").withColumn("time", F.timestamp_seconds(F.lit(1000)))
-    df.write.parquet(f"{base}/in")
-    live.upsert_stream(spark.readStream.schema(df.schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/state").awaitTermination()
-    assert sorted(r.id for r in spark.read.parquet(f"{base}/out").collect()) == ["a", "b"]
+    schema = "id string, x int, time timestamp"
+
+    def send(rows):
+        spark.createDataFrame(rows, "id string, x int, t long").select("id", "x", F.timestamp_seconds("t").alias("time")).write.mode("append").parquet(f"{base}/in")
+        live.upsert_stream(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/state").awaitTermination()
+
+    stored = lambda: sorted((r.id, r.x) for r in live.stored_points(spark, f"{base}/out").collect())
+    send([("a", 1, 1000), ("a", 2, 1001), ("b", 3, 1000)])
+    assert stored() == [("a", 2), ("b", 3)]
+    send([("a", 9, 900), ("c", 4, 10**6)])  # sent again, whatever its time says
+    send([("b", 5, 2 * 10**6)])
+    assert stored() == [("a", 9), ("b", 5), ("c", 4)]
+    # a batch that is tried again changes nothing: its commit is undone, and the stream starts anew
+    for f in (tmp_path / "state" / "commits").glob("*2*"):
+        f.unlink()
+    live.upsert_stream(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/state").awaitTermination()
+    assert stored() == [("a", 9), ("b", 5), ("c", 4)]
+    assert spark.read.parquet(f"{base}/out").count() == 5
+
+
+def test_stream_gate_query_is_the_batch_gate(spark, sf_dir):
+    from sightline.jobs.all_queries import QUERIES
+
+    want = sorted((r.video_id, r.frame_idx) for r in sp.gate_frames(standins.grids(spark, sf_dir), GRID_GATE).collect())
+    assert sorted((r.video_id, r.frame_idx) for r in QUERIES["stream_gate"](spark, sf_dir).collect()) == want
 
 
 def test_catalog(spark, tmp_path):
