@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm.spread import join_spread
 from sightline.sources.work import cut
 
 
@@ -30,8 +31,9 @@ def exact_groups(
 
     Null texts count as empty; they form one group with empty texts.  A null id loses against any
     other id; a group of null ids only keeps a null id.  Of repeated rows with the winning id all
-    are marked kept, since they cannot be told apart.  An empty table gives an empty result.
-    Other columns are ignored, whatever their names.
+    are marked kept, since they cannot be told apart.  An empty table gives an empty result.  A very
+    long text is hashed and compared whole, as one value.  Other columns are ignored, whatever their
+    names.  Rows of a large group find their winner in several tasks.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")
@@ -47,19 +49,20 @@ def exact_groups(
     # so that a row still finds its own.
     winners = cut(
         winners.select(
-            "d", F.octet_length("t").alias("len"), F.xxhash64("t").alias("x"), "keep_id", "group_size"
+            F.struct("d", F.octet_length("t").alias("len"), F.xxhash64("t").alias("x")).alias("key"), "keep_id", "group_size"
         ),
         "exact_winners",
     )
     looked = rows.select(
-        "doc_id", digest.alias("d"), F.octet_length("t").alias("len"), F.xxhash64("t").alias("x")
-    ).join(winners, ["d", "len", "x"])
+        "doc_id", F.struct(digest.alias("d"), F.octet_length("t").alias("len"), F.xxhash64("t").alias("x")).alias("key")
+    )
+    looked = join_spread(looked, winners, "key", winners.select("key", F.col("group_size").alias("rows")))
     return looked.select(
         "doc_id",
         "keep_id",
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("d")).alias("text_sha256"),
+        F.lower(F.hex("key.d")).alias("text_sha256"),
     )
 
 

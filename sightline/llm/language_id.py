@@ -35,20 +35,43 @@ _LETTER = re.compile(r"[^\W\d_]")
 _K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
+#: Characters of a text that are hashed at once; longer ones are taken in pieces.
+PIECE = 2_000_000
+
+
+def _hashed(codes: np.ndarray, n: int) -> np.ndarray:
+    """Feature of every n-gram, by its first character."""
+    shift = np.uint32(32 - FEATURES.bit_length() + 1)
+    h = np.full(max(0, len(codes) - n + 1), n, np.uint32)
+    for i in range(n):
+        h *= _K[0]
+        h ^= codes[i : len(codes) - n + 1 + i] * _K[1]
+        h ^= h >> np.uint32(15)
+    return ((h * _K[2]) >> shift).astype(np.int32)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def _grams(texts: list[str]):
     """(features, counts) of each text, features ascending."""
     padded = [f" {t.lower()} " for t in texts]
+    if sum(map(len, padded)) > PIECE + max(map(len, padded)):
+        for t in texts:
+            yield from _grams([t])
+        return
+    if len(padded) == 1 and len(padded[0]) > PIECE:
+        c = np.zeros(FEATURES, np.int64)
+        for a in range(0, len(padded[0]), PIECE):
+            for n in ORDERS:  # n-grams that begin in this piece
+                c += np.bincount(_hashed(_codes(padded[0][a : a + PIECE + n - 1]), n), minlength=FEATURES)
+        f = np.flatnonzero(c)
+        yield f, c[f]
+        return
     ends = np.cumsum([len(t) for t in padded])
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
-    shift = np.uint32(32 - FEATURES.bit_length() + 1)
-    by_order = []
-    for n in ORDERS:
-        h = np.full(max(0, len(codes) - n + 1), n, np.uint32)
-        for i in range(n):
-            h *= _K[0]
-            h ^= codes[i : len(codes) - n + 1 + i] * _K[1]
-            h ^= h >> np.uint32(15)
-        by_order.append(((h * _K[2]) >> shift).astype(np.int32))
+    codes = _codes("".join(padded))
+    by_order = [_hashed(codes, n) for n in ORDERS]
     a = 0
     for b in ends.tolist():
         c = np.bincount(np.concatenate([x[a : max(a, b - n + 1)] for n, x in zip(ORDERS, by_order)]), minlength=FEATURES)
@@ -233,7 +256,14 @@ def held_out(doc_id: Column) -> Column:
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row for each document row: ``doc_id, held_out, lang_pred, score``; learned from the rows
-    that are not held out.  A null id is not held out."""
+    that are not held out.  A null id is not held out.
+
+    Texts that are null or have no letter, empty ones among them, are ``und`` with score 0; of equally
+    likely labels the first in order is taken.  Repeated rows each keep theirs and, if learnable, count
+    each in the document frequencies.  A very long text is read whole, in pieces whose counts are added.
+    An empty table gives no rows; without any label to learn all are ``und``.  Other columns than the
+    three named are not looked at.
+    """
     model = train(docs.where(~held_out(F.col(id_col))), id_col, text_col, lang_col)
     out = predict(docs, model, id_col, text_col)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -259,7 +259,9 @@ def mixing_rates(
     ``weights``: share of the mix's tokens for each domain; the mix is as large as it takes for the
     heaviest domain to keep ``epochs`` times its expected tokens.  Tokens are words here.  Null texts
     have no tokens and the prior as posterior.  Without labels, or for domains that no label names,
-    nothing is learned: every rate is 1.  Repeated rows are rated alike; an empty table gives no rows.
+    nothing is learned: every rate is 1.  Repeated rows are rated alike; an empty table gives no rows.  A very long text is read
+    whole; only the classifier's sample leaves it out.  Ties between domains do not matter, as posteriors
+    are not rounded.  Other columns are not looked at.
     """
     weights = weights or TARGETS
     model = train(docs, labels, id_col, text_col)

@@ -327,8 +327,10 @@ def substring_dedup(
 
     A word goes if a run of ``window`` words around it also begins earlier: in a document of
     smaller id, or earlier in the same document.  Everything is judged on the input texts.  Words are
-    runs of other characters than space and 9 to 13.  Null texts count as empty; a null id counts as
-    larger than any other.  Rows of one id count as one after another, in an arbitrary order.
+    runs of other characters than space and 9 to 13.  Null and empty texts have none; a null id counts as
+    larger than any other.  Rows of one id, repeated rows among them, count as one after another, in an
+    arbitrary order.  A very long text is read whole, in a chunk of its own.  An empty table gives no
+    rows.  Other columns are not looked at.  ``chunk_bytes``: see ``pack_chunks``.
     """
     if window < 2:
         raise ValueError("a window has two words at least")

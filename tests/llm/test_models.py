@@ -119,3 +119,13 @@ def test_sample_shares_are_corrected():
     texts = pa.array(["good words here"] * 40 + ["bad stuff there"] * 40)
     m = mixing.fit(texts, ["clean"] * 40 + ["toxic"] * 40, list(range(80)), {"clean": 900, "toxic": 100})
     assert m["names"] == ["clean", "toxic"] and m["prior"].tolist() == [0.9, 0.1]
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    import random
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("abc éß\u4f60") for _ in range(n)) for n in (1000, 0, 37, 999)]
+    want = [(f.tolist(), c.tolist()) for f, c in language_id._grams(texts)]
+    monkeypatch.setattr(language_id, "PIECE", 100)
+    assert [(f.tolist(), c.tolist()) for f, c in language_id._grams(texts)] == want
