@@ -19,18 +19,24 @@ def _same(df: DataFrame) -> DataFrame:
 
 
 def join_spread(
-    left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, then: Callable[[DataFrame], DataFrame] = _same
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    counts: DataFrame | None = None,
+    then: Callable[[DataFrame], DataFrame] = _same,
+    rows: int | None = None,
 ) -> DataFrame:
     """Inner join on ``key``, which is unique in ``right``.  Keys with many rows in ``left`` are dealt
     over several tasks, each with a copy of the key's row of ``right``.
 
     ``left`` is read twice and should be stored.  ``counts``: its ``key, rows`` if known.  ``then`` is
-    applied to the rows of ``left`` before the join.
+    applied to the rows of ``left`` before the join.  ``rows``: of one key that one task takes, for wide
+    rows fewer than ``ROWS``.
     """
     if counts is None:
         counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
     total = counts.agg(F.sum("rows")).first()[0] or 0
-    most = max(ROWS, total // PARTS)
+    most = max(rows or ROWS, total // PARTS)
     if total <= most:
         return then(left).join(right, key)
     hot = cut(counts.where(F.col("rows") > most).select(key, F.ceil(F.col("rows") / most).cast("int").alias("copies")), "hot")
