@@ -2,6 +2,9 @@
 
 Every stage takes ``(spark, docs, sf_dir)``.  All but the last return documents with the columns of
 ``documents``; the last returns the index of the token files.
+
+In every stage: an empty table gives an empty one; very long texts are read whole; nulls in columns that
+a stage does not decide by are kept as they are; further columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import decontaminate, jaccard_join, language_id, mixing, token_files
-from sightline.sources.work import work_dir
+from sightline.sources.work import remove, work_dir
 
 #: Documents whose most likely language is less likely than this are rejected.
 LEAST_SCORE = 0.4
@@ -21,7 +24,8 @@ LEAST_SCORE = 0.4
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that the classifier knows; texts that are null, have no letters or
-    resemble no language go.  ``lang`` becomes the prediction where it was null."""
+    resemble no language go.  ``lang`` becomes the prediction where it was null.  Repeated rows share
+    their fate; rows without id are judged as one id."""
     found = language_id.language_id(docs).where(
         (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
     )
@@ -53,7 +57,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item.  Null and empty texts hold none and stay; repeated
+    rows share their fate; rows of one id, or of none, are judged by their own texts."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     _, occurrences = decontaminate.contained_windows(docs, benchmark)
     hit = occurrences.select("doc_id", "x").distinct()
@@ -64,12 +69,15 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its rate in the mix says."""
+    """Every document as often as its rate in the mix says.  Null and empty texts have no tokens and the
+    rate of an average document; repeated rows are each rated alike."""
     return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def to_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the documents, and their index as read back: ``doc_id, start, n_tokens, ids_crc32``."""
+    """Token files of the documents, and their index as read back: ``doc_id, start, n_tokens, ids_crc32``.
+    Null and empty texts are the end id alone; rows without id come first; repeated rows each have their
+    frame."""
     out = f"{work_dir(spark)}/pipeline-tokens-{uuid.uuid4().hex}"
     token_files.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), out)
     return token_files.token_checksums(spark, out)
@@ -89,11 +97,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             path = f"{work_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)  # nothing reads it any more
+            before = path
     return docs

@@ -25,6 +25,10 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this process made, for ``clear``.
+_made: list[str] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as read from there.
 
@@ -32,6 +36,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     costs only the tasks that it held.
     """
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -43,6 +48,13 @@ def discard(df: DataFrame) -> None:
     remove(df.sparkSession, df.stored_at)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove the tables that ``cut`` has made so far.  To be called once results are written elsewhere, as
+    results still read from these tables."""
+    while _made:
+        remove(spark, _made.pop())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared store."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
