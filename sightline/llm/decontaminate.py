@@ -36,8 +36,8 @@ def _shingles(base: DataFrame, k: int, first: int) -> DataFrame:
     """``doc_id, x, n, pos, g``: runs of ``k`` words, joined by one space, and where they begin.  With -1
     as ``first``, every text has a row of that place and no shingle too."""
     n = F.col("n").cast("int")
-    last = F.greatest(F.lit(first - 1), n - k)
-    at = base.withColumn("pos", F.explode(F.when(last >= first, F.sequence(F.lit(first), last))))
+    last = F.greatest(F.lit(min(first, 0)), n - k)
+    at = base.withColumn("pos", F.explode(F.when((n >= k) | F.lit(first < 0), F.sequence(F.lit(first), last))))
     words = [F.get("w", F.col("pos") + i) for i in range(k)]
     return at.select("doc_id", "x", "n", "pos", F.when(F.col("pos") >= 0, F.concat_ws(" ", *words)).alias("g"))
 

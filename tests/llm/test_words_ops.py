@@ -56,6 +56,16 @@ def brute_contamination(rows, items, window=10):
     return out
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+@pytest.mark.parametrize("items", [[(1, words(30))], [(1, words(7)), (2, words(30))], [(1, "w3 w4")]])
+def test_documents_shorter_than_a_shingle(spark, monkeypatch, limit, items):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    rows = [(i, words(i)) for i in range(0, 13)] + [(None, None), (None, "w1"), (50, "w1 w1 w1 w1 w1 w1")]
+    got = decontaminate.contamination(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got), key=key) == sorted(brute_contamination(rows, items), key=key)
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_contamination(spark, monkeypatch, limit):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
