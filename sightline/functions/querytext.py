@@ -73,11 +73,13 @@ SKIPPED = (
     "ve", "ile", "bir", "bu", "su", "cok", "dolu", "olan", "halindeki", "arasinda", "gecen", "giren", "cikan", "ustunde",
     "yaninda", "onunde", "arkasinda", "renkli",
 )
+#: Roots of colours, and of things that need a look.
 COLOR_ROOTS = (
     "siyah", "beyaz", "mavi", "kirmizi", "sari", "yesil", "gri", "gumus", "koyu", "turuncu", "mor", "kahverengi", "pembe",
     "lacivert",
 )
 HARD_ROOTS = ("kopek", "kedi", "yagmur", "kar", "semsiye", "semsiy")
+#: Letters folded to ASCII, and what is stripped from a token's ends.
 FOLD = ("çğıöşüÇĞİÖŞÜ", "cgiosuCGIOSU")
 EDGE = r"""^[.,;:!?()\[\]"']+|[.,;:!?()\[\]"']+$"""
 
@@ -131,22 +133,28 @@ def _word(t: Column, table) -> Column:
 def parse_time(queries: DataFrame, raw: str = "raw_query", now: str = "now") -> DataFrame:
     """Adds ``time_phrase``, ``ts_from``, ``ts_to`` (seconds, closed at both ends) and ``visual_text``.
 
-    The first phrase of the list that occurs anywhere counts, and once.  ``now`` is a timestamp.
+    The first phrase of the list that occurs anywhere counts, and once.  ``now`` is a timestamp.  Times are
+    those of the session's wall clock, on days with a clock change too.
     """
-    q, day = lower_tr(F.col(raw)), F.date_trunc("DAY", F.col(now))
-    seconds = lambda t: F.unix_micros(t) / 1e6
-    at_now, midnight = seconds(F.col(now)), seconds(day)
+    q = lower_tr(F.col(raw))
+    at_now, midnight = F.col(now).cast("timestamp_ntz"), F.to_date(F.col(now)).cast("timestamp_ntz")
+
+    def wall(base, later=None):
+        if later is not None:
+            base = base + F.make_dt_interval(secs=(later if isinstance(later, Column) else F.lit(later)).cast("decimal(18,6)"))
+        return F.unix_micros(base.cast("timestamp")) / 1e6
+
     kind = F.coalesce(*[F.when(q.rlike(p), name) for name, p in TIME_PHRASES])
     df = queries.withColumns({"__q": q, "__kind": kind})
     of = lambda name, g: F.regexp_extract("__q", dict(TIME_PHRASES)[name], g)
     number = lambda name, g=1: F.expr("1.0D") * F.coalesce(F.nullif(of(name, g), F.lit("")).cast("double"), F.lit(0.0))
-    center = midnight - F.when(of("clock", 1) != "", 86400.0).otherwise(0.0) + number("clock", 2) * 3600 + number("clock", 3) * 60
+    center = number("clock", 2) * 3600 + number("clock", 3) * 60 - F.when(of("clock", 1) != "", 86400.0).otherwise(0.0)
     spans = {
-        "clock": (center - CLOCK_MINUTES * 60, center + CLOCK_MINUTES * 60),
-        "last_hours": (at_now - number("last_hours") * 3600, at_now),
-        "last_minutes": (at_now - number("last_minutes") * 60, at_now),
-        "today": (midnight, at_now),
-    } | {k: (midnight + a * 3600.0, midnight + b * 3600.0) for k, (a, b) in DAY_HOURS.items()}
+        "clock": (wall(midnight, center - CLOCK_MINUTES * 60), wall(midnight, center + CLOCK_MINUTES * 60)),
+        "last_hours": (wall(at_now, number("last_hours") * -3600), wall(at_now)),
+        "last_minutes": (wall(at_now, number("last_minutes") * -60), wall(at_now)),
+        "today": (wall(midnight), wall(at_now)),
+    } | {k: (wall(midnight, a * 3600.0), wall(midnight, b * 3600.0)) for k, (a, b) in DAY_HOURS.items()}
     pick = lambda i: F.coalesce(*[F.when(F.col("__kind") == k, v[i]) for k, v in spans.items()])
     phrase = F.coalesce(*[F.when(F.col("__kind") == n, F.regexp_extract("__q", p, 0)) for n, p in TIME_PHRASES])
     bare = F.trim(F.regexp_replace(phrase, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_']+$", ""))

@@ -148,3 +148,20 @@ def test_top_k_against_a_full_sort(spark, monkeypatch, sizes):
             want |= {(qid, variant, n + 1): (i, pytest.approx(-score, abs=2e-6), not inside, m) for n, (score, i, m) in enumerate(best)}
     assert got == want
     assert v.top_k(p.where("false"), q, 4, payload=("n", "ts")).count() == 0
+
+
+def test_windows_follow_the_wall_clock(spark):
+    """On the day on which clocks go from two to three."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        rows = [("saat 9:05 gibi kedi",), ("bugün kedi",), ("son 3 saatte kedi",), ("dün saat 22 civarı kedi",)]
+        df = spark.createDataFrame(rows, "raw_query string").withColumn("now", F.lit("2024-03-31 15:30:00").cast("timestamp"))
+        got = {r.raw_query: (r.ts_from, r.ts_to) for r in q.parse_time(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    midnight = 1711839600.0  # 23:00 UTC of the day before
+    now, nine = midnight + 14.5 * 3600, midnight + 8 * 3600 + 300
+    half = q.CLOCK_MINUTES * 60
+    assert got["bugün kedi"] == (midnight, now) and got["son 3 saatte kedi"] == (now - 3 * 3600, now)
+    assert got["saat 9:05 gibi kedi"] == (nine - half, nine + half) and got["dün saat 22 civarı kedi"] == (midnight - 7200 - half, midnight - 7200 + half)
