@@ -12,6 +12,7 @@ from sightline.jobs.search_queries import _FUSED, _answers, _fused, _with_target
 from sightline.jobs.text_queries import _KIND, _OBJECTS, _PARSED, _TARGETS
 from sightline.operators import evaluation as ev
 from sightline.operators import search as sr
+from sightline.sources.work import cut
 
 THREE = ("all", "frame", "crop")
 
@@ -335,7 +336,7 @@ SELECT query_id, CASE WHEN object_en IS NULL AND color_en IS NULL AND contains(r
   coalesce(object_en, CASE WHEN contains(raw_query, 'yol') THEN 'road' WHEN contains(raw_query, 'kavşak') THEN 'crossing' END) AS object_en FROM found""")
 def extracted_targets(spark, sf_dir: str) -> DataFrame:
     """Unknown objects filled by an extractor, which sees each distinct text once."""
-    parsed = querytext.parse(s.phr(spark, sf_dir))
+    parsed = cut(querytext.parse(s.phr(spark, sf_dir)), "parsed")  # read three times below
     raw = parsed.where("object_en is null").select("text", "raw_query").groupBy("text").agg(F.min("raw_query").alias("raw"))
     says = querytext.unresolved_texts(parsed).join(raw, "text").select(
         "text",
