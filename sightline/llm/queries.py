@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from sightline.llm import (
+    collocations,
     decontaminate,
     exact_dedup,
     jaccard_join,
     language_id,
     licenses,
     mixing,
+    spelling,
     substring_dedup,
     token_counts,
     token_files,
+    toxicity,
     wrapper,
 )
 
@@ -28,6 +31,9 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_license_scan": licenses.op10_license_scan,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_toxicity": toxicity.op12_toxicity,
+        "op13_collocations": collocations.op13_collocations,
     }
 
 
@@ -35,4 +41,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_exact_dedup": exact_dedup.SQL,
         "op7_decontaminate": decontaminate.SQL,
+        "op13_collocations": collocations.SQL,
     }

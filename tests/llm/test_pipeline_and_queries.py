@@ -12,7 +12,7 @@ def test_matches_sql(spark, sf_dir, name):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 14))
 
 
 def test_stages(spark, tmp_path):
