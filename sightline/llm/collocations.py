@@ -30,8 +30,8 @@ from sightline.sources.work import cut, discard
 LONGEST, UNKNOWN = 4, "und"
 #: Largest table of frequent grams that is broadcast; its words' bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64_000_000
-#: Numbers of words that one stored row holds, partial counts that a task holds.
-CHUNK, HELD = 1_000_000, 400_000
+#: Numbers of words that one stored row holds, places that are counted together, partial counts of words that a task holds.
+CHUNK, COUNTED, HELD = 250_000, 1_000_000, 400_000
 #: Tasks that choose a language's best phrases before one task merges their choices.
 SALTS = 64
 #: Bytes between pieces, and between words.
@@ -97,13 +97,14 @@ def _rows(it):
     """The stored arrays of each row: ``chunk``, numbers of words, numbers of grams."""
     for batch in it:
         for chunk, x, g in zip(batch["chunk"].to_pylist(), batch["x"], batch["g"]):
-            yield chunk, np.frombuffer(x.as_buffer(), np.int32), np.frombuffer(g.as_buffer(), np.int32)
+            x = np.frombuffer(x.as_buffer(), np.int32)
+            yield chunk, x, np.frombuffer(g.as_buffer(), np.int32) if g.is_valid else x
 
 
-def _state(chunk: int, x: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([chunk], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([g.tobytes()], pa.binary())], names=["chunk", "x", "g"]
-    )
+def _state(chunk: int, x: np.ndarray, g: np.ndarray | None = None) -> pa.RecordBatch:
+    """``g`` is left out where a gram is a word."""
+    g = None if g is None else g.tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([g], pa.binary())], names=["chunk", "x", "g"])
 
 
 _STATE = "chunk long, x binary, g binary"
@@ -118,21 +119,13 @@ def _chunk_numbers():
         at += 1
 
 
-def _chunked(it):
-    """Lists of (language, words) of about ``CHUNK`` words; a longer text is a list of its own."""
-    held, n = [], 0
+def _words(it):
+    """(language, words of a text); a line feed stands for what parts two pieces."""
     for batch in it:
         for lang, text in _texts(batch):
             words = [w for w in text.replace(b"\n", b" \n ").split(b" ") if w]
-            if not words:
-                continue
-            if held and n + len(words) > CHUNK:
-                yield held
-                held, n = [], 0
-            held.append((lang, words))
-            n += len(words) + 1
-    if held:
-        yield held
+            if words:
+                yield lang, words
 
 
 def _word_places(docs: DataFrame, words: DataFrame, rows: int, size: int) -> DataFrame:
@@ -145,14 +138,17 @@ def _word_places(docs: DataFrame, words: DataFrame, rows: int, size: int) -> Dat
 
         def run(it):
             enter("collocations")
-            for chunk, texts in zip(_chunk_numbers(), _chunked(it)):
-                out = []
-                for lang, some in texts:
-                    get = shared.value.get(lang, {}).get
-                    out += [get(w, -1) for w in some]
-                    out.append(-1)
-                x = np.array(out, np.int32)
-                yield _state(chunk, x, x)
+            chunks, held, n = _chunk_numbers(), [], 0
+            for lang, some in _words(it):
+                get = shared.value.get(lang, {}).get
+                some.append(b"\n")  # no word, so that texts are parted
+                held.append(np.fromiter((get(w, -1) for w in some), np.int32, len(some)))
+                n += len(some)
+                if n >= CHUNK:
+                    yield _state(next(chunks), np.concatenate(held))
+                    held, n = [], 0
+            if held:
+                yield _state(next(chunks), np.concatenate(held))
 
         return cut(docs.mapInArrow(run, _STATE), "places")
 
@@ -160,17 +156,25 @@ def _word_places(docs: DataFrame, words: DataFrame, rows: int, size: int) -> Dat
 
     def rows_of(it):
         enter("collocations")
-        for chunk, texts in zip(_chunk_numbers(), _chunked(it)):
-            at = 0
-            for lang, some in texts:
-                place = [i for i, w in enumerate(some) if w != b"\n"]
-                head = f"{len(lang)}:{lang}".encode()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * len(place), pa.int64()), pa.array(np.array(place, np.int64) + at), pa.array([head + some[i] for i in place], pa.binary()).cast(pa.string())],
-                    names=["chunk", "at", "key"],
-                )
-                at += len(some) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([at], pa.int64()), pa.array([None], pa.string())], names=["chunk", "at", "key"])
+        chunks = _chunk_numbers()
+        chunk, at = next(chunks), 0
+
+        def end():
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([at], pa.int64()), pa.array([None], pa.string())], names=["chunk", "at", "key"])
+
+        for lang, some in _words(it):
+            if at and at + len(some) > CHUNK:
+                yield end()
+                chunk, at = next(chunks), 0
+            place = [i for i, w in enumerate(some) if w != b"\n"]
+            head = f"{len(lang)}:{lang}".encode()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk] * len(place), pa.int64()), pa.array(np.array(place, np.int64) + at), pa.array([head + some[i] for i in place], pa.binary()).cast(pa.string())],
+                names=["chunk", "at", "key"],
+            )
+            at += len(some) + 1
+        if at:
+            yield end()
 
     places = cut(docs.mapInArrow(rows_of, "chunk long, at long, key string"), "words")
     found = join_spread(places.where("key is not null"), words.select(key.alias("key"), "id"), "key").select("chunk", "at", F.col("id").cast("int").alias("id"))
@@ -180,7 +184,7 @@ def _word_places(docs: DataFrame, words: DataFrame, rows: int, size: int) -> Dat
         at, number = t["at"].to_numpy(), t["id"].to_numpy()
         x = np.full(int(at.max()), -1, np.int32)
         x[at[number >= 0]] = number[number >= 0]
-        return pa.Table.from_batches([_state(t["chunk"][0].as_py(), x, x)])
+        return pa.Table.from_batches([_state(t["chunk"][0].as_py(), x)])
 
     out = cut(found.unionByName(ends).groupBy("chunk").applyInArrow(gather, _STATE), "places")
     discard(places)
@@ -202,11 +206,22 @@ def _grams(state: DataFrame, k: int, least: int) -> DataFrame:
 
     def run(it):
         enter("collocations")
+
+        def counted(held):
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            for i in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(n[i : i + 100_000])], names=["key", "n"])
+
+        held, size = [], 0
         for _, x, g in _rows(it):
             for a in range(0, len(x), CHUNK):
-                key, n = np.unique(_keys(x, g, k, a, a + CHUNK)[1], return_counts=True)
-                for i in range(0, len(key), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 200_000]), pa.array(n[i : i + 200_000])], names=["key", "n"])
+                held.append(_keys(x, g, k, a, a + CHUNK)[1])
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield from counted(held)
+                    held, size = [], 0
+        if held:
+            yield from counted(held)
 
     return state.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
 

@@ -65,6 +65,8 @@ def test_awkward_rows(spark, how):
 def test_chunks_and_long_texts(spark, monkeypatch):
     """Phrases are neither lost nor counted twice where texts are put together or looked at in parts."""
     rows = [(i, " ".join(f"w{(i + j * j) % 7}" for j in range(n)), "en") for i, n in enumerate([1, 2, 3, 5, 40, 400, 3000, 7, 1, 2])]
+    monkeypatch.setattr(collocations, "CHUNK", 50)
+    monkeypatch.setattr(collocations, "COUNTED", 120)
     docs = table(spark, rows, "doc_id long, text string, lang string").coalesce(1)
     want = brute([(r[2], r[1]) for r in rows], 3)
     assert got(collocations.collocations(docs, 3)) == want
