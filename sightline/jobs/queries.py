@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -15,6 +16,7 @@ from sightline.operators import sampling as sp
 from sightline.operators import search as sr
 from sightline.operators import vectors as v
 from sightline.params import Params
+from sightline.sources.work import work_dir
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -242,6 +244,15 @@ def topk_with_fallback(spark, sf_dir: str) -> DataFrame:
 _THREE = "('all'), ('frame'), ('crop')"
 
 
+@query(f"WITH {_pool_sql(10, _THREE)} SELECT query_id, variant, id, pos, score, NOT any_inside AS time_dropped FROM pool")
+def cell_topk(spark, sf_dir: str) -> DataFrame:
+    """Filtered top-k over an index stored by camera and time cell."""
+    path = f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
+    v.write_cells(s.idx(spark, sf_dir), path, 10.0)
+    found = v.cell_top_k(spark, path, s.query_vectors(spark, sf_dir), 10, ("all", "frame", "crop"))
+    return found.select("query_id", "variant", "id", "pos", "score", "time_dropped")
+
+
 @query(f"WITH {_pool_sql(10, _THREE)} SELECT query_id, variant, id, pos, score FROM pool")
 def source_variants_topk(spark, sf_dir: str) -> DataFrame:
     return _pool(spark, sf_dir, 10, ("all", "frame", "crop")).select("query_id", "variant", "id", "pos", "score")

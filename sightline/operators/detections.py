@@ -69,16 +69,24 @@ def iou(a: str, b: str) -> Column:
     return F.when((w <= 0) | (h <= 0), 0.0).otherwise(both / (area(a) + area(b) - both))
 
 
+#: Frame numbers of a slice of a video.
+SLICE = 100_000
+
+
 def suppress_static(det: DataFrame, frames: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Detections without a box of the same class and nearly the same place in the kept frame before.
 
     The comparison is with the previous frame's cleaned detections, whether or not those were
     suppressed; frames without detections count as frames.  An anti join on video, frame and class; the
     box condition rides on the equal keys.  The previous frame of each is found over the distinct frame
-    numbers alone, once.
+    numbers alone, once, in slices of ``SLICE`` numbers of a video; for the first of a slice, in a table of slices.
     """
-    order = W.partitionBy("video_id").orderBy("frame_idx")
-    previous = frames.select("video_id", "frame_idx").distinct().withColumn("frame_before", F.lag("frame_idx").over(order))
+    kept = frames.select("video_id", "frame_idx", F.floor(F.col("frame_idx") / SLICE).alias("slice")).distinct()
+    within = F.lag("frame_idx").over(W.partitionBy("video_id", "slice").orderBy("frame_idx"))
+    lasts = kept.groupBy("video_id", "slice").agg(F.max("frame_idx").alias("last"))
+    lasts = lasts.withColumn("last_before", F.lag("last").over(W.partitionBy("video_id").orderBy("slice"))).drop("last")
+    previous = kept.withColumn("within", within).join(lasts, ["video_id", "slice"])
+    previous = previous.select("video_id", "frame_idx", F.coalesce("within", "last_before").alias("frame_before"))
     box = ["x1", "y1", "x2", "y2"]
     now = det.join(previous, ["video_id", "frame_idx"]).select("*", *[F.col(k).alias(f"now_{k}") for k in box])
     before = det.select(

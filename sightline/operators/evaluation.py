@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sightline.operators.selection import medians
+from sightline.sources.work import cut
+
 CUTS = (1, 5, 10)
 #: Fixed value: the normal quantile of a 95 % interval.
 Z = 1.96
@@ -180,8 +183,9 @@ def z_gap(pool: DataFrame, relevant: DataFrame, k: int = 40) -> DataFrame:
 
 def upper_median(values: DataFrame, column: str) -> DataFrame:
     """The middle value, or the upper one of the two middle values, one row.  Nulls don't count."""
-    # the discrete median is the lower one of the two, and of the negated values the upper one
-    return values.agg(F.expr(f"-percentile_disc(0.5) WITHIN GROUP (ORDER BY -`{column}`) + 0.0").alias("median"), F.count(column).alias("n"))
+    values = cut(values.select(F.lit(0).alias("one"), F.col(column).alias("x")), "values")
+    n = values.agg(F.lit(0).alias("one"), F.count("x").alias("n"))
+    return n.join(medians(values, ["one"], "x", upper=True), "one", "left").select((F.col("median") + 0.0).alias("median"), "n")
 
 
 def accuracy(pairs: DataFrame) -> DataFrame:
@@ -261,9 +265,10 @@ def repeat_agreement(answers: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def latency(calls: DataFrame, column: str = "seconds") -> DataFrame:
     """Calls of each kind: number, median, least, most, mean."""
-    return calls.groupBy("kind").agg(
-        F.count(F.lit(1)).alias("n"), F.median(column).alias("median"), F.min(column).alias("least"), F.max(column).alias("most"), F.avg(column).alias("mean")
-    )
+    calls = cut(calls.select("kind", F.col(column).alias("x")), "calls")
+    middle = medians(calls, ["kind"], "x").withColumnRenamed("kind", "of")
+    counts = calls.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), F.avg("x").alias("mean"))
+    return counts.join(middle, F.col("kind").eqNullSafe(F.col("of")), "left").select("kind", "n", "median", "least", "most", "mean")
 
 
 def negative_detail(labels: DataFrame, tops: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ one batch, however long the video is.  The same step serves live streams (``stre
 
 from __future__ import annotations
 
+import bisect
 import pickle
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sightline.operators.selection import medians
 from sightline.params import DEFAULT, Params
+from sightline.sources.work import cut
 
 # ---- pixels ----
 
@@ -240,38 +244,114 @@ def gate_funnel(frames: DataFrame, params: dict[str, Params], blur: bool = True)
 
     picked = frames.select("video_id", "frame_idx", "t", "w", "h", "gray")
     rows = picked.repartition("video_id").sortWithinPartitions("video_id", "t", "frame_idx").mapInArrow(run, f"param_id string, {_OUT_DDL}")
-    return rows.groupBy("video_id", "param_id").agg(
+    rows = cut(rows, "funnel")
+    by = ["video_id", "param_id"]
+    counts = rows.groupBy(*by).agg(
         F.count_if(F.col("why") != "thinned").alias("candidates"),
         F.count_if(~F.col("why").isin("thinned", "still")).alias("moving"),
         F.count_if("kept").alias("kept"),
-        F.percentile("motion_score", F.lit(0.5)).alias("median_score"),
         F.max("motion_score").alias("max_score"),
     )
+    middle = medians(rows, by, "motion_score").withColumnRenamed("median", "median_score")
+    same = [counts[k].eqNullSafe(middle[k]) for k in by]
+    return counts.join(middle, same, "left").select(*[counts[k] for k in by], "candidates", "moving", "kept", "median_score", "max_score")
 
 
 # ---- the gate's parts that make sense for any timed table ----
 
 
-def thin(rows: DataFrame, step: float, t: str = "t", key: str = "video_id") -> DataFrame:
+def _exits(t: np.ndarray, step: float) -> tuple[list[float], list[float]]:
+    """What a slice of ascending times does to the time that is due: for a due time up to ``starts[i]`` (and above
+    ``starts[i - 1]``) rows are taken from there on, and ``exits[i]`` is due after the slice.
+
+    Of a later due time no row is taken.  A due time lies less than ``step`` after the last row before the slice, so only
+    starts in the first ``step`` of the slice count, and the next one; runs from them soon meet.
+    """
+    after = np.maximum(np.searchsorted(t, t + step), np.arange(1, len(t) + 1))
+    first = int(np.searchsorted(t, t[0] + step)) + 1
+    known: dict[int, float] = {}
+    for i in range(min(first, len(t))):
+        path = []
+        while i < len(t) and i not in known:
+            path.append(i)
+            i = int(after[i])
+        end = known[i] if i < len(t) else float(t[path[-1]] + step)
+        known.update(dict.fromkeys(path, end))
+    starts, exits = [], []
+    for i in range(min(first, len(t))):
+        if i + 1 < first and i + 1 < len(t) and known[i] == known[i + 1]:
+            continue  # the same from the next row on
+        starts.append(float(t[i]))
+        exits.append(known[i])
+    return starts, exits
+
+
+def thin(rows: DataFrame, step: float, t: str = "t", key: str = "video_id", slice_s: float = 86_400.0) -> DataFrame:
     """Rows at least ``step`` after the last row taken of their key, greedily from the first.
 
-    Rows are streamed in order through the task that has their key; the state is one number.
+    Of equal times the row with the smallest other columns is taken; rows without a time never are.
+
+    A key is worked on in slices of ``slice_s``, by as many tasks.  A first pass reads keys and times alone: each slice
+    becomes a small map from the time that is due when it begins to that when it ends.  The maps of a key, one row for
+    each slice, are followed in order; a second pass takes rows in all slices at once.
     """
-    schema = rows.schema
+    names = [f"{n}_{uuid.uuid4().hex}" for n in ("slice", "due")]  # no column of the input has these names
+    columns = rows.columns
+    sliced = rows.where(F.col(t).isNotNull()).withColumn(names[0], F.floor(F.col(t) / max(slice_s, step)))
+
+    def maps(it):
+        held, last = [], None
+
+        def given():
+            times = np.concatenate(held)
+            starts, exits = _exits(times, step)
+            return pa.RecordBatch.from_arrays([pa.array([last[0]], kind), pa.array([last[1]], pa.int64()), pa.array([starts]), pa.array([exits])], names=["key", "slice", "starts", "exits"])
+
+        for b in it:
+            kind = b.column(0).type
+            keys, cells, times = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy()
+            ends = [i for i in range(1, len(keys) + 1) if i == len(keys) or (keys[i], cells[i]) != (keys[i - 1], cells[i - 1])]
+            for a, z in zip([0, *ends], ends):
+                if last is not None and (keys[a], cells[a]) != last:
+                    yield given()
+                    held = []
+                last = (keys[a], cells[a])
+                held.append(times[a:z])
+        if held:
+            yield given()
+
+    kind = rows.schema[key].dataType.simpleString()
+    times = sliced.select(F.col(key).alias("key"), F.col(names[0]).alias("slice"), F.col(t).cast("double").alias("t"))
+    mapped = times.repartition("key", "slice").sortWithinPartitions("key", "slice", "t").mapInArrow(maps, f"key {kind}, slice long, starts array<double>, exits array<double>")
+
+    def follow(table: pa.Table) -> pa.Table:
+        table = table.sort_by("slice")
+        due, dues = float("-inf"), []
+        for starts, exits in zip(table["starts"].to_pylist(), table["exits"].to_pylist()):
+            dues.append(due)
+            i = bisect.bisect_left(starts, due)
+            due = exits[i] if i < len(starts) else due
+        return pa.table({"key": table["key"], "slice": table["slice"], "due": pa.array(dues, pa.float64())})
+
+    dues = mapped.groupBy("key").applyInArrow(follow, f"key {kind}, slice long, due double")
+    same = F.col(key).eqNullSafe(F.col("key_" + names[1])) & (F.col(names[0]) == F.col("slice_" + names[1]))
+    entered = sliced.join(dues.select(F.col("key").alias("key_" + names[1]), F.col("slice").alias("slice_" + names[1]), F.col("due").alias(names[1])), same)
 
     def run(it):
         last, due = None, 0.0
         for b in it:
             take = []
-            for k, x in zip(b.column(key).to_pylist(), b.column(t).to_pylist()):
-                if k != last:
-                    last, due = k, float("-inf")
-                ok = x is not None and x >= due
+            for k, c, x, entry in zip(*(b.column(n).to_pylist() for n in (key, names[0], t, names[1]))):
+                if (k, c) != last:
+                    last, due = (k, c), entry
+                ok = x >= due
                 due = x + step if ok else due
                 take.append(ok)
-            yield b.filter(pa.array(take, pa.bool_()))
+            yield b.filter(pa.array(take, pa.bool_())).select(columns)
 
-    return rows.repartition(key).sortWithinPartitions(key, t, *[c for c in rows.columns if c not in (key, t)]).mapInArrow(run, schema)
+    order = [key, names[0], t, *[c for c in rows.columns if c not in (key, t)]]
+    picked = entered.select(*rows.columns, *names).repartition(key, names[0]).sortWithinPartitions(*order)
+    return picked.mapInArrow(run, rows.schema)
 
 
 def hourly_cap(rows: DataFrame, most: int, t: str = "t", key: str = "video_id", exempt: Column | None = None, ties: tuple[str, ...] = ()) -> DataFrame:

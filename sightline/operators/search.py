@@ -15,6 +15,8 @@ from sightline.params import DEFAULT, Params
 #: The classes that are vehicles.
 VEHICLES = ("bisiklet", "araba", "motosiklet", "otobüs", "kamyon")
 GROUP = ("query_id", "variant")
+#: Seconds of the slices of a video that tasks work on.
+SLICE_S = 86_400.0
 
 
 def not_found_gate(queries: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -78,20 +80,36 @@ def thin(hits: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = GROUP) ->
     return ranked(suppress_near(one_per_frame(hits, keys), p.group_window_s, keys), p.top_k, keys)
 
 
-def sighting_events(sightings: DataFrame, gap_s: float = DEFAULT.event_gap_s, keys: tuple[str, ...] = ()) -> DataFrame:
+def sighting_events(
+    sightings: DataFrame, gap_s: float = DEFAULT.event_gap_s, keys: tuple[str, ...] = (), slice_s: float = SLICE_S
+) -> DataFrame:
     """Runs of sightings in one video with no gap above ``gap_s``: ``event_no``, ``first_ts``, ``last_ts``,
     ``n`` and the representative ``rep_id``, ``rep_score`` (best score, then earliest, then smallest id).
 
-    They are intervals in which something was seen; nothing is said about one object being tracked.
+    They are intervals in which something was seen; nothing is said about one object being tracked.  A sighting
+    without ``ts`` is an event of its own, before all others.
+
+    A video is worked on in slices of ``slice_s`` seconds, by as many tasks: runs are found within slices, and a table
+    with one row for each slice tells which of them go on from one slice to the next.
     """
     by = [*keys, "video_id"]
-    w = W.partitionBy(*by).orderBy("ts", "id")
+    sliced = sightings.withColumn("slice", F.floor(F.col("ts") / slice_s))
+    w = W.partitionBy(*by, "slice").orderBy("ts", "id")
     new = F.when(F.col("ts") - F.lag("ts").over(w) <= gap_s, 0).otherwise(1)
-    marked = sightings.withColumn("new", new).withColumn("event_no", F.sum("new").over(w))
+    marked = sliced.withColumn("new", new).withColumn("run", F.sum("new").over(w))
     rep = F.min(F.struct((-F.col("score")).alias("s"), F.col("ts").alias("t"), F.col("id").alias("id")))
+    runs = marked.groupBy(*by, "slice", "run").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"), rep.alias("rep"))
+    # one row for each slice: its ends, its runs
+    slices = runs.groupBy(*by, "slice").agg(F.min("first_ts").alias("a"), F.max("last_ts").alias("z"), F.count(F.lit(1)).alias("runs"))
+    order = W.partitionBy(*by).orderBy("slice")
+    goes_on = F.coalesce((F.col("a") - F.lag("z").over(order) <= gap_s).cast("int"), F.lit(0))
+    before = F.sum(F.col("runs") - F.col("goes_on")).over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("runs")
+    slices = slices.withColumn("goes_on", goes_on).select(*[F.col(k).alias(f"of_{k}") for k in by], F.col("slice").alias("of_slice"), before.alias("before"))
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in (*by, "slice")]
+    numbered = runs.join(slices, same).withColumn("event_no", F.col("before") + F.col("run"))
     return (
-        marked.groupBy(*by, "event_no")
-        .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"), rep.alias("rep"))
+        numbered.groupBy(*by, "event_no")
+        .agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("n").alias("n"), F.min("rep").alias("rep"))
         .select(*by, "event_no", "first_ts", "last_ts", "n", F.col("rep.id").alias("rep_id"), (-F.col("rep.s")).alias("rep_score"))
     )
 

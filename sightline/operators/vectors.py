@@ -1,4 +1,8 @@
-"""Embedding calls and filtered cosine top-k for many queries in one scan of the index."""
+"""Embedding calls and filtered cosine top-k for many queries in one scan of the index.
+
+Points and queries are both packed into blocks, rows that hold some thousand of them.  Blocks meet by a join on a
+key, and a task multiplies two blocks as matrices.  No vector passes through the driver.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Queries that one scan answers; their vectors are broadcast.  More queries take more scans.
-QUERY_BLOCK = 4096
-#: Points and queries of one block of scores in a task: 8 MB of doubles.
+from sightline.sources.work import cut
+
+#: Points of a block, and queries whose scores are made at once: 8 MB of doubles.
 POINTS, QUERIES = 2048, 512
+#: Bytes of the query vectors of a block; bytes of all query vectors up to which their blocks are broadcast.
+QUERY_BYTES, BROADCAST_BYTES = 4_000_000, 8_000_000
+#: Partitions from which on the best rows of tasks are merged in two steps.
+MERGE = 256
+#: Seconds of a time cell of a stored index, cells whose names are broadcast to skip files.
+CELL_S, BROADCAST_CELLS = 3600, 100_000
 
 
 def embed(rows: DataFrame, column: str, make: Callable[[], Callable], batch: int = 16, out: str = "vector") -> DataFrame:
@@ -57,6 +67,17 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-12))
 
 
+_WINDOW = (("ts_from", "double"), ("ts_to", "double"), ("camera_id", "string"))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    for c, kind in _WINDOW:
+        if c not in queries.columns:
+            queries = queries.withColumn(c, F.lit(None).cast(kind))
+    picked = queries.where("vector is not null")
+    return picked.select("query_id", F.col("vector").cast("array<double>").alias("vector"), *[F.col(c).cast(kind).alias(c) for c, kind in _WINDOW])
+
+
 def top_k(
     points: DataFrame,
     queries: DataFrame,
@@ -76,28 +97,100 @@ def top_k(
     Points and queries without vector take no part.  A point without ``ts`` is outside every window, and
     inside for queries that have none.
 
-    The index is read once for each ``QUERY_BLOCK``.  Each task keeps at most ``k`` rows for each query,
-    variant and window state, with their payload, so neither its memory nor what is shuffled grows with
-    the points of a task.
+    The index is read once, whatever the number of queries.  Few queries are broadcast in blocks; beyond
+    ``BROADCAST_BYTES`` pairs of blocks are dealt by a key, for which each block of points is sent once for each block of
+    ``QUERY_BYTES`` of queries.  A task keeps at most ``k`` rows for each query of a block, variant and window state, with
+    their payload, so neither its memory nor the rows that are merged grow with the points of a task.
     """
-    for c, kind in (("ts_from", "double"), ("ts_to", "double"), ("camera_id", "string")):
-        if c not in queries.columns:
-            queries = queries.withColumn(c, F.lit(None).cast(kind))
-    queries = queries.where("vector is not null").select("query_id", "vector", "ts_from", "ts_to", "camera_id")
-    blocks = -(-queries.count() // QUERY_BLOCK) or 1
-    of_block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    hits = None
-    for b in range(blocks):
-        some = _best_of_tasks(points, queries.where(of_block == b), k, variants, payload, digits)
-        hits = some if hits is None else hits.unionByName(some)
-    by = W.partitionBy("query_id", "variant", "in_window").orderBy(F.desc("score"), "id")
-    ranked = hits.withColumn("pos", F.row_number().over(by)).where(F.col("pos") <= k)
-    # points outside the window count only where none is inside
+    spark = points.sparkSession
+    asked = _asked(queries)
+    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    block = max(16, QUERY_BYTES // (8 * max(1, width or 1)))
+    few, blocks = n * 8 * (width or 1) <= BROADCAST_BYTES, max(1, -(-n // block))
+    shares = 1 if few else max(1, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    numbered = asked.withColumn("key", F.pmod(F.xxhash64("query_id", "vector", "ts_from"), F.lit(blocks)).cast("string"))
+    sought = _query_blocks(numbered, block).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    packed = _point_blocks(_picked(points, payload, F.lit("").alias("key")), shares)
+    packed = packed.withColumn("key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: i.cast("string"))))
+    pairs = packed.join(F.broadcast(sought) if few else sought, ["key", "share"])
+    return _ranked(_meet(pairs, points, k, variants, payload, digits, few), k, payload)
+
+
+def _picked(points: DataFrame, payload: tuple[str, ...], *more: Column) -> DataFrame:
+    extra = [c for c in payload if c not in ("ts", "source", "camera_id")]
+    return points.where("vector is not null").select("id", "vector", "ts", "source", "camera_id", *extra, *more)
+
+
+def _ranked(hits: DataFrame, k: int, payload: tuple[str, ...]) -> DataFrame:
+    """The best of the best rows of tasks; points outside the window only where none is inside."""
+    by = ("query_id", "variant", "in_window")
+    order = (F.desc("score"), "id")
+    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts >= MERGE:
+        salted = hits.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(int(parts**0.5))))
+        some = F.row_number().over(W.partitionBy(*by, "salt").orderBy(*order))
+        hits = salted.withColumn("pos", some).where(F.col("pos") <= k).drop("salt", "pos")
+    ranked = hits.withColumn("pos", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("pos") <= k)
     any_inside = F.max("in_window").over(W.partitionBy("query_id", "variant"))
     picked = ranked.withColumn("any", any_inside).where(F.col("in_window") == F.col("any"))
     return picked.select("id", *payload, "query_id", "variant", "score", "pos", (~F.col("any")).alias("time_dropped"))
 
 
+def _bytes(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _table(held: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(held.as_buffer()).read_all()
+
+
+def _query_blocks(queries: DataFrame, most: int) -> DataFrame:
+    """``key, queries``: the queries of a key in blocks of at most ``most``."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        key, rows = rows["key"][0], rows.drop_columns(["key"])
+        blocks = [_bytes(rows.slice(i, most)) for i in range(0, len(rows), most)]
+        return pa.table({"key": pa.array([key.as_py()] * len(blocks), pa.string()), "queries": pa.array(blocks, pa.binary())})
+
+    return queries.groupBy("key").applyInArrow(run, "key string, queries binary")
+
+
+def _point_blocks(points: DataFrame, shares: int) -> DataFrame:
+    """``key, share, points``: the points of a task and key in blocks of about ``POINTS``."""
+
+    def run(it: Iterator[pa.RecordBatch]):
+        held: dict[str, list[pa.Table]] = {}
+        number = 0
+
+        def block(key: str):
+            nonlocal number
+            number += 1
+            rows = pa.concat_tables(held.pop(key)).sort_by("id").combine_chunks()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key], pa.string()), pa.array([number % shares], pa.int32()), pa.array([_bytes(rows)], pa.binary())], names=["key", "share", "points"]
+            )
+
+        for batch in it:
+            rows = pa.Table.from_batches([batch])
+            for key in pa.compute.unique(rows["key"]).to_pylist():
+                mine = rows.filter(pa.compute.equal(rows["key"], key)).drop_columns(["key"])
+                for i in range(0, len(mine), POINTS):
+                    held.setdefault(key, []).append(mine.slice(i, POINTS))
+                    if sum(map(len, held[key])) >= POINTS:
+                        yield block(key)
+            while sum(len(t) for ts in held.values() for t in ts) > 16 * POINTS:  # many keys at once
+                yield block(max(held, key=lambda key: sum(map(len, held[key]))))
+        for key in list(held):
+            yield block(key)
+
+    import pyarrow.compute  # noqa: F401  (pa.compute)
+
+    return points.mapInArrow(run, "key string, share int, points binary")
+
+
 _RANK = [("q", "ascending"), ("v", "ascending"), ("in_window", "descending"), ("score", "descending"), ("id", "ascending")]
 
 
@@ -112,68 +205,171 @@ def _best(rows: pa.Table, k: int) -> pa.Table:
     return rows.filter(pa.array(place < k))
 
 
-def _best_of_tasks(points: DataFrame, queries: DataFrame, k: int, variants: tuple[str, ...], payload: tuple[str, ...], digits: int) -> DataFrame:
-    """The best rows of each task for every query and variant, inside the window and, for queries
-    that have one, outside it.  A query without a window has every point inside."""
-    rows = queries.collect()  # at most about QUERY_BLOCK
-    bounded = np.array([r["ts_from"] is not None or r["ts_to"] is not None for r in rows], bool)
-    asked = points.sparkSession.sparkContext.broadcast(
-        {
-            "ids": [r["query_id"] for r in rows],
-            "v": unit_rows(np.array([r["vector"] for r in rows], np.float64)) if rows else None,
-            "from": np.array([-np.inf if r["ts_from"] is None else r["ts_from"] for r in rows]),
-            "to": np.array([np.inf if r["ts_to"] is None else r["ts_to"] for r in rows]),
-            "bounded": bounded,
-            "camera": [r["camera_id"] for r in rows],
-        }
-    )
-    extra = [c for c in payload if c not in ("ts", "source", "camera_id")]
-    picked = points.where("vector is not null").select("id", "vector", "ts", "source", "camera_id", *extra)
-    hit = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.drop("vector").schema.fields)
+def _matrix(vectors: pa.ChunkedArray, rows: int) -> np.ndarray:
+    """Vectors of one length as unit rows."""
+    flat = vectors.combine_chunks()
+    flat = flat.flatten() if not isinstance(flat, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
+    return unit_rows(flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1))
+
+
+class _Queries:
+    """A block of queries, as arrays."""
 
-    def block(q, part: pa.Table, a: int, z: int):
-        """Best rows of some points for queries a to z - 1."""
-        x = unit_rows(part["vector"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(part), -1))
-        score = np.round(q["v"][a:z] @ x.T, digits)
+    def __init__(self, held: pa.Scalar):
+        t = _table(held)
+        self.ids = t["query_id"].to_pylist()
+        self.vectors = _matrix(t["vector"], len(t))
+        self.camera = t["camera_id"].to_pylist()
+        ends = [t[c].to_pylist() for c in ("ts_from", "ts_to")]
+        self.bounded = np.array([a is not None or z is not None for a, z in zip(*ends)], bool)
+        self.start = np.array([-np.inf if a is None else a for a in ends[0]])
+        self.end = np.array([np.inf if z is None else z for z in ends[1]])
+        self.best: list[pa.Table] = []
+        self.rows = 0
+
+
+def _meet(pairs: DataFrame, points: DataFrame, k: int, variants: tuple[str, ...], payload: tuple[str, ...], digits: int, hold: bool) -> DataFrame:
+    """Best rows of each task for every query and variant, inside the window and, for queries that have one,
+    outside it, from pairs of blocks.  A query without a window has every point inside.
+
+    ``hold``: the blocks of queries are few, and all are kept until the task ends; else one at a time.
+    """
+    hit = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in _picked(points, payload).drop("vector").schema.fields)
+
+    def scores(q: _Queries, part: pa.Table, x: np.ndarray, a: int, z: int):
+        """Best rows of a block of points for queries a to z - 1."""
+        score = np.round(q.vectors[a:z] @ x.T, digits)
         ts = np.asarray(part["ts"].to_numpy(), float)
         cameras = np.array(part["camera_id"].to_pylist(), object)
-        of_camera = {c: np.ones(len(part), bool) if c is None else cameras == c for c in set(q["camera"][a:z])}
-        fits = np.array([of_camera[c] for c in q["camera"][a:z]])
-        inside = ~q["bounded"][a:z, None] | ((ts >= q["from"][a:z, None]) & (ts <= q["to"][a:z, None]))
+        of_camera = {c: np.ones(len(part), bool) if c is None else cameras == c for c in set(q.camera[a:z])}
+        fits = np.array([of_camera[c] for c in q.camera[a:z]])
+        inside = ~q.bounded[a:z, None] | ((ts >= q.start[a:z, None]) & (ts <= q.end[a:z, None]))
         sources = np.array(part["source"].to_pylist(), object)
         for v, variant in enumerate(variants):
             mine = fits if variant == "all" else fits & (sources == variant)
             for window in (True, False):
-                s = np.where(mine & (inside == window), score, -np.inf)
+                fit = mine & (inside == window)
+                if not fit.any():
+                    continue
+                s = np.where(fit, score, -np.inf)
                 # points are in order of id, so a stable sort keeps the first ids among equals
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 best = np.take_along_axis(s, top, axis=1)
                 i, j = np.nonzero(best > -np.inf)
-                if len(i):
-                    found = part.drop_columns(["vector"]).take(pa.array(top[i, j]))
-                    for name, value in (("q", a + i), ("v", np.full(len(i), v)), ("in_window", np.full(len(i), int(window))), ("score", best[i, j])):
-                        found = found.append_column(name, pa.array(value))
-                    yield found
+                found = part.drop_columns(["vector"]).take(pa.array(top[i, j]))
+                for name, value in (("q", a + i), ("v", np.full(len(i), v)), ("in_window", np.full(len(i), int(window))), ("score", best[i, j])):
+                    found = found.append_column(name, pa.array(value))
+                yield found
 
-    def run(it):
-        q = asked.value
-        held: list[pa.Table] = []
-        n, most = 0, 4 * k * max(1, len(q["ids"])) * len(variants)
-        for b in it if q["ids"] else ():
-            for begin in range(0, b.num_rows, POINTS):
-                part = pa.Table.from_batches([b.slice(begin, POINTS)]).sort_by("id").combine_chunks()
-                for a in range(0, len(q["ids"]), QUERIES):
-                    for found in block(q, part, a, min(a + QUERIES, len(q["ids"]))):
-                        held.append(found)
-                        n += len(found)
-                if n > most:
-                    held = [_best(pa.concat_tables(held), k)]
-                    n = len(held[0])
-        if held:
-            best = _best(pa.concat_tables(held), k)
-            ids, names = pa.array(q["ids"], pa.string()), pa.array(variants, pa.string())
+    def given(q: _Queries):
+        if q.best:
+            best = _best(pa.concat_tables(q.best), k)
+            ids, names = pa.array(q.ids, pa.string()), pa.array(variants, pa.string())
             best = best.append_column("query_id", ids.take(best["q"].combine_chunks())).append_column("variant", names.take(best["v"].combine_chunks()))
             best = best.set_column(best.schema.get_field_index("in_window"), "in_window", best["in_window"].cast(pa.bool_())).drop_columns(["q", "v"])
             yield from best.combine_chunks().to_batches(10_000)
 
-    return picked.mapInArrow(run, f"{hit}, in_window boolean, score double, query_id string, variant string")
+    def run(it):
+        held: dict[bytes, _Queries] = {}
+        for batch in it:
+            for asked, packed in zip(batch["queries"], batch["points"]):
+                name = asked.as_py()
+                if name not in held:
+                    if not hold:
+                        for q in held.values():
+                            yield from given(q)
+                        held.clear()
+                    held[name] = _Queries(asked)
+                q, part = held[name], _table(packed)
+                x = _matrix(part["vector"], len(part))
+                for a in range(0, len(q.ids), QUERIES):
+                    for found in scores(q, part, x, a, min(a + QUERIES, len(q.ids))):
+                        q.best.append(found)
+                        q.rows += len(found)
+                if q.rows > 4 * k * len(q.ids) * len(variants):
+                    q.best = [_best(pa.concat_tables(q.best), k)]
+                    q.rows = len(q.best[0])
+        for q in held.values():
+            yield from given(q)
+
+    # a batch that goes to Python holds few blocks
+    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    return pairs.select("queries", "points").mapInArrow(run, f"{hit}, in_window boolean, score double, query_id string, variant string")
+
+
+def write_cells(points: DataFrame, path: str, cell_s: float = CELL_S) -> None:
+    """Stores an index by camera and time cell of ``cell_s`` seconds, a folder for each, for ``cell_top_k``.
+
+    Beside the points, ``_cells`` has a row for each cell: ``cell, camera_id, number, ts_min, ts_max, n``.  Points
+    without ``ts`` are in cells without number.  A cell of many points is written by several tasks.
+    """
+    number = F.floor(F.col("ts") / cell_s)
+    name = F.concat(F.coalesce("camera_id", F.lit("")), F.lit("@"), F.coalesce(number.cast("string"), F.lit("none")))
+    named = points.withColumn("cell", name)
+    named.repartitionByRange(F.col("cell"), F.col("ts"), F.col("id")).sortWithinPartitions("cell", "ts").write.partitionBy("cell").parquet(path)
+    cells = points.sparkSession.read.parquet(path).groupBy("cell", "camera_id", F.floor(F.col("ts") / cell_s).alias("number"))
+    cells = cells.agg(F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max"), F.count(F.lit(1)).alias("n"), F.lit(float(cell_s)).alias("cell_s"))
+    cells.write.parquet(f"{path}/_cells")
+
+
+def touched_cells(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
+    """``cell`` and the columns of ``queries`` for every cell of a stored index that a query's window and camera touch."""
+    cells = spark.read.parquet(f"{path}/_cells").where("number is not null")
+    first, last, cell_s = cells.agg(F.min("number"), F.max("number"), F.max("cell_s")).first()
+    if first is None:
+        return queries.withColumn("cell", F.lit("")).where(F.lit(False))
+    a = F.greatest(F.coalesce(F.floor(F.col("ts_from") / cell_s), F.lit(first)), F.lit(first))
+    z = F.least(F.coalesce(F.floor(F.col("ts_to") / cell_s), F.lit(last)), F.lit(last))
+    spread = queries.withColumn("number", F.explode(F.when(a <= z, F.sequence(a, z))))
+    named = cells.select("cell", F.col("camera_id").alias("of"), "number", "ts_min", "ts_max")
+    met = spread.join(named, "number").where(F.col("camera_id").isNull() | (F.col("camera_id") == F.col("of")))
+    met = met.where((F.col("ts_min") <= F.coalesce("ts_to", "ts_min")) & (F.col("ts_max") >= F.coalesce("ts_from", "ts_max")))
+    return met.select("cell", *queries.columns)
+
+
+def cell_points(spark: SparkSession, path: str, cells: DataFrame) -> DataFrame:
+    """The points of a stored index in ``cells`` (``cell``, distinct), of which no other folder is read."""
+    names = [r["cell"] for r in cells.limit(BROADCAST_CELLS + 1).collect()]  # names of folders, which the driver lists anyway
+    stored = spark.read.parquet(path)
+    if len(names) > BROADCAST_CELLS:
+        return stored.join(cells, "cell", "left_semi")
+    return stored.where(F.col("cell").isin(names)) if names else stored.where(F.lit(False))
+
+
+def cell_top_k(
+    spark: SparkSession,
+    path: str,
+    queries: DataFrame,
+    k: int,
+    variants: tuple[str, ...] = ("all",),
+    payload: tuple[str, ...] = ("video_id", "frame_idx", "offset_s", "ts", "source", "yolo_class"),
+    digits: int = 6,
+) -> DataFrame:
+    """``top_k`` over an index that ``write_cells`` stored: the same rows, but a query with a time window meets only
+    points of the cells that its window and camera touch, and other cells' files are not read.
+
+    Queries without a window, and those for whose window a variant has no point, are answered by a scan of all points, if
+    there are any.
+    """
+    asked = cut(_asked(queries), "queries")
+    bounded = F.col("ts_from").isNotNull() | F.col("ts_to").isNotNull()
+    met = cut(touched_cells(spark, path, asked.where(bounded)), "cells")
+    stored = cell_points(spark, path, met.select("cell").distinct())
+    width = asked.agg(F.max(F.size("vector"))).first()[0]
+    sought = _query_blocks(met.select(*asked.columns, F.col("cell").alias("key")), max(16, QUERY_BYTES // (8 * (width or 1))))
+    packed = _point_blocks(_picked(stored, payload, F.col("cell").alias("key")), 1)
+    inside = _meet(packed.join(sought, "key"), stored, k, variants, payload, digits, hold=False).where("in_window")
+    inside = cut(_ranked(inside, k, payload), "inside")
+    answered = inside.select("query_id", "variant").distinct()
+    pairs = asked.where(bounded).select("query_id").distinct().withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
+    empty = cut(pairs.join(answered, ["query_id", "variant"], "left_anti"), "empty")
+    without = asked.join(empty.select("query_id").distinct(), "query_id", "left_semi")
+    without = without.withColumns({c: F.lit(None).cast("double") for c in ("ts_from", "ts_to")})
+    rest = asked.where(~bounded).unionByName(without.where(F.lit(not empty.isEmpty())))
+    if rest.isEmpty():
+        return inside
+    over_all = top_k(spark.read.parquet(path), rest, k, variants, payload, digits)
+    dropped = over_all.join(empty.withColumn("dropped", F.lit(True)), ["query_id", "variant"], "left")
+    windowed = asked.where(bounded).select("query_id").distinct().withColumn("windowed", F.lit(True))
+    dropped = dropped.join(windowed, "query_id", "left").where(F.col("windowed").isNull() | F.col("dropped"))
+    return inside.unionByName(dropped.withColumn("time_dropped", F.coalesce("dropped", F.lit(False))).select(*inside.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import pickle
 import zlib
 
@@ -13,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sightline.operators.index import upsert_latest
 from sightline.operators.sampling import Gate, gate_rows
 from sightline.params import DEFAULT, Params
+from sightline.sources import versioned
 
 _KEPT = "video_id string, frame_idx long, t double, motion_score double, why string"
 
@@ -62,20 +64,26 @@ def event_stream(sightings: DataFrame, gap_s: float = DEFAULT.event_gap_s, late:
     )
 
 
+def stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps in a stream's checkpoint; a new checkpoint is a new stream."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def upsert_stream(points: DataFrame, path: str, checkpoint: str, order: str = "time"):
-    """Starts a stream that writes index points to ``path``: the last write of an ``id`` wins, for ever.
+    """Starts a stream that writes index points to the versioned table at ``path``: the last write of an ``id`` wins.
 
-    Every micro-batch is one folder, ``batch_no=N``, with the latest row of each of its ids (by ``order``).
-    A batch that is tried again replaces its own folder, so nothing is written twice.
-    ``stored_points`` reads the latest row of each id over all batches.
+    Every micro-batch is one commit, with the latest row of each of its ids (by ``order``).  Commits are numbered by the
+    table: a new checkpoint goes on after all that is stored, and a batch that is tried again changes nothing.
+    ``stored_points`` reads the latest row of each id.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        upsert_latest(batch, order=order).write.mode("overwrite").parquet(f"{path}/batch_no={number}")
+        name = stream_name(batch.sparkSession, checkpoint)
+        versioned.commit(upsert_latest(batch, order=order), path, stream=name, number=number)
 
     return points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stored_points(spark: SparkSession, path: str) -> DataFrame:
-    """The latest row of each id that ``upsert_stream`` wrote to ``path``."""
-    return upsert_latest(spark.read.parquet(path).withColumn("batch_no", F.col("batch_no").cast("long"))).drop("batch_no")
+def stored_points(spark: SparkSession, path: str, ids: list[str] | None = None) -> DataFrame:
+    """The latest row of each id that ``upsert_stream`` wrote to ``path``, or of a few ``ids``."""
+    return versioned.read(spark, path, keys=ids)

@@ -1,6 +1,8 @@
 import uuid
 
 import numpy as np
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,8 +49,8 @@ def test_top_k_with_windows_and_ties(spark, monkeypatch):
     x, rows, df = points(spark)
     asked = [("a", None, None, None), ("b", 10.0, 20.0, None), ("c", 5.0, None, "c2"), ("d", 9000.0, None, None), ("e", 20.0, 20.0, None)]
     qs = spark.createDataFrame([(n, x[i].tolist(), f, t, c) for i, (n, f, t, c) in enumerate(asked)], "query_id string, vector array<float>, ts_from double, ts_to double, camera_id string")
-    for block in (4096, 2):
-        monkeypatch.setattr(v, "QUERY_BLOCK", block)
+    for block in (8_000_000, 0):
+        monkeypatch.setattr(v, "BROADCAST_BYTES", block)
         got = v.top_k(df.repartition(5), qs, 7, ("all", "frame"), payload=()).orderBy("pos").collect()
         for i, (n, f, t, c) in enumerate(asked):
             dropped = n == "d"
@@ -124,20 +126,27 @@ def test_fill_unknown_only_fills_gaps(spark):
     )
 
 
-@pytest.mark.parametrize("sizes", [(2048, 512), (3, 2)])
-def test_top_k_against_a_full_sort(spark, monkeypatch, sizes):
-    """With null times, null vectors, zero vectors, ties, and queries of every kind."""
+@pytest.mark.parametrize("how", [{}, {"POINTS": 3, "QUERIES": 2}, {"POINTS": 7, "QUERY_BYTES": 1, "BROADCAST_BYTES": 0}, {"MERGE": 1}, {"cells": 10.0}, {"cells": 1000.0, "POINTS": 4}])
+def test_top_k_against_a_full_sort(spark, monkeypatch, tmp_path, how):
+    """With null times, null vectors, zero vectors, ties, and queries of every kind; few queries and many, in one scan
+    and by cells."""
     import random
 
-    monkeypatch.setattr(v, "POINTS", sizes[0])
-    monkeypatch.setattr(v, "QUERIES", sizes[1])
+    for name, value in how.items():
+        if name != "cells":
+            monkeypatch.setattr(v, name, value)
     r = random.Random(3)
     vec = lambda: None if r.random() < 0.1 else [float(r.randrange(-2, 3)) for _ in range(3)]
     points = [(f"p{i:03}", vec(), None if r.random() < 0.2 else float(i), r.choice(["a", "b", None]), r.choice(["frame", "crop"]), i) for i in range(120)]
-    queries = [(f"q{i}", vec(), *r.choice([(None, None), (10.0, 30.0), (None, 20.0), (900.0, None)]), r.choice([None, "a", "z"])) for i in range(12)]
+    queries = [(f"q{i}", vec(), *r.choice([(None, None), (10.0, 30.0), (None, 20.0), (900.0, None)]), r.choice([None, "a", "z"])) for i in range(40)]
     p = spark.createDataFrame(points, "id string, vector array<float>, ts double, camera_id string, source string, n int").repartition(5)
     q = spark.createDataFrame(queries, "query_id string, vector array<float>, ts_from double, ts_to double, camera_id string")
-    got = {(x.query_id, x.variant, x.pos): (x.id, x.score, x.time_dropped, x.n) for x in v.top_k(p, q, 4, ("all", "crop"), payload=("n", "ts")).collect()}
+    if "cells" in how:
+        v.write_cells(p, str(tmp_path / "index"), how["cells"])
+        found = v.cell_top_k(spark, str(tmp_path / "index"), q, 4, ("all", "crop"), payload=("n", "ts"))
+    else:
+        found = v.top_k(p, q, 4, ("all", "crop"), payload=("n", "ts"))
+    got = {(x.query_id, x.variant, x.pos): (x.id, x.score, x.time_dropped, x.n) for x in found.collect()}
     want = {}
     unit = lambda x: np.array(x) / max(np.linalg.norm(x), 1e-12)
     for qid, qv, lo, hi, cam in queries:
@@ -147,7 +156,45 @@ def test_top_k_against_a_full_sort(spark, monkeypatch, sizes):
             best = sorted((-round(float(unit(x[1]) @ unit(qv)), 6) + 0.0, x[0], x[5]) for x in inside or rows)[:4]
             want |= {(qid, variant, n + 1): (i, pytest.approx(-score, abs=2e-6), not inside, m) for n, (score, i, m) in enumerate(best)}
     assert got == want
-    assert v.top_k(p.where("false"), q, 4, payload=("n", "ts")).count() == 0
+    assert v.top_k(p.where("false"), q, 4, payload=("n", "ts")).count() == 0 and v.top_k(p, q.where("false"), 4, payload=("n", "ts")).count() == 0
+
+
+def test_top_k_of_ten_thousand_queries(spark, sf_dir, monkeypatch):
+    """None of them passes through the driver, and the points are scanned once."""
+    from sightline.jobs import standins
+
+    monkeypatch.setattr(v, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(v, "QUERY_BYTES", 1 << 20)
+    p = standins.idx(spark, sf_dir)
+    bend = F.transform("vector", lambda x, i: x + F.sin(F.col("n") * 7 + i) / 8)
+    q = p.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(19)))).select(F.concat_ws("-", "id", "n").alias("query_id"), bend.alias("vector"))
+    found = v.top_k(p, q, 3, payload=("ts",))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") - 1 <= 2
+    got = found.toPandas().sort_values(["query_id", "pos"])
+    asked, held = q.toPandas(), p.select("id", "vector").orderBy("id").toPandas()
+    unit = lambda x: v.unit_rows(np.array(x.tolist(), float))
+    score = np.round(unit(asked.vector) @ unit(held.vector).T, 6)
+    top = np.argsort(-score, axis=1, kind="stable")[:, :3]
+    want = {(i, held.id[j], n + 1) for i, t in zip(asked.query_id, top) for n, j in enumerate(t)}
+    assert len(got) == 30_000 and len(set(zip(got.query_id, got.id, got.pos)) - want) <= 3  # scores that round either way
+
+
+def test_cells_skip_files(spark, sf_dir, tmp_path):
+    from sightline.jobs import standins
+
+    path = str(tmp_path / "index")
+    v.write_cells(standins.idx(spark, sf_dir), path, 5.0)
+    stored = spark.read.parquet(path)
+    files = lambda df: df.select(F.input_file_name()).distinct().count()
+    start = float(standins.BASE_TS)
+    asked = lambda a, z, c: spark.createDataFrame([("q", a, z, c)], "query_id string, ts_from double, ts_to double, camera_id string")
+    some = [v.cell_points(spark, path, v.touched_cells(spark, path, asked(start + a, start + z, c)).select("cell").distinct()) for a, z, c in ((20, 24, "c1"), (20, 24, None), (20, 49, None))]
+    assert 0 < files(some[0]) < files(some[1]) < files(some[2]) < files(stored)
+    assert re.search(r"PartitionFilters: \[[^\]]*cell", some[0]._jdf.queryExecution().toString())
+    for df, z, c in zip(some, (24, 24, 49), ("c1", None, None)):
+        inside = (F.col("ts") >= start + 20) & (F.col("ts") <= start + z) & (F.lit(c is None) | (F.col("camera_id") == c))
+        assert df.where(inside).count() == stored.where(inside).count() > 0
+    assert v.touched_cells(spark, path, asked(9e9, None, None)).count() == 0
 
 
 def test_windows_follow_the_wall_clock(spark):

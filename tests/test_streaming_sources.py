@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sightline.jobs import standins
 from sightline.jobs.queries import GRID_GATE
 from sightline.operators import sampling as sp
-from sightline.sources import catalog
+from sightline.sources import catalog, versioned
 from sightline.streaming import live
 
 
@@ -64,7 +64,61 @@ def test_upsert_stream_keeps_the_last_write(spark, tmp_path):
         f.unlink()
     live.upsert_stream(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/state").awaitTermination()
     assert stored() == [("a", 9), ("b", 5), ("c", 4)]
-    assert spark.read.parquet(f"{base}/out").count() == 5
+    # so does a new checkpoint, which sends everything once more, and later points come after all others
+    before = versioned.snapshot(spark, f"{base}/out")["seq"]
+    live.upsert_stream(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/other").awaitTermination()
+    assert versioned.snapshot(spark, f"{base}/out")["seq"] == before + 1
+    assert {i for i, _ in stored()} == {"a", "b", "c"}
+    send([("d", 6, 1000)])
+    assert ("d", 6) in stored() and len(stored()) == 4
+
+
+def test_a_new_checkpoint_loses_nothing(spark, tmp_path):
+    base = str(tmp_path)
+    schema = "id string, x int, time timestamp"
+    for n, some in enumerate(("a", "b", "c")):
+        spark.createDataFrame([(some, n, n)], "id string, x int, t long").select("id", "x", F.timestamp_seconds("t").alias("time")).write.parquet(f"{base}/in{n}")
+        live.upsert_stream(spark.readStream.schema(schema).parquet(f"{base}/in{n}"), f"{base}/out", f"{base}/state{n}").awaitTermination()
+    assert sorted((r.id, r.x) for r in live.stored_points(spark, f"{base}/out").collect()) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_versioned_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    monkeypatch.setattr(versioned, "SHARE", 0.5)
+    monkeypatch.setattr(versioned, "DELTAS", 3)
+    rows = lambda some: spark.createDataFrame(some, "id string, x int")
+    got = lambda **kw: sorted((r.id, r.x) for r in versioned.read(spark, path, **kw).collect())
+    with pytest.raises(FileNotFoundError):
+        versioned.read(spark, path)
+    want, states = {}, []
+    for n in range(8):
+        some = {f"k{i}": n for i in range(60 if n == 0 else 6 * (n % 3))}
+        want |= some
+        states.append((versioned.commit(rows(list(some.items())), path, stream="s", number=n), dict(want)))
+        assert got() == sorted(want.items())
+    assert any(s["deltas"] for s, _ in states) and sum(not s["deltas"] for s, _ in states) >= 2
+    assert all(len(s["deltas"]) <= 3 for s, _ in states)
+    # a batch that was seen, a batch of another stream, an older snapshot, a few keys
+    assert versioned.commit(rows([("k0", 99)]), path, stream="s", number=7)["seq"] == 8
+    assert versioned.commit(rows([("new", 1)]), path, stream="other", number=0)["seq"] == 9
+    want["new"] = 1
+    assert got(number=states[4][0]["number"]) == sorted(states[4][1].items())
+    few = versioned.read(spark, path, keys=["k1", "new", "none"])
+    assert sorted((r.id, r.x) for r in few.collect()) == [("k1", want["k1"]), ("new", 1)]
+    assert "PartitionFilters: [bucket" in few._jdf.queryExecution().toString() or "bucket" in few._jdf.queryExecution().toString().split("PartitionFilters")[1][:80]
+    # a writer that died while writing its snapshot, and one that comes second
+    state = versioned.snapshot(spark, path)
+    (tmp_path / "t" / "snapshots" / f"{state['number'] + 1:012d}.json").write_text('{"numb')
+    assert got() == sorted(want.items())
+    assert versioned.commit(rows([("k0", 5)]), path)["number"] == state["number"] + 2
+    want["k0"] = 5
+    with pytest.raises(RuntimeError):
+        versioned._publish(spark, path, state, state["number"])
+    state = versioned.compact(spark, path)
+    assert not state["deltas"] and state["base"]["rows"] == len(want) and got() == sorted(want.items())
+    assert versioned.vacuum(spark, path, kept=1) > 3 and got() == sorted(want.items())
+    assert len(list((tmp_path / "t" / "data").iterdir())) == 1
+    assert versioned.commit(rows([]), path)["base"]["rows"] == len(want) and got() == sorted(want.items())
 
 
 def test_stream_gate_query_is_the_batch_gate(spark, sf_dir):
