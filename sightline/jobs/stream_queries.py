@@ -59,6 +59,25 @@ def stream_late_rows(spark, sf_dir: str) -> DataFrame:
     return spark.read.schema(events.schema).parquet(f"{base}/out").where("video_id <> 'end'")
 
 
+_DELAYED = f"""WITH {s.SIGHT}, far AS (SELECT max(ts) + 114 * 86400 AS mark FROM sight)
+SELECT id, event_id % 10 = 3 AS late, CASE WHEN event_id % 10 = 3 THEN round(mark - ts, 3) END AS delay_s FROM sight, far"""
+
+
+@query(_DELAYED)
+def stream_late_table(spark, sf_dir: str) -> DataFrame:
+    """Sightings of which every tenth comes behind the watermark: all of them, late ones with their delay."""
+    base = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = s.sight(spark, sf_dir).select("id", "event_id", F.timestamp_micros(F.round(F.col("ts") * 1e6).cast("long")).alias("time"))
+    late = F.col("event_id") % 10 == 3
+    far = rows.agg(F.max("time").alias("time")).select(F.lit("end").alias("id"), F.lit(-1).cast("long").alias("event_id"), (F.col("time") + F.expr("INTERVAL 115 DAYS")).alias("time"))
+    for more in (rows.where(~late), far, rows.where(late)):
+        more.write.mode("append").parquet(f"{base}/in")
+        live.route_late(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/state", 86_400.0).awaitTermination()
+    behind = live.late_rows(spark, f"{base}/out").select("id", F.lit(True).alias("late"), F.round("delay_s", 3).alias("delay_s"))
+    others = live.on_time(spark, f"{base}/out").where("event_id >= 0").select("id", F.lit(False).alias("late"), F.lit(None).cast("double").alias("delay_s"))
+    return behind.unionByName(others)
+
+
 @query(SQL["upsert_latest"].replace("SELECT id, source, frame_idx, batch_no FROM b", "SELECT id, source, frame_idx FROM b"))
 def stream_upsert(spark, sf_dir: str) -> DataFrame:
     """Points that come in three runs, later ones for ids that are there already."""

@@ -42,8 +42,9 @@ def _numbers(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
 
-def _load(spark: SparkSession, path: str, number: int) -> dict | None:
-    fs, where = _store(spark, f"{path}/snapshots/{number:012d}.json")
+def load_json(spark: SparkSession, path: str) -> dict | None:
+    """A small file of the shared store; None if it isn't there, or not whole."""
+    fs, where = _store(spark, path)
     if not fs.exists(where):
         return None
     stream = fs.open(where)
@@ -55,6 +56,17 @@ def _load(spark: SparkSession, path: str, number: int) -> dict | None:
         stream.close()
 
 
+def save_json(spark: SparkSession, path: str, content: dict, overwrite: bool = True) -> None:
+    fs, where = _store(spark, path)
+    out = fs.create(where, overwrite)  # fails if it is there and not to be overwritten
+    out.write(bytearray(json.dumps(content).encode()))
+    out.close()
+
+
+def _load(spark: SparkSession, path: str, number: int) -> dict | None:
+    return load_json(spark, f"{path}/snapshots/{number:012d}.json")
+
+
 def snapshot(spark: SparkSession, path: str, number: int | None = None) -> dict:
     """The newest whole snapshot, or that of a number; an empty one for a table that isn't there."""
     for n in [number] if number is not None else _numbers(spark, path)[::-1]:
@@ -73,10 +85,7 @@ def _publish(spark: SparkSession, path: str, state: dict, after: int) -> dict:
     if newer:
         raise RuntimeError(f"another writer has committed snapshot {newer[-1]} of {path}")
     state = state | {"number": number}
-    fs, where = _store(spark, f"{path}/snapshots/{number:012d}.json")
-    out = fs.create(where, False)  # fails if it is there
-    out.write(bytearray(json.dumps(state).encode()))
-    out.close()
+    save_json(spark, f"{path}/snapshots/{number:012d}.json", state, overwrite=False)
     return state
 
 

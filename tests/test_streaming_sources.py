@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +28,49 @@ def test_gate_stream_is_the_batch_gate(spark, sf_dir, tmp_path):
     assert got == want
 
 
+def test_a_silent_camera_gives_its_state_up(spark, sf_dir, tmp_path, request):
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(setting, "false")
+    request.addfinalizer(lambda: spark.conf.unset(setting))
+    frames = standins.grids(spark, sf_dir).where("video_id in ('v0', 'v1')")
+    anew = lambda lo: {(r.video_id, r.frame_idx) for r in sp.gate_frames(frames.where(F.col("frame_idx") >= lo), GRID_GATE, blur=False).collect()}
+    whole, later = anew(0), anew(50)
+    assert {r for r in whole if r[1] >= 50} != later
+    for ttl, want in ((0.2, {r for r in whole if r[1] < 50} | later), (3600.0, whole)):
+        base, out = str(tmp_path / str(ttl)), None
+        for lo, hi in ((0, 50), (50, 1000)):
+            frames.where((F.col("frame_idx") >= lo) & (F.col("frame_idx") < hi)).write.mode("append").parquet(f"{base}/in")
+            out = live.gate_stream(spark.readStream.schema(frames.schema).parquet(f"{base}/in"), GRID_GATE, blur=False, ttl_s=ttl)
+            drain(out, base)
+            time.sleep(0.5)
+        got = {(r.video_id, r.frame_idx) for r in spark.read.schema(out.schema).parquet(f"{base}/out").collect()}
+        # the first run's frames before 50 are those of the whole, as later ones do not touch them
+        assert got == want, ttl
+
+
+def test_late_rows_are_kept_apart(spark, tmp_path):
+    base = str(tmp_path)
+
+    def feed(rows, state="state"):
+        df = spark.createDataFrame(rows, "id string, t long").select("id", F.timestamp_seconds("t").alias("time"))
+        df.write.mode("append").parquet(f"{base}/in")
+        live.route_late(spark.readStream.schema(df.schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/{state}", 10.0).awaitTermination()
+
+    feed([("a", 1000), ("b", 1), ("c", None)])
+    feed([("d", 990), ("e", 989), ("f", 5000), ("g", None)])
+    feed([("h", 4000), ("i", 980)])
+    feed([("j", 4990), ("k", 4989)])
+    late = {r.id: r.delay_s for r in live.late_rows(spark, f"{base}/out").collect()}
+    assert late == {"e": 1.0, "h": 990.0, "i": 4010.0, "k": 1.0}
+    on_time = live.on_time(spark, f"{base}/out")
+    assert {r.id for r in on_time.collect()} == set("abcdfgj") and on_time.columns == ["id", "time"]
+    # a batch that is tried again replaces its rows
+    for f in (tmp_path / "state" / "commits").glob("*3*"):
+        f.unlink()
+    live.route_late(spark.readStream.schema(on_time.schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/state", 10.0).awaitTermination()
+    assert {r.id: r.delay_s for r in live.late_rows(spark, f"{base}/out").collect()} == late and live.on_time(spark, f"{base}/out").count() == 7
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     base = str(tmp_path)
     schema = "video_id string, time timestamp, id string, score double"
