@@ -14,7 +14,10 @@ this last join is plain and Spark may split a hot digest over many tasks.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.llm.spread import join_spread
@@ -69,11 +72,21 @@ def exact_groups(
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one for each distinct text.
 
-    Of repeated rows with the winning id one stays.  Ids are looked up by value, null included.
+    Of repeated rows with the winning id and text one stays, chosen by a hash of its columns.  Rows are looked up by
+    id and text, so those of one id, or of none, with different texts are judged by their own texts; null and empty
+    texts are one text.  A very long text is compared by its digests and length.  An empty table gives none.
     """
-    ids = exact_groups(docs, id_col, text_col).where("kept").select("doc_id").distinct()
-    once = docs.dropDuplicates([id_col, text_col])
-    return once.join(ids, once[id_col].cast("long").eqNullSafe(ids["doc_id"]), "left_semi")
+    # none of the input's columns has these names
+    one, of, digest = (f"{n}_{uuid.uuid4().hex}" for n in ("one", "of", "digest"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keep = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(of), F.unhex("text_sha256").alias(digest)).distinct()
+    named = docs.withColumn(one, F.unhex(F.sha2(text, 256)))
+    same = F.col(one).eqNullSafe(F.col(digest)) & named[id_col].cast("long").eqNullSafe(F.col(of))
+    winners = named.join(keep, same, "left_semi")
+    # a hash of each row tells repeated rows apart, whatever their columns' types
+    order = F.hash(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    row = F.row_number().over(W.partitionBy(one, F.col(id_col).cast("long")).orderBy(F.col(text_col).isNull(), order))
+    return winners.withColumn(of, row).where(F.col(of) == 1).drop(one, of)
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

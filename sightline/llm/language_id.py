@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sightline.llm.workers import bound_batches, enter
 
@@ -221,17 +222,24 @@ def train(learnable: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return pickle.loads(got[0]["model"]) if got else None
 
 
-def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(
+    docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, str] | None = None
+) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row.  ``und`` with score 0 if the text is null or has
-    no letter, or if there is no model; else the likeliest label and its calibrated probability."""
+    no letter, or if there is no model; else the likeliest label and its calibrated probability.
+
+    ``keep``: names of two new columns for label and score beside all columns of ``docs``, in place of that.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bound_batches(docs.sparkSession)
+    names = list(keep or ("lang_pred", "score"))
 
     def run(it):
         enter("language")
         m = shared.value
         for batch in it:
             at = 0
-            for some in _slices(batch.column(1)):
+            for some in _slices(batch.column(text_col if keep else "t")):
                 lang, score = [UNKNOWN] * len(some), [0.0] * len(some)
                 todo = [i for i, t in enumerate(some) if m is not None and _LETTER.search(t)]
                 for i, (f, c) in zip(todo, _grams([some[i] for i in todo])):
@@ -239,12 +247,16 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
                     p = _softmax((_tfidf(f, c, m["idf"]) @ w[f] + 0.1 * w[-1]) / m["temperature"])
                     k = int(p.argmax())
                     lang[i], score[i] = m["labels"][k], float(p[k])
+                columns = batch.slice(at, len(some)).columns if keep else [batch.column(0).slice(at, len(some))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(some)), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                    names=["doc_id", "lang_pred", "score"],
+                    [*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                    names=[*(batch.schema.names if keep else ["doc_id"]), *names],
                 )
                 at += len(some)
 
+    if keep:
+        schema = StructType([*docs.schema.fields, StructField(keep[0], StringType()), StructField(keep[1], DoubleType())])
+        return docs.mapInArrow(run, schema)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     return picked.mapInArrow(run, "doc_id long, lang_pred string, score double")
 

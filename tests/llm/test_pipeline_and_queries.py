@@ -2,6 +2,7 @@ import compare
 import corpus_pipeline
 import pytest
 from helpers import table, words
+from pyspark.sql import functions as F
 
 from sightline.llm import queries as llm
 
@@ -60,3 +61,18 @@ def test_stages_take_nothing(spark, sf_dir, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
 
+
+
+def test_rows_without_id_keep_their_own_language(spark):
+    """Also with a map column and a text of ten million characters."""
+    english = "the quick brown fox and the lazy dog are in this house with all of their friends and family "
+    german = "der schnelle braune fuchs und der faule hund sind mit allen ihren freunden in diesem haus "
+    rows = [(i, english if i % 2 else german, "en" if i % 2 else "de", {"a": i}) for i in range(40)]
+    rows += [(None, "12 34", None, {}), (None, "", None, None), (None, german, None, {"b": 1}), (None, english, None, None), (99, german * 110_000, None, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, more map<string, int>")
+    kept = corpus_pipeline.keep_known_languages(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = kept.where("doc_id is null or doc_id = 99").select("doc_id", F.length("text").alias("n"), "lang", "more").collect()
+    assert sorted((str(r.doc_id), r.n, r.lang) for r in got) == [("99", len(german) * 110_000, "de"), ("None", len(german), "de"), ("None", len(english), "en")]
+    once = corpus_pipeline.one_of_each_group(spark, kept.where("doc_id is null").unionByName(kept.where("doc_id is null")), "")
+    assert sorted(r.lang for r in once.collect()) == ["de", "en"] and {str(r.more) for r in once.collect()} == {"{'b': 1}", "None"}

@@ -132,3 +132,12 @@ def test_passage_that_only_rows_without_id_hold(spark):
     benchmark = spark.createDataFrame([(9, passage)], "item_id long, text string")
     got = {(r.doc_id, r.n_words): (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(docs, benchmark).collect()}
     assert got == {(None, 14): (12, 1, True), (None, 12): (0, 0, False), (1, 12): (0, 0, False)}
+
+
+def test_exact_dedup_judges_rows_by_their_text(spark):
+    rows = [(1, "a"), (2, "a"), (1, "b"), (3, None), (3, ""), (None, "c"), (None, "c"), (None, "d"), (4, "d"), (5, "x" * 3_000_000), (6, "x" * 3_000_000)]
+    got = exact_dedup.exact_dedup(table(spark, rows))
+    assert got.columns == table(spark, rows).columns
+    want = [(2, "a"), (1, "b"), (3, ""), (None, "c"), (4, "d"), (6, "x" * 3_000_000)]
+    assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted((str(i), t) for i, t in want)
+    assert exact_dedup.exact_dedup(table(spark, rows).where("false")).count() == 0
