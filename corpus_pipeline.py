@@ -24,16 +24,13 @@ LEAST_SCORE = 0.4
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that the classifier knows; texts that are null, have no letters or
-    resemble no language go.  ``lang`` becomes the prediction where it was null.  Repeated rows share
-    their fate; rows without id are judged as one id."""
-    found = language_id.language_id(docs).where(
-        (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    )
-    # one prediction for each id; rows of one id with different texts are judged by their likeliest
-    found = found.groupBy("doc_id").agg(F.max_by("lang_pred", "score").alias("lang"))
-    kept = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]))
-    lang = F.coalesce(docs["lang"], found["lang"]).alias("lang")
-    return kept.where(docs["text"].rlike(r"\p{L}")).select(*[lang if c == "lang" else docs[c] for c in docs.columns])
+    resemble no language go.  ``lang`` becomes the prediction where it was null.  Every row is judged by its own text,
+    whatever its id; repeated rows share their fate."""
+    learned = language_id.train(docs.where(~language_id.held_out(docs["doc_id"])))
+    pred, score = (f"{n}_{uuid.uuid4().hex}" for n in ("pred", "score"))  # no column of the input has these names
+    judged = language_id.predict(docs, learned, keep=(pred, score))
+    kept = judged.where((F.col(pred) != language_id.UNKNOWN) & (F.col(score) >= LEAST_SCORE) & F.col("text").rlike(r"\p{L}"))
+    return kept.select(*[F.coalesce("lang", F.col(pred)).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +38,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     smallest id, and of its texts under that id any fixed one.  A null id comes last.
 
     Rows are told apart by id and text (a 64-bit hash of both), so rows of one id, or of none, with
-    different texts are in the groups of their texts.  Of rows that repeat both, the one with the
-    smallest other columns stays."""
+    different texts are in the groups of their texts.  Of rows that repeat both, one stays, chosen
+    by a hash of its columns."""
     row, number, group = (f"{n}_{uuid.uuid4().hex}" for n in ("row", "id", "group"))  # no column of the input has these names
     hashed = F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
     groups = jaccard_join.jaccard_components(docs.withColumn(row, hashed), k=5, percent=80, id_col=row).select(
@@ -53,7 +50,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         F.min(F.struct(F.col(number).isNull(), number, row))[row].alias(row)
     )
     kept = docs.join(first.select(F.col(row).alias(group)).distinct(), hashed == F.col(group), "left_semi")
-    return kept.groupBy(hashed.alias(row)).agg(F.min(F.struct(*docs.columns)).alias(group)).select(f"{group}.*")
+    # of repeated rows that with the smallest hash of all columns; columns that have no order are left out of it
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    picked = kept.groupBy(hashed.alias(row)).agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.xxhash64(*plain)).alias(group))
+    return picked.select(f"{group}.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
