@@ -1,9 +1,10 @@
 """Exact token counts at every prefix of a text, from one encoding of it.
 
-The table of a text is filled left to right: entry t + 1 is entry t and the characters of token t.  It
-has an entry for every prefix of whole tokens, and each of those has exactly as many tokens when it is
-encoded by itself, as no merge was made across its end.  Questions about truncation and budgets are
-answered from the table, without the tokenizer.
+The table of a text is filled left to right: entry t + 1 is entry t and the characters of token t.  A
+prefix of whole tokens has as many tokens as the table says, as no merge is made across its end, unless it
+ends with several blanks: what follows them decides how they are parted, so these are counted as they are
+at the end of a text, from the run of blanks alone.  Questions about truncation and budgets are answered from the
+table; only a prefix that ends inside a token or with several blanks costs a short encoding.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from sightline.llm.tokens import SAFE, Encoder, batches, encoder
 from sightline.llm.workers import bound_batches
 
 
+#: Characters at a prefix's end that are looked at first for blanks.
+BLANKS = 64
+
+
 @dataclass
 class PrefixCounts:
     """``ends[t]``: characters of the first t tokens, or -1 if token t ends inside a character."""
@@ -31,14 +36,25 @@ class PrefixCounts:
     def total(self) -> int:
         return len(self.ends) - 1
 
+    def _blanks(self, run: str) -> int:
+        return len(self.encoder.t.encode(run, add_special_tokens=False).ids)
+
     def longest(self, budget: int) -> int:
-        """Characters of the longest prefix of whole tokens with at most ``budget`` tokens."""
+        """Characters of the first ``budget`` tokens of the text, up to the last that ends between two characters: a
+        prefix with at most ``budget`` tokens."""
         return int(self.ends[: max(0, min(budget, self.total)) + 1].max())
 
     def at(self, chars: int) -> int:
         """Tokens of ``text[:chars]``.  Only a prefix that ends inside a token costs an encoding, of what
-        lies behind the last blank between two whole tokens."""
+        lies behind the last blank between two whole tokens, or one that ends with several blanks, of these."""
         chars = max(0, min(chars, len(self.text)))
+        solid = len(self.text[max(0, chars - BLANKS) : chars].rstrip())
+        run = min(chars, BLANKS) - solid
+        if run > 1 and chars < len(self.text):
+            begin = chars - run
+            while begin and self.text[begin - 1].isspace():
+                begin -= 1
+            return self.at(begin) + self._blanks(self.text[begin:chars])
         whole = np.flatnonzero((self.ends >= 0) & (self.ends <= chars))
         if self.ends[whole[-1]] == chars:
             return int(whole[-1])

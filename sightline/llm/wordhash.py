@@ -69,8 +69,8 @@ class Words:
         self.hash = self.hashes(0)
 
     def hashes(self, lane: int) -> np.ndarray:
-        """Hash of each word.  Every eight bytes are mixed into what came before, so that no arithmetic
-        relation between two words makes them equal; the ``lane``s are independent of each other."""
+        """Hash of each word.  Every eight bytes are mixed into what came before; the ``lane``s are independent of each
+        other.  Words of more than eight bytes can be made up so that one lane's hashes are equal, not both lanes'."""
         out = np.empty(len(self.start), _U)
         key = _factors(lane, 4)
         step = 1 << 16

@@ -94,3 +94,16 @@ def test_token_files_of_repeats_and_nothing(spark, tmp_path):
 def test_other_dictionary_is_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         token_files._decoder(b"x", "0" * 64)
+
+
+def test_every_prefix_of_odd_strings():
+    """With blank runs, line feeds and contractions: the table against the library at every prefix."""
+    import random
+
+    e, r = Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(1)
+    bits = ["hello", "world", "\n\n", "\n", " ", "  ", "   ", "\t", "\r\n", "don't", "we're", "'s", "'", "I'll", "1234", "é", "ß𝄞", "…", "!!", "\u2003", "end of one.", "Next part"]
+    for _ in range(1000):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(1, 9))) + (" " * 70 if r.random() < 0.05 else "") + r.choice(bits)
+        p = next(token_counts.prefix_counts([text], e))
+        for chars in range(len(text) + 1):
+            assert p.at(chars) == len(e.t.encode(text[:chars], add_special_tokens=False).ids), (text, chars)
