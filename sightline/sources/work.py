@@ -25,8 +25,12 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Folders that this process made, for ``clear``.
-_made: list[str] = []
+#: Folders that this process made, by session, for ``clear``.
+_made: dict[str, list[str]] = {}
+
+
+def _session(spark: SparkSession) -> str:
+    return spark._jsparkSession.sessionUUID()
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -36,7 +40,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     costs only the tasks that it held.
     """
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made.setdefault(_session(df.sparkSession), []).append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -49,10 +53,10 @@ def discard(df: DataFrame) -> None:
 
 
 def clear(spark: SparkSession) -> None:
-    """Remove the tables that ``cut`` has made so far.  To be called once results are written elsewhere, as
-    results still read from these tables."""
-    while _made:
-        remove(spark, _made.pop())
+    """Remove the tables that ``cut`` has made in this session so far.  To be called once results are written
+    elsewhere, as results still read from these tables."""
+    for path in _made.pop(_session(spark), []):
+        remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
