@@ -226,6 +226,23 @@ def l2_normalize(spark, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.transform(v.l2_normalize(scaled), lambda x: F.round(x, 6)).alias("unit"))
 
 
+def _fake_encoder():
+    """A model in one line: three numbers of an image's name."""
+
+    def encode(images: list) -> list:
+        return [[int(i[1:]) % 7 + 1, int(i[1:]) % 5, int(i[1:]) % 3] for i in images]
+
+    return encode
+
+
+@query(f"""WITH {s.IDX}, n AS (SELECT id, vec_id % 7 + 1.0::DOUBLE AS x, vec_id % 5 * 1.0::DOUBLE AS y, vec_id % 3 * 1.0::DOUBLE AS z FROM idx),
+l AS (SELECT *, sqrt(x * x + y * y + z * z) AS d FROM n) SELECT id, round(x / d, 4) AS x, round(y / d, 4) AS y, round(z / d, 4) AS z FROM l""")
+def embed_points(spark, sf_dir: str) -> DataFrame:
+    """Unit vectors of a stand-in for an embedding model."""
+    made = v.embed(s.idx(spark, sf_dir).select("id"), "id", _fake_encoder)
+    return made.select("id", *[F.round(F.col("vector")[i].cast("double"), 4).alias(c) for i, c in enumerate("xyz")])
+
+
 @query(f"WITH {_pool_sql(10, window='NULL', camera='NULL')} SELECT query_id, id, pos, score FROM pool")
 def cosine_topk(spark, sf_dir: str) -> DataFrame:
     return _pool(spark, sf_dir, 10, window=False, camera=False).select("query_id", "id", "pos", "score")
@@ -359,6 +376,23 @@ def hourly_cap(spark, sf_dir: str) -> DataFrame:
 GRID_GATE = Params(pixel_threshold=30.0, keep_ratio=0.3, dedup_ratio=0.15, global_ratio=0.6, min_blob=2, anchor_s=10.0)
 
 
+GRID_SIZE = replace(GRID_GATE, grid_width=8, grid_height=8)
+
+
+@query("""SELECT 'v' || (vec_id % 5) AS video_id, vec_id // 5 AS frame_idx, 8 AS w, 8 AS h,
+  array_to_string(list_transform(embedding::DOUBLE[], lambda x: printf('%02X', greatest(0, least(255, floor((x + 0.5) * 255)::INT)))), '') AS gray
+FROM embeddings""")
+def decoded_grids(spark, sf_dir: str) -> DataFrame:
+    """The gate's grids of decoded frames."""
+    return sp.gray_grids(s.decoded(spark, sf_dir), GRID_SIZE).select("video_id", "frame_idx", "w", "h", F.hex("gray").alias("gray"))
+
+
+@query()
+def decoded_gate(spark, sf_dir: str) -> DataFrame:
+    """Decoded frames to kept frames."""
+    return sp.gate_frames(sp.gray_grids(s.decoded(spark, sf_dir), GRID_SIZE), GRID_SIZE, blur=False)
+
+
 @query()
 def gate_frames(spark, sf_dir: str) -> DataFrame:
     return sp.gate_frames(s.grids(spark, sf_dir), GRID_GATE, blur=False)

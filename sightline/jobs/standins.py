@@ -151,6 +151,15 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grids as decoded frames of 16 x 16 pixels with three equal bytes, two by two of each gray value."""
+    g = grids(spark, sf_dir)
+    at = lambda i: (F.floor(i / 32) * 8 + F.floor(i % 16 / 2) + 1).cast("int")
+    pixel = lambda i: F.substring(F.col("gray"), at(i), F.lit(1))
+    bgr = F.aggregate(F.sequence(F.lit(0), F.lit(255)), F.lit(b""), lambda a, i: F.concat(a, pixel(i), pixel(i), pixel(i)))
+    return g.select("video_id", "frame_idx", "t", "base_ts", F.lit(16).alias("width"), F.lit(16).alias("height"), bgr.alias("bgr"))
+
+
 NOW = "2024-03-10 15:30:00"
 #: Our own query phrases; each conversation turn gets one before its text.
 PHRASES = (

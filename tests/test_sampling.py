@@ -184,3 +184,10 @@ def test_blur_rounds_to_whole_numbers():
     a = np.zeros((9, 9), np.uint8)
     a[4, 4] = 255
     assert sp.smooth(a)[4].tolist() == [0, 0, 6, 24, 36, 24, 6, 0, 0] and sp.smooth(np.full((1, 2), 7, np.uint8)).tolist() == [[7, 7]]
+
+
+def test_decoded_frames_are_gated_as_their_grids(spark, sf_dir):
+    from sightline.jobs.all_queries import QUERIES
+
+    rows = lambda name: sorted(map(tuple, QUERIES[name](spark, sf_dir).collect()))
+    assert rows("decoded_gate") == rows("gate_frames")
