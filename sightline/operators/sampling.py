@@ -199,32 +199,35 @@ def gate_rows(rows, gates: dict[str, Gate], p: Params, blur: bool):
         yield (video, i, t, *gates.setdefault(video, Gate()).step(t, grid, p, blur))
 
 
-def gate_all(frames: DataFrame, p: Params = DEFAULT, blur: bool = True) -> DataFrame:
+def gate_all(frames: DataFrame, p: Params = DEFAULT, blur: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
     """Every frame with its decision: ``video_id, frame_idx, t, kept, motion_score, why``.
 
-    ``frames``: ``video_id, frame_idx, t, w, h, gray`` (row-major bytes).
+    ``frames``: ``video_id, frame_idx, t, w, h, gray`` (row-major bytes).  ``carried``: further columns of frames that
+    come back with each row.
     """
+    read = ("video_id", "frame_idx", "t", "w", "h", "gray")
 
     def run(it):
         gates: dict[str, Gate] = {}
         for b in it:
-            rows = list(gate_rows(zip(*(c.to_pylist() for c in b.columns)), gates, p, blur))
+            rows = list(gate_rows(zip(*(c.to_pylist() for c in b.columns[: len(read)])), gates, p, blur))
             if rows:
                 last = rows[-1][0]  # sorted by video: earlier ones are done
                 gates = {last: gates[last]}
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _OUT)], schema=_OUT)
+                decided = [pa.array(x, f.type) for x, f in zip(zip(*rows), _OUT)]
+                yield pa.RecordBatch.from_arrays([*decided, *b.columns[len(read) :]], names=[*_OUT.names, *carried])
 
-    picked = frames.select("video_id", "frame_idx", "t", "w", "h", "gray")
-    return picked.repartition("video_id").sortWithinPartitions("video_id", "t", "frame_idx").mapInArrow(run, _OUT_DDL)
+    picked = frames.select(*read, *carried)
+    ddl = ", ".join([_OUT_DDL, *(f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in carried)])
+    return picked.repartition("video_id").sortWithinPartitions("video_id", "t", "frame_idx").mapInArrow(run, ddl)
 
 
 def gate_frames(frames: DataFrame, p: Params = DEFAULT, blur: bool = True) -> DataFrame:
-    """Kept frames: ``video_id, frame_idx, offset_s, motion_score`` and, if frames have ``base_ts``, ``ts``."""
-    kept = gate_all(frames, p, blur).where("kept").select("video_id", "frame_idx", F.col("t").alias("offset_s"), "motion_score")
-    if "base_ts" not in frames.columns:
-        return kept
-    base = frames.select("video_id", "frame_idx", "base_ts")
-    return kept.join(base, ["video_id", "frame_idx"]).withColumn("ts", F.col("base_ts") + F.col("offset_s")).drop("base_ts")
+    """Kept frames: ``video_id, frame_idx, offset_s, motion_score`` and, if frames have ``base_ts``, ``ts``.
+    Frames are read once; repeated rows of a frame are frames of their own."""
+    carried = ("base_ts",) if "base_ts" in frames.columns else ()
+    ts = [(F.col(c) + F.col("t")).alias("ts") for c in carried]
+    return gate_all(frames, p, blur, carried).where("kept").select("video_id", "frame_idx", F.col("t").alias("offset_s"), "motion_score", *ts)
 
 
 def gate_funnel(frames: DataFrame, params: dict[str, Params], blur: bool = True) -> DataFrame:

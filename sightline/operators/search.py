@@ -96,7 +96,7 @@ def sighting_events(
     sliced = sightings.withColumn("slice", F.floor(F.col("ts") / slice_s))
     w = W.partitionBy(*by, "slice").orderBy("ts", "id")
     new = F.when(F.col("ts") - F.lag("ts").over(w) <= gap_s, 0).otherwise(1)
-    marked = sliced.withColumn("new", new).withColumn("run", F.sum("new").over(w))
+    marked = sliced.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     rep = F.min(F.struct((-F.col("score")).alias("s"), F.col("ts").alias("t"), F.col("id").alias("id")))
     runs = marked.groupBy(*by, "slice", "run").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"), rep.alias("rep"))
     # one row for each slice: its ends, its runs

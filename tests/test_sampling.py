@@ -191,3 +191,16 @@ def test_decoded_frames_are_gated_as_their_grids(spark, sf_dir):
 
     rows = lambda name: sorted(map(tuple, QUERIES[name](spark, sf_dir).collect()))
     assert rows("decoded_gate") == rows("gate_frames")
+
+
+def test_kept_frames_carry_their_start(spark):
+    """One row for each kept row, whatever repeats; a video without name keeps its rows."""
+    r = np.random.default_rng(3)
+    rows = [(v, i, i * 0.5, 8, 8, r.integers(0, 255, 64, np.uint8).tobytes(), b) for v, b in (("a", 100.0), ("b", None), (None, 7.0)) for i in range(12)]
+    df = spark.createDataFrame([*rows, rows[3]], "video_id string, frame_idx long, t double, w int, h int, gray binary, base_ts double")
+    kept = sorted((x for x in sp.gate_all(df, P).collect() if x.kept), key=str)
+    got = sp.gate_frames(df, P).collect()
+    base = {"a": 100.0, "b": None, None: 7.0}
+    want = [(x.video_id, x.frame_idx, x.t, x.motion_score, None if base[x.video_id] is None else base[x.video_id] + x.t) for x in kept]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and {x.video_id for x in got} == {"a", "b", None}
+    assert "ts" not in sp.gate_frames(df.drop("base_ts"), P).columns

@@ -40,6 +40,11 @@ def test_events_of_one_video(spark, slice_s):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_repeated_sightings_without_time_are_events_of_their_own(spark):
+    df = spark.createDataFrame([("v", None, "i", 1.0)] * 2 + [("v", 5.0, "i", 1.0)] * 2, "video_id string, ts double, id string, score double")
+    assert sorted((e.event_no, e.first_ts, e.n) for e in search.sighting_events(df, 50.0).collect()) == [(1, None, 1), (2, None, 1), (3, 5.0, 2)]
+
+
 def test_events_are_those_of_the_registered_query(spark, sf_dir):
     one = standins.sight(spark, sf_dir).withColumn("video_id", F.lit("v"))
     whole = sorted(map(tuple, search.sighting_events(one, 600.0, slice_s=1e12).collect()))
