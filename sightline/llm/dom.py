@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import bisect
 import functools
 import re
 from html import unescape
 
+import numpy as np
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math".split())
 #: Elements that do not begin a block of text.
@@ -39,6 +40,8 @@ CONTAINER = frozenset("area bar block body box button buttons container content
                       "list module outer panel posts row section slot space top unit wrap wrapper zone".split())
 _OPEN = re.compile("<(?=[a-zA-Z!?]|/[a-zA-Z])")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: A tag without quotes behind its name.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+)>")
 _QUOTE = re.compile("[>\"']")
 #: One attribute, with its whole name; a value without its closing quote goes to the end.
 _ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>][^\s>]*)))?")
@@ -58,16 +61,22 @@ def _is_mark(token: str) -> bool:
 def _tags(html: str, skip: list[int]):
     """(start, end, name, whether it closes, attributes) of every tag; name None for comments and declarations.
 
-    What lies before ``skip[0]``, which may be moved on meanwhile, is passed over.  Goes forward only.  A tag ends at the first ``>`` outside quotes, or, if a quote is left open, at the first ``>`` at
-    all; without any it is text, as is everything after it.  Pages made of open quotes are looked at for quotes only
-    until this has read eight times their length.
+    What lies before ``skip[0]``, which may be moved on meanwhile, is passed over.  Goes forward only.  A tag ends at the
+    first ``>`` outside quotes, or, if there is none or a quote is left open, at the first ``>`` at all; without any it is
+    text, as is everything after it.
     """
-    at, size, walked = 0, len(html), 0
+    at, size = 0, len(html)
+    led_nowhere = None  # opening quotes after which no tag ends; none of them is followed twice
     while True:
         begin = _OPEN.search(html, max(at, skip[0]))
         if begin is None:
             return
         start = begin.start()
+        plain = _PLAIN.match(html, start)
+        if plain is not None:
+            at = plain.end()
+            yield start, at, plain[2], plain[1] == "/", plain[3]
+            continue
         c = html[start + 1]
         if c in "!?":
             comment = html.startswith("<!--", start)
@@ -82,17 +91,18 @@ def _tags(html: str, skip: list[int]):
         if first < 0:
             return
         end, i = first, name.end()
-        while walked < 8 * size:
+        while True:
             m = _QUOTE.search(html, i)
-            if m is None:
-                break
-            if m[0] == ">":
-                walked += m.start() - name.end()
+            if m is not None and m[0] == ">":
                 end = m.start()
                 break
-            i = html.find(m[0], m.end()) + 1
+            if m is not None and led_nowhere:
+                if led_nowhere[m.start()]:
+                    break
+                led_nowhere[m.start()] = 1  # if a tag ends after it all the same, nothing before that end is read again
+            i = 0 if m is None else html.find(m[0], m.end()) + 1
             if not i:
-                walked += size - name.end()
+                led_nowhere = led_nowhere or bytearray(size)
                 break
         yield start, end + 1, name[0], closes, html[name.end() : end]
         at = end + 1
@@ -165,7 +175,8 @@ def parse(html: str) -> Node:
 
     skip = [0]
     for start, end, name, closes, attributes in _tags(html, skip):
-        put(html[at:start])
+        if at < start:
+            put(html[at:start])
         at = end
         if not name:
             continue
@@ -193,7 +204,7 @@ def parse(html: str) -> Node:
                 stack[-1].parts.append(" ")
             if tag == "a":
                 links, number = links + 1, number + 1
-            if mute is None and tag not in VOID and _kind(tag, attributes)[1]:
+            if mute is None and attributes and tag not in VOID and _kind(tag, attributes)[1]:
                 mute, depth = tag, 1
             continue
         label, outside, main = _kind(tag, attributes)
@@ -244,8 +255,8 @@ def size(outline: str) -> int:
     return outline.count("\n") + 1
 
 
-#: Pairs of children of two nodes that are compared; beyond that, they are aligned in one pass.
-PAIRS = 1_000_000
+#: Pairs of children of two nodes up to which a plain loop is the quicker way, and cells whose rows are held at once.
+PAIRS, CELLS = 1_000, 4_000_000
 
 
 def match(a: str, b: str) -> list[tuple[int, int]]:
@@ -254,8 +265,8 @@ def match(a: str, b: str) -> list[tuple[int, int]]:
     return list(_match(a, b)) if len(a) + len(b) < 100_000 else _match.__wrapped__(a, b)
 
 
-def _tree(outline: str, kinds: dict) -> tuple[list[str], list[list[int]], list[int]]:
-    """Labels, children, and a number for each node that equal subtrees share."""
+def _tree(outline: str, kinds: dict) -> tuple[list[list[int]], list[int]]:
+    """Children of each node, and a number that equal subtrees share: the place in ``kinds`` of label and children's numbers."""
     labels, children, path = [], [], []
     for i, line in enumerate(outline.split("\n")):
         depth, label = line.split(" ", 1)
@@ -268,92 +279,167 @@ def _tree(outline: str, kinds: dict) -> tuple[list[str], list[list[int]], list[i
     kind = [0] * len(labels)
     for i in range(len(labels) - 1, -1, -1):
         kind[i] = kinds.setdefault((labels[i], *(kind[c] for c in children[i])), len(kinds))
-    return labels, children, kind
-
-
-def _sizes(children: list[list[int]]) -> list[int]:
-    out = [1] * len(children)
-    for i in range(len(children) - 1, -1, -1):
-        out[i] += sum(out[c] for c in children[i])
-    return out
+    return children, kind
 
 
 @functools.lru_cache(5000)
 def _match(a: str, b: str) -> list[tuple[int, int]]:
     kinds: dict = {}
-    la, ca, ka = _tree(a, kinds)
-    lb, cb, kb = _tree(b, kinds)
-    sizes = _sizes(ca)
-    if la[0] != lb[0]:
+    ca, ka = _tree(a, kinds)
+    cb, kb = _tree(b, kinds)
+    label, below = [k[0] for k in kinds], [k[1:] for k in kinds]
+    if label[ka[0]] != label[kb[0]]:
         return []
-    value: dict[tuple[int, int], int] = {}  # matched nodes below two nodes of one label
-    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}  # and the pairs of children that give them
-    todo = [(0, 0, False)]
+    sizes: list[int] = []
+    for kids in below:
+        sizes.append(1 + sum(sizes[k] for k in kids))
+    value: dict[tuple[int, int], int] = {}  # matched nodes of two subtrees whose roots have one label
+    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}  # and the places of the children that give them
+    todo = [(ka[0], kb[0], False)]
     while todo:
         i, j, ready = todo.pop()
         if (i, j) in value:
             continue
-        if ka[i] == kb[j]:
+        if i == j:
             value[i, j] = sizes[i]
-            continue
-        pairs = _candidates([la[x] for x in ca[i]], [lb[y] for y in cb[j]])
-        if not ready:
+        elif ready:
+            chosen[i, j] = _pairs(below[i], below[j], value, sizes)
+            value[i, j] = 1 + sum(value[below[i][x], below[j][y]] for x, y in chosen[i, j])
+        else:
             todo.append((i, j, True))
-            todo.extend((ca[i][x], cb[j][y], False) for x, ys in enumerate(pairs) for y in ys)
-            continue
-        n, m = len(ca[i]), len(cb[j])
-        if n * m > PAIRS:
-            got = [(ca[i][x], cb[j][y]) for x, ys in enumerate(pairs) for y in ys]
-            value[i, j], chosen[i, j] = 1 + sum(value[p] for p in got), got
-            continue
-        # best[x][y], kept row by row where anything can match
-        best = [[0] * (m + 1)]
-        for x in range(n):
-            row, last = list(best[-1]), best[-1]
-            if pairs[x]:
-                here = set(pairs[x])
-                for y in range(m):
-                    other = last[y] + value[ca[i][x], cb[j][y]] if y in here else 0
-                    row[y + 1] = max(last[y + 1], row[y], other)
-            best.append(row)
-        x, y, got = n, m, []
-        while x and y:
-            if best[x][y] == best[x - 1][y]:
-                x -= 1
-            elif best[x][y] == best[x][y - 1]:
-                y -= 1
-            else:
-                x, y = x - 1, y - 1
-                got.append((ca[i][x], cb[j][y]))
-        value[i, j] = 1 + best[n][m]
-        chosen[i, j] = got
+            where: dict[str, list[int]] = {}
+            for k in set(below[j]):
+                where.setdefault(label[k], []).append(k)
+            todo.extend((k, m, False) for k in set(below[i]) for m in where.get(label[k], ()))
     out, todo2 = [], [(0, 0)]
     while todo2:
         i, j = todo2.pop()
         if ka[i] == kb[j]:
-            out.extend((i + d, j + d) for d in range(sizes[i]))
+            out.extend((i + d, j + d) for d in range(sizes[ka[i]]))
         else:
             out.append((i, j))
-            todo2.extend(chosen[i, j])
+            todo2.extend((ca[i][x], cb[j][y]) for x, y in chosen[ka[i], kb[j]])
     return sorted(out)
 
 
-def _candidates(a: list[str], b: list[str]) -> list[list[int]]:
-    """For each child of one node, by its label, the children of the other that it may match: those of
-    the same label.  With too many children for that, the next one in a single pass."""
-    where: dict[str, list[int]] = {}
-    for y, label in enumerate(b):
-        where.setdefault(label, []).append(y)
-    if len(a) * len(b) <= PAIRS:
-        return [where.get(label, []) for label in a]
-    out, y = [], 0
-    for label in a:
-        at = where.get(label, [])
-        k = bisect.bisect_left(at, y)
-        out.append(at[k : k + 1])
-        if k < len(at):
-            y = at[k] + 1
-    return out
+def _pairs(u: tuple, v: tuple, value: dict, sizes: list[int]) -> list[tuple[int, int]]:
+    """Places of children ``u`` and ``v`` of two nodes that give the largest matching, by ``value`` of two kinds.
+
+    Of matchings as large, the one whose last pair stands first in ``u``, then in ``v``; then the same for the pair
+    before it.  All ways below keep to that.
+    """
+    n, m, same = len(u), len(v), 0
+    while same < min(n, m) and u[same] == v[same]:  # nothing is larger than to match equal subtrees at the beginning
+        same += 1
+    got = [(x, x) for x in range(same)]
+    u, v, n, m = u[same:], v[same:], n - same, m - same
+    rest = _rows(u, v, value) if n * m <= PAIRS else _long_rows(u, v, value, sizes)
+    return got + [(x + same, y + same) for x, y in rest]
+
+
+def _rows(u: tuple, v: tuple, value: dict) -> list[tuple[int, int]]:
+    weights = {k: [value.get((k, j), 0) for j in v] for k in set(u)}
+    # best[x][y]: of the first x and the first y, kept row by row where anything can match
+    best = [[0] * (len(v) + 1)]
+    for k in u:
+        last = best[-1]
+        if any(weights[k]):
+            row, top = [0], 0
+            for y, w in enumerate(weights[k]):
+                if last[y + 1] > top:
+                    top = last[y + 1]
+                if w and last[y] + w > top:
+                    top = last[y] + w
+                row.append(top)
+            last = row
+        best.append(last)
+    x, y, got = len(u), len(v), []
+    while x and y:
+        if best[x][y] == best[x - 1][y]:
+            x -= 1
+        elif best[x][y] == best[x][y - 1]:
+            y -= 1
+        else:
+            x, y = x - 1, y - 1
+            got.append((x, y))
+    return got[::-1]
+
+
+def _long_rows(u: tuple, v: tuple, value: dict, sizes: list[int]) -> list[tuple[int, int]]:
+    """``_rows`` with a row at a time, rows made again from every few that are kept, and near the diagonal only.
+
+    What a matching leaves out of the first x and y is no less than the difference of their sizes; the same holds
+    for the rest.  So one that leaves out ``spare`` more nodes than any must stays within a band, and if the best
+    one in it leaves out no more, it is the largest of all.  Else the band is widened, at most to what that one leaves out.
+    """
+    n, m = len(u), len(v)
+    su, sv = (np.cumsum([0, *(sizes[k] for k in c)]) for c in (u, v))
+    more = int(su[n] - sv[m])
+    kinds = {k: y for y, k in enumerate(dict.fromkeys(v))}
+    column = np.array([kinds[k] for k in v])
+    weights = {k: np.array([value.get((k, j), 0) for j in kinds], np.int32) for k in set(u)}
+    weights = {k: w for k, w in weights.items() if w.any()}
+
+    def forward(begin: int, end: int, right: int, row, keep: int | None) -> list:
+        """From best[begin], which is changed, to best[end] over the first ``right`` of v: every ``keep``-th row whole,
+        as it was before, or the parts of all rows that lie in the band."""
+        out = []
+        for x in range(begin, end):
+            if keep and (x - begin) % keep == 0:
+                out.append((x, row.copy()))
+            low, high = max(1, int(lows[x + 1])), min(right, int(highs[x + 1]))
+            w = weights.get(u[x])
+            if w is not None and low <= high:
+                with_pair = w[column[low - 1 : high]]
+                with_pair += row[low - 1 : high]
+                np.maximum(with_pair, row[low : high + 1], out=with_pair)
+                np.maximum.accumulate(with_pair, out=row[low : high + 1])
+            if not keep:
+                out.append((low, row[low : high + 1].copy()))
+        return out
+
+    def back(begin: int, end: int, y: int, row) -> int:
+        """Follow the best pairs from (end, y) up to ``begin``, where ``row`` is best[begin]; the place reached there."""
+        cells = int((np.minimum(highs[begin + 1 : end + 1], y) - lows[begin + 1 : end + 1] + 1).clip(1).sum())
+        if cells > CELLS and end - begin > 1:
+            keep = max(1, (end - begin) // 16)
+            for first, row in reversed(forward(begin, end, y, row[: y + 1], keep)):
+                y = back(first, min(first + keep, end), y, row) if y else 0
+            return y
+        above = (0, row[: y + 1].copy())
+        rows = [above, *forward(begin, end, y, row[: y + 1], None)]
+
+        def at(x: int, y: int) -> int:
+            low, cells = rows[x - begin]
+            return cells[y - low] if 0 <= y - low < len(cells) else 0
+
+        x = end
+        while x > begin and y:
+            here = at(x, y)
+            if here == at(x - 1, y):
+                x -= 1
+            elif here == at(x, y - 1):
+                y -= 1
+            else:
+                x, y = x - 1, y - 1
+                got.append((x, y))
+        return y
+
+    spare = 64
+    while True:
+        lows = np.searchsorted(sv, su - max(0, more) - spare)
+        highs = np.searchsorted(sv, su - min(0, more) + spare, side="right") - 1
+        row = np.zeros(m + 1, np.int32)
+        kept = forward(0, n, m, row, max(1, n // 16))
+        beyond = int(su[n] + sv[m]) - 2 * int(row[m]) - abs(more)
+        if beyond <= 2 * spare:
+            break
+        spare = min(4 * spare, (beyond + 1) // 2)
+    got: list[tuple[int, int]] = []
+    y = m
+    for first, row in reversed(kept):
+        y = back(first, min(first + max(1, n // 16), n), y, row) if y else 0
+    return got[::-1]
 
 
 def _menu_like(tag: str, text: list[str]) -> bool:

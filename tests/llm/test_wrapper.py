@@ -94,6 +94,50 @@ def test_matching_of_many_children(monkeypatch):
     assert 20 < len(quick) <= len(best) and quick == sorted(quick) and [y for _, y in quick] == sorted(y for _, y in quick)
 
 
+def flat(labels):
+    return "\n".join(["0 r", *(f"1 {x}" for x in labels)])
+
+
+def test_matching_is_the_same_at_any_size(monkeypatch):
+    """Rows, bands and rows made again give the pairs of the plain loop; these are the largest matching."""
+    r = random.Random(7)
+    trees = [(("r", leaves(r)[1] + leaves(r)[1]), ("r", leaves(r)[1] + leaves(r)[1])) for _ in range(60)]
+    wide = [r.choice("abcd") for _ in range(300)]
+    near = [x for x in wide if r.random() < 0.97]
+    outlines = [(written(a), written(b)) for a, b in trees] + [(flat(wide), flat(near)), (flat(near), flat([r.choice("abcd") for _ in range(200)]))]
+    monkeypatch.setattr(dom, "PAIRS", 10**9)
+    plain = [dom._match.__wrapped__(a, b) for a, b in outlines]
+    assert [len(p) for p in plain[:60]] == [size_of_best(a, b) for a, b in trees]
+    for pairs, cells in ((-1, 4_000_000), (-1, 50), (10, 500)):
+        monkeypatch.setattr(dom, "PAIRS", pairs)
+        monkeypatch.setattr(dom, "CELLS", cells)
+        assert [dom._match.__wrapped__(a, b) for a, b in outlines] == plain
+
+
+def test_more_than_a_million_pairs_of_children():
+    r = random.Random(9)
+    a, b = [r.choice("abcd") for _ in range(1100)], [r.choice("abcd") for _ in range(1000)]
+    best = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for y, z in enumerate(b):
+            row.append(max(best[y + 1], row[y], best[y] + (x == z)))
+        best = row
+    pairs = dom.match(flat(a), flat(b))
+    assert len(pairs) == 1 + best[-1] and all(([*"r", *a][i] == [*"r", *b][j]) for i, j in pairs)
+    assert pairs == sorted(pairs) and all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+
+
+@pytest.mark.parametrize("n", [100, 510])
+def test_template_of_pages_with_many_blocks(spark, n):
+    """One page has its last block first; it is of the same template all the same, be there 200 blocks or 1,020."""
+    body = lambda i: "".join(f"<h3>Item {i}-{k}</h3><p>Fixed {k}.</p>" for k in range(n))
+    rows = [(i, "https://blocks.example/", f"<body>{body(i)}<h6>end</h6>") for i in range(12)] + [(12, "https://blocks.example/", f"<body><h6>end</h6>{body(12)}")]
+    got = {r.page_id: r.text for r in wrapper.extract_text(table(spark, rows, "page_id long, url string, html string")).collect()}
+    items = lambda i: "\n".join(f"Item {i}-{k}" for k in range(n))
+    assert got == {**{i: items(i) for i in range(12)}, 12: "end\n" + items(12)}
+
+
 def test_deep_and_long_pages(spark):
     deep = "<div>" * 100_000 + "text" + "</div>" * 100_000
     wide = "<body><article>" + "".join(f"<p>word {i} &amp; more</p><div><h2>x{i}</h2></div>" for i in range(150_000)) + "</article>"
@@ -231,3 +275,30 @@ def test_hidden_inline_elements():
     text = lambda h: [w for _, w in dom.segments(dom.parse(h))]
     assert text('<p>One <span style="display:none">hid <span>den</span></span> two <b hidden>three</b> four.</p>') == ["One two four."]
     assert text('<p>Five <span class="advert">six</p><p>seven <i>eight</i></p>') == ["Five", "seven eight"]
+
+
+def test_open_quotes_are_followed_however_many():
+    """Where a tag ends doesn't depend on how much has been read before it."""
+    for n in (1, 20, 1000):
+        html = '<a y="> "' * n + "' " + '<p title="a > b">c</p>'
+        assert [w for _, w in dom.segments(dom.parse(html))][-1] == "c", n
+
+    def ends(html):
+        """The first > outside quotes for each tag, by looking at every character."""
+        for start, end, name, *_ in dom._tags(html, [0]):
+            if name is not None:
+                at = start + 1 + (html[start + 1] == "/") + len(name)
+                first, quote = html.index(">", at), None
+                for k in range(at, len(html)):
+                    c = html[k]
+                    if quote is None and c == ">":
+                        break
+                    quote = (c if c in "'\"" else None) if quote is None else None if c == quote else quote
+                else:
+                    k = first
+                yield end == k + 1
+
+    r = random.Random(11)
+    for _ in range(2000):
+        html = "".join(r.choice(["<a", "</b", "<p ", ">", '"', "'", " ", "x="]) for _ in range(r.randrange(1, 60)))
+        assert all(ends(html)), html
