@@ -294,7 +294,15 @@ def _match(a: str, b: str) -> list[tuple[int, int]]:
     for kids in below:
         sizes.append(1 + sum(sizes[k] for k in kids))
     value: dict[tuple[int, int], int] = {}  # matched nodes of two subtrees whose roots have one label
-    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}  # and the places of the children that give them
+    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}  # and, of large ones, the places of the children that give them
+
+    @functools.cache
+    def by_label(j: int) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
+        for k in set(below[j]):
+            out.setdefault(label[k], []).append(k)
+        return out
+
     todo = [(ka[0], kb[0], False)]
     while todo:
         i, j, ready = todo.pop()
@@ -303,14 +311,15 @@ def _match(a: str, b: str) -> list[tuple[int, int]]:
         if i == j:
             value[i, j] = sizes[i]
         elif ready:
-            chosen[i, j] = _pairs(below[i], below[j], value, sizes)
-            value[i, j] = 1 + sum(value[below[i][x], below[j][y]] for x, y in chosen[i, j])
+            pairs = _pairs(below[i], below[j], value, sizes)
+            value[i, j] = 1 + sum(value[below[i][x], below[j][y]] for x, y in pairs)
+            if len(below[i]) * len(below[j]) > PAIRS:
+                chosen[i, j] = pairs
         else:
             todo.append((i, j, True))
-            where: dict[str, list[int]] = {}
-            for k in set(below[j]):
-                where.setdefault(label[k], []).append(k)
-            todo.extend((k, m, False) for k in set(below[i]) for m in where.get(label[k], ()))
+            where = by_label(j)
+            for name, kids in by_label(i).items():
+                todo.extend((k, m, False) for k in kids for m in where.get(name, ()) if (k, m) not in value)
     out, todo2 = [], [(0, 0)]
     while todo2:
         i, j = todo2.pop()
@@ -318,7 +327,8 @@ def _match(a: str, b: str) -> list[tuple[int, int]]:
             out.extend((i + d, j + d) for d in range(sizes[ka[i]]))
         else:
             out.append((i, j))
-            todo2.extend((ca[i][x], cb[j][y]) for x, y in chosen[ka[i], kb[j]])
+            pairs = chosen.get((ka[i], kb[j])) or _pairs(below[ka[i]], below[kb[j]], value, sizes)
+            todo2.extend((ca[i][x], cb[j][y]) for x, y in pairs)
     return sorted(out)
 
 
