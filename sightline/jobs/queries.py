@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.jobs import standins as s
@@ -223,7 +223,13 @@ FROM embeddings""")
 def l2_normalize(spark, sf_dir: str) -> DataFrame:
     e = s.read(spark, sf_dir, "embeddings")
     scaled = F.transform("embedding", lambda x: x.cast("double") * 3)
-    return e.select("vec_id", F.transform(v.l2_normalize(scaled), lambda x: F.round(x, 6)).alias("unit"))
+    return e.select("vec_id", F.transform(v.l2_normalize(scaled), _round6).alias("unit"))
+
+
+def _round6(x: Column) -> Column:
+    """Six places as DuckDB rounds, which keeps the sign of what becomes zero."""
+    r = F.round(x * 1e6) / 1e6
+    return F.when(r == 0, x * 0.0).otherwise(r)
 
 
 def _fake_encoder():

@@ -212,3 +212,16 @@ def test_windows_follow_the_wall_clock(spark):
     half = q.CLOCK_MINUTES * 60
     assert got["bugün kedi"] == (midnight, now) and got["son 3 saatte kedi"] == (now - 3 * 3600, now)
     assert got["saat 9:05 gibi kedi"] == (nine - half, nine + half) and got["dün saat 22 civarı kedi"] == (midnight - 7200 - half, midnight - 7200 + half)
+
+
+def test_unit_vectors_keep_the_sign_of_zero(spark, tmp_path):
+    import duckdb
+
+    from sightline.jobs.all_queries import QUERIES, SQL
+
+    rows = [(0, [-1e-7, 1.0]), (1, [1e-7, -0.0]), (2, [0.0, -0.0]), (3, [-4.9e-7, -0.6]), (4, [3.0, -4.0]), (5, []), (6, None), (7, [float("nan"), 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["l2_normalize"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, con.execute(SQL["l2_normalize"]).fetchall()))
