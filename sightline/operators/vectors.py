@@ -20,6 +20,9 @@ from sightline.sources.work import cut
 POINTS, QUERIES = 2048, 512
 #: Bytes of the query vectors of a block; bytes of all query vectors up to which their blocks are broadcast.
 QUERY_BYTES, BROADCAST_BYTES = 4_000_000, 8_000_000
+#: Hits that a task keeps for a block of queries (for each window state), hits of all queries up to which their blocks
+#: are broadcast, and blocks of one key that a task keeps at once.
+HITS, BROADCAST_HITS, HELD = 200_000, 200_000, 4
 #: Partitions from which on the best rows of tasks are merged in two steps.
 MERGE = 256
 #: Seconds of a time cell of a stored index, cells whose names are broadcast to skip files.
@@ -98,24 +101,39 @@ def top_k(
     inside for queries that have none.
 
     The index is read once, whatever the number of queries.  Few queries are broadcast in blocks; beyond
-    ``BROADCAST_BYTES`` pairs of blocks are dealt by a key, for which each block of points is sent once for each block of
-    ``QUERY_BYTES`` of queries.  A task keeps at most ``k`` rows for each query of a block, variant and window state, with
-    their payload, so neither its memory nor the rows that are merged grow with the points of a task.
+    ``BROADCAST_BYTES`` or ``BROADCAST_HITS`` pairs of blocks are dealt by a key, for which each block of points is sent once
+    for each block of queries.  A task keeps at most ``k`` hits for each query of a block, variant and window state, and
+    the payload of the points among them once, so neither its memory nor the rows that are merged grow with the points of
+    a task; a block has so few queries that these are ``HITS`` for each window state.
     """
     spark = points.sparkSession
     asked = _asked(queries)
     n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    block = max(16, QUERY_BYTES // (8 * max(1, width or 1)))
-    few, blocks = n * 8 * (width or 1) <= BROADCAST_BYTES, max(1, -(-n // block))
-    shares = 1 if few else max(1, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    block = _block(width, k, variants)
+    few = n * 8 * (width or 1) <= BROADCAST_BYTES and n * k * len(variants) <= BROADCAST_HITS
+    blocks = max(1, -(-n // block))
+    # every share of the points gives its own k hits, so there are no more shares than keep all cores busy
+    cores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    shares = 1 if few else max(1, -(-2 * cores // blocks))
     numbered = asked.withColumn("key", F.pmod(F.xxhash64("query_id", "vector", "ts_from"), F.lit(blocks)).cast("string"))
     sought = _query_blocks(numbered, block).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
     packed = _point_blocks(_picked(points, payload, F.lit("").alias("key")), shares)
     packed = packed.withColumn("key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: i.cast("string"))))
-    pairs = packed.join(F.broadcast(sought) if few else sought, ["key", "share"])
+    pairs = packed.join(F.broadcast(sought) if few else _dealt(sought), ["key", "share"])
     return _ranked(_meet(pairs, points, k, variants, payload, digits, few), k, payload)
 
 
+def _block(width: int | None, k: int, variants: tuple[str, ...]) -> int:
+    """Queries of a block."""
+    return max(1, min(max(16, QUERY_BYTES // (8 * max(1, width or 1))), HITS // (k * len(variants))))
+
+
+def _dealt(blocks: DataFrame) -> DataFrame:
+    """Blocks that a join shuffles.  Spark takes a block for 100 bytes and would broadcast any number of them through
+    the driver."""
+    return blocks.hint("merge")
+
+
 def _picked(points: DataFrame, payload: tuple[str, ...], *more: Column) -> DataFrame:
     extra = [c for c in payload if c not in ("ts", "source", "camera_id")]
     return points.where("vector is not null").select("id", "vector", "ts", "source", "camera_id", *extra, *more)
@@ -191,20 +209,6 @@ def _point_blocks(points: DataFrame, shares: int) -> DataFrame:
     return points.mapInArrow(run, "key string, share int, points binary")
 
 
-_RANK = [("q", "ascending"), ("v", "ascending"), ("in_window", "descending"), ("score", "descending"), ("id", "ascending")]
-
-
-def _best(rows: pa.Table, k: int) -> pa.Table:
-    """The first ``k`` rows of each query, variant and window state."""
-    rows = rows.sort_by(_RANK).combine_chunks()
-    group = [rows[c].to_numpy() for c in ("q", "v", "in_window")]
-    new = np.ones(len(rows), bool)
-    new[1:] = np.logical_or.reduce([g[1:] != g[:-1] for g in group])
-    start = np.flatnonzero(new)
-    place = np.arange(len(rows)) - np.repeat(start, np.diff(np.append(start, len(rows))))
-    return rows.filter(pa.array(place < k))
-
-
 def _matrix(vectors: pa.ChunkedArray, rows: int) -> np.ndarray:
     """Vectors of one length as unit rows."""
     flat = vectors.combine_chunks()
@@ -213,88 +217,162 @@ def _matrix(vectors: pa.ChunkedArray, rows: int) -> np.ndarray:
 
 
 class _Queries:
-    """A block of queries, as arrays."""
+    """A block of queries, as arrays, and their best hits so far.
+
+    A hit is a group (variant, window state and query), a score and the place of its point in a table of all points
+    among the hits."""
 
-    def __init__(self, held: pa.Scalar):
+    def __init__(self, held: pa.Scalar, k: int, variants: tuple[str, ...]):
         t = _table(held)
-        self.ids = t["query_id"].to_pylist()
+        self.ids = t["query_id"].combine_chunks()
         self.vectors = _matrix(t["vector"], len(t))
         self.camera = t["camera_id"].to_pylist()
         ends = [t[c].to_pylist() for c in ("ts_from", "ts_to")]
         self.bounded = np.array([a is not None or z is not None for a, z in zip(*ends)], bool)
         self.start = np.array([-np.inf if a is None else a for a in ends[0]])
         self.end = np.array([np.inf if z is None else z for z in ends[1]])
-        self.best: list[pa.Table] = []
-        self.rows = 0
+        self.k, self.variants = k, variants
+        #: Least score that can be among the best, by variant, window state (1 is inside) and query.
+        self.least = np.full((len(variants), 2, len(t)), -np.inf)
+        self.hits: list[tuple[np.ndarray, ...]] = []
+        self.points: list[pa.Table] = []
+        self.n_hits = self.n_points = 0
+
+    def add(self, part: pa.Table, found: list[tuple[np.ndarray, ...]]) -> None:
+        """``found``: groups, scores and rows of ``part``."""
+        group, score, row = map(np.concatenate, zip(*found))
+        used, place = np.unique(row, return_inverse=True)
+        self.points.append(part.take(pa.array(used)))
+        self.hits.append((group, score, self.n_points + place))
+        self.n_hits, self.n_points = self.n_hits + len(group), self.n_points + len(used)
+        if self.n_hits > 4 * self.k * len(self.ids) * len(self.variants):
+            self.settle()
+
+    def settle(self) -> None:
+        """Keeps the first ``k`` hits of each group, in order."""
+        group, score, place = map(np.concatenate, zip(*self.hits))
+        points = pa.concat_tables(self.points).combine_chunks()
+        rank = np.empty(len(points), np.int64)
+        rank[points.select(["id"]).add_column(0, "n", pa.array(np.arange(len(points)))).sort_by("id")["n"].to_numpy()] = np.arange(len(points))
+        order = np.lexsort((rank[place], -score, group))
+        group, score, place = group[order], score[order], place[order]
+        start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        pos = np.arange(len(group)) - np.repeat(start, np.diff(np.append(start, len(group))))
+        last, kept = pos == self.k - 1, pos < self.k
+        self.least.flat[group[last]] = score[last]
+        used, place = np.unique(place[kept], return_inverse=True)
+        self.points = [points.take(pa.array(used))]
+        self.hits = [(group[kept], score[kept], place)]
+        self.n_hits, self.n_points = len(place), len(used)
+
+    def given(self) -> Iterator[pa.RecordBatch]:
+        """The hits with their points, without those outside the window of queries that have some inside."""
+        if not self.hits:
+            return
+        self.settle()
+        group, score, place = self.hits[0]
+        v, inside, q = np.unravel_index(group, self.least.shape)
+        some = np.zeros((len(self.variants), len(self.ids)), bool)
+        some[v[inside == 1], q[inside == 1]] = True
+        names, points = pa.array(self.variants, pa.string()), self.points[0]
+        shown = np.flatnonzero((inside == 1) | ~some[v, q])
+        for i in range(0, len(shown), 10_000):
+            s = shown[i : i + 10_000]
+            rows = points.take(pa.array(place[s]))
+            for name, column in (
+                ("in_window", pa.array(inside[s] == 1)), ("score", pa.array(score[s])),
+                ("query_id", self.ids.take(pa.array(q[s]))), ("variant", names.take(pa.array(v[s]))),
+            ):
+                rows = rows.append_column(name, column)
+            yield from rows.combine_chunks().to_batches()
+
+
+def _first(hit: np.ndarray, raw: np.ndarray, k: int, digits: int, least: np.ndarray) -> None:
+    """Leaves at most ``k`` hits in each row, the best ones, of equal scores the first; raises ``least`` to the score of the
+    last of them."""
+    many = np.flatnonzero(np.count_nonzero(hit, axis=1) > k)
+    if len(many):
+        s = np.where(hit[many], np.round(raw[many], digits), -np.inf)
+        kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        above, level = s > kth[:, None], s == kth[:, None]
+        room = k - np.count_nonzero(above, axis=1)
+        hit[many] = above | (level & (np.cumsum(level, axis=1) <= room[:, None]))
+        least[many] = np.maximum(least[many], kth)
 
 
 def _meet(pairs: DataFrame, points: DataFrame, k: int, variants: tuple[str, ...], payload: tuple[str, ...], digits: int, hold: bool) -> DataFrame:
-    """Best rows of each task for every query and variant, inside the window and, for queries that have one,
-    outside it, from pairs of blocks.  A query without a window has every point inside.
+    """Best rows of each task for every query and variant, inside the window and, for queries that have one and
+    nothing inside it in this task, outside it, from pairs of blocks.  A query without a window has every point inside.
 
-    ``hold``: the blocks of queries are few, and all are kept until the task ends; else one at a time.
+    ``hold``: the blocks of queries are few, and all are kept until the task ends; else those of one key.
     """
     hit = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in _picked(points, payload).drop("vector").schema.fields)
 
     def scores(q: _Queries, part: pa.Table, x: np.ndarray, a: int, z: int):
-        """Best rows of a block of points for queries a to z - 1."""
-        score = np.round(q.vectors[a:z] @ x.T, digits)
+        """Best hits of a block of points for queries a to z - 1."""
+        raw = q.vectors[a:z] @ x.T
         ts = np.asarray(part["ts"].to_numpy(), float)
         cameras = np.array(part["camera_id"].to_pylist(), object)
         of_camera = {c: np.ones(len(part), bool) if c is None else cameras == c for c in set(q.camera[a:z])}
-        fits = np.array([of_camera[c] for c in q.camera[a:z]])
-        inside = ~q.bounded[a:z, None] | ((ts >= q.start[a:z, None]) & (ts <= q.end[a:z, None]))
+        fits = None if [*of_camera] == [None] else np.array([of_camera[c] for c in q.camera[a:z]])
         sources = np.array(part["source"].to_pylist(), object)
+        bounded, row = q.bounded[a:z], np.arange(z - a)
+        # queries whose window may hold some of the points; points without time are in none
+        timed = ts[~np.isnan(ts)]
+        touched = np.flatnonzero(bounded & (len(timed) > 0) & (q.start[a:z] <= timed.max(initial=-np.inf)) & (q.end[a:z] >= timed.min(initial=np.inf)))
+        inside = (ts >= q.start[a:z][touched, None]) & (ts <= q.end[a:z][touched, None])
+        slack = 10.0**-digits
         for v, variant in enumerate(variants):
-            mine = fits if variant == "all" else fits & (sources == variant)
-            for window in (True, False):
-                fit = mine & (inside == window)
-                if not fit.any():
-                    continue
-                s = np.where(fit, score, -np.inf)
-                # points are in order of id, so a stable sort keeps the first ids among equals
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(s, top, axis=1)
-                i, j = np.nonzero(best > -np.inf)
-                found = part.drop_columns(["vector"]).take(pa.array(top[i, j]))
-                for name, value in (("q", a + i), ("v", np.full(len(i), v)), ("in_window", np.full(len(i), int(window))), ("score", best[i, j])):
-                    found = found.append_column(name, pa.array(value))
-                yield found
-
-    def given(q: _Queries):
-        if q.best:
-            best = _best(pa.concat_tables(q.best), k)
-            ids, names = pa.array(q.ids, pa.string()), pa.array(variants, pa.string())
-            best = best.append_column("query_id", ids.take(best["q"].combine_chunks())).append_column("variant", names.take(best["v"].combine_chunks()))
-            best = best.set_column(best.schema.get_field_index("in_window"), "in_window", best["in_window"].cast(pa.bool_())).drop_columns(["q", "v"])
-            yield from best.combine_chunks().to_batches(10_000)
+            least = q.least[v, :, a:z]
+            of = None if variant == "all" else sources == variant
+
+            def best(state: np.ndarray, rows: np.ndarray, raw: np.ndarray, fit: np.ndarray | None):
+                """Of all rows with their window states."""
+                bound = least[state, rows]
+                hit = raw >= (bound - slack)[:, None]
+                for mask in (fit, of, None if fits is None else fits[rows]):
+                    if mask is not None:
+                        hit &= mask
+                _first(hit, raw, k, digits, bound)
+                least[state, rows] = bound
+                i, j = np.divmod(np.flatnonzero(hit), hit.shape[1])
+                score = np.round(raw[i, j], digits)
+                good = (score >= bound[i]) & (score > -np.inf)
+                i, j = i[good], j[good]
+                return np.ravel_multi_index((np.full(len(i), v), state[i], a + rows[i]), q.least.shape), score[good], j
+
+            if len(touched):
+                yield best(np.ones(len(touched), int), touched, raw[touched], inside)
+            outer = None
+            if inside.any():
+                outer = np.ones(raw.shape, bool)
+                outer[touched] = ~inside
+            yield best(1 - bounded.astype(int), row, raw, outer)
 
     def run(it):
         held: dict[bytes, _Queries] = {}
+        of = None
         for batch in it:
-            for asked, packed in zip(batch["queries"], batch["points"]):
+            for key, asked, packed in zip(batch["key"], batch["queries"], batch["points"]):
                 name = asked.as_py()
+                if not hold and (key != of or name not in held and len(held) >= HELD):
+                    for q in held.values():
+                        yield from q.given()
+                    held.clear()
+                of = key
                 if name not in held:
-                    if not hold:
-                        for q in held.values():
-                            yield from given(q)
-                        held.clear()
-                    held[name] = _Queries(asked)
+                    held[name] = _Queries(asked, k, variants)
                 q, part = held[name], _table(packed)
-                x = _matrix(part["vector"], len(part))
-                for a in range(0, len(q.ids), QUERIES):
-                    for found in scores(q, part, x, a, min(a + QUERIES, len(q.ids))):
-                        q.best.append(found)
-                        q.rows += len(found)
-                if q.rows > 4 * k * len(q.ids) * len(variants):
-                    q.best = [_best(pa.concat_tables(q.best), k)]
-                    q.rows = len(q.best[0])
+                x, part = _matrix(part["vector"], len(part)), part.drop_columns(["vector"])
+                found = [f for a in range(0, len(q.ids), QUERIES) for f in scores(q, part, x, a, min(a + QUERIES, len(q.ids))) if len(f[0])]
+                if found:
+                    q.add(part, found)
         for q in held.values():
-            yield from given(q)
+            yield from q.given()
 
     # a batch that goes to Python holds few blocks
     pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-    return pairs.select("queries", "points").mapInArrow(run, f"{hit}, in_window boolean, score double, query_id string, variant string")
+    return pairs.select("key", "queries", "points").mapInArrow(run, f"{hit}, in_window boolean, score double, query_id string, variant string")
 
 
 def write_cells(points: DataFrame, path: str, cell_s: float = CELL_S) -> None:
@@ -356,9 +434,9 @@ def cell_top_k(
     met = cut(touched_cells(spark, path, asked.where(bounded)), "cells")
     stored = cell_points(spark, path, met.select("cell").distinct())
     width = asked.agg(F.max(F.size("vector"))).first()[0]
-    sought = _query_blocks(met.select(*asked.columns, F.col("cell").alias("key")), max(16, QUERY_BYTES // (8 * (width or 1))))
+    sought = _query_blocks(met.select(*asked.columns, F.col("cell").alias("key")), _block(width, k, variants))
     packed = _point_blocks(_picked(stored, payload, F.col("cell").alias("key")), 1)
-    inside = _meet(packed.join(sought, "key"), stored, k, variants, payload, digits, hold=False).where("in_window")
+    inside = _meet(packed.join(_dealt(sought), "key"), stored, k, variants, payload, digits, hold=False).where("in_window")
     inside = cut(_ranked(inside, k, payload), "inside")
     answered = inside.select("query_id", "variant").distinct()
     pairs = asked.where(bounded).select("query_id").distinct().withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))

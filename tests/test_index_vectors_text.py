@@ -225,3 +225,38 @@ def test_unit_vectors_keep_the_sign_of_zero(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, con.execute(SQL["l2_normalize"]).fetchall()))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_many_queries_do_not_pass_the_driver(spark, monkeypatch, tmp_path):
+    """Spark takes a block of 4 MB for 100 bytes; it must not broadcast blocks that are too many for that."""
+    _, rows, df = points(spark)
+    qs = spark.createDataFrame([(f"q{i:02}", r[1]) for i, r in enumerate(rows[:40])], "query_id string, vector array<float>")
+    for name, table in (("points", df), ("queries", qs)):
+        table.write.parquet(f"{tmp_path}/{name}")
+    df, qs = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("points", "queries"))
+    assert "BroadcastHashJoin" in plan(v.top_k(df, qs, 3, payload=()))
+    monkeypatch.setattr(v, "BROADCAST_BYTES", 0)
+    found = v.top_k(df, qs, 3, payload=())
+    assert "SortMergeJoin" in plan(found) and "BroadcastHashJoin" not in plan(found)
+    assert found.count() == 3 * 40
+
+
+@pytest.mark.parametrize("how", [{"HITS": 30}, {"HITS": 30, "POINTS": 5, "HELD": 1}, {"HITS": 1, "POINTS": 2}, {"POINTS": 4, "QUERIES": 3}])
+def test_top_k_with_few_hits_kept_at_once(spark, monkeypatch, how):
+    """Blocks of one query or of some, their hits pruned again and again, half of all points alike."""
+    for name, value in ({"BROADCAST_HITS": 0} | how).items():
+        monkeypatch.setattr(v, name, value, raising=False)
+    x, rows, df = points(spark)
+    asked = [(f"q{i}", x[i].tolist(), *((None, None), (3.0 * i, 3.0 * i + 9), (900.0, None))[i % 3], (None, "c2")[i % 2]) for i in range(12)]
+    qs = spark.createDataFrame(asked, "query_id string, vector array<float>, ts_from double, ts_to double, camera_id string")
+    got = v.top_k(df.repartition(3), qs, 5, ("all", "crop"), payload=("ts",)).orderBy("pos").collect()
+    for i, (n, _, a, z, camera) in enumerate(asked):
+        for variant in ("all", "crop"):
+            of = lambda ts: brute(x, rows, x[i].astype(float), 5, ts, camera, None if variant == "all" else variant)
+            mine = [r for r in got if (r.query_id, r.variant) == (n, variant)]
+            assert [r.id for r in mine] == (of((a, z)) or of((None, None)))
+            assert {r.time_dropped for r in mine} == {not of((a, z))} and all(r.ts == float(r.id[1:]) for r in mine)
