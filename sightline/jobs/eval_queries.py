@@ -162,7 +162,7 @@ metrics AS (
 SELECT metric, target, round(value, 6) AS value, coalesce(value >= target, false) AS met
 FROM (VALUES ('recall_5', 0.80::DOUBLE), ('golden_1', 0.66::DOUBLE), ('margin', 0.0::DOUBLE)) t(metric, target) LEFT JOIN metrics USING (metric)""")
 def eval_targets(spark, sf_dir: str) -> DataFrame:
-    scored = _scored(spark, sf_dir)
+    scored = cut(_scored(spark, sf_dir), "scored")  # read twice below
     b = ev.blocks(scored).where("variant = 'all'")
     one = lambda name, df, c: df.select(F.lit(name).alias("metric"), F.col(c).alias("value"))
     metrics = one("recall_5", b.where("block = 'all'"), "recall_5").unionByName(one("golden_1", b.where("block = 'golden'"), "recall_1")).unionByName(

@@ -260,3 +260,14 @@ def test_top_k_with_few_hits_kept_at_once(spark, monkeypatch, how):
             mine = [r for r in got if (r.query_id, r.variant) == (n, variant)]
             assert [r.id for r in mine] == (of((a, z)) or of((None, None)))
             assert {r.time_dropped for r in mine} == {not of((a, z))} and all(r.ts == float(r.id[1:]) for r in mine)
+
+
+def test_queries_of_many_hits_are_not_all_kept_by_every_task(spark):
+    """1,500 short vectors are few bytes, but 216,000 hits."""
+    x, _, df = points(spark)
+    qs = spark.createDataFrame([(f"q{i:04}", x[i % 150].tolist()) for i in range(1500)], "query_id string, vector array<float>")
+    variants = ("all", "frame", "crop")
+    found = v.top_k(df, qs, 48, variants, payload=())
+    assert "SortMergeJoin" in plan(found) and "BroadcastHashJoin" in plan(v.top_k(df, qs, 4, variants, payload=()))
+    counts = found.groupBy("variant").agg(F.count(F.lit(1)), F.countDistinct("query_id"), F.max("pos")).collect()
+    assert sorted(map(tuple, counts)) == [(n, 1500 * 48, 1500, 48) for n in sorted(variants)]
