@@ -206,5 +206,5 @@ def search_outcomes(spark, sf_dir: str) -> DataFrame:
     pool = v.top_k(s.idx(spark, sf_dir), open_, TOP)
     hits = cut(sr.thin(sr.intent_rerank(pool.join(open_.select("query_id", "intent"), "query_id"))), "hits")
     about = open_.select("query_id", "needs_verification", "has_color", "object_en", "color_en")
-    work = vf.worklist(hits.join(about, "query_id"))
+    work = vf.worklist(hits.join(about.hint("merge"), "query_id"))  # by its compressed files, Spark would broadcast hits
     return vf.outcomes(asked, hits, vf.fuse(vf.verdicts(work, _made_up_answers(work))))

@@ -111,7 +111,8 @@ def verdicts(work: DataFrame, answers: DataFrame) -> DataFrame:
         F.max(F.when(F.col("kind") == "presence", F.col("answer"))).alias("__p"),
         F.max(F.when(F.col("kind") == "color", F.col("answer"))).alias("__c"),
     )
-    asked = questions(work).join(a, ["query_id", "id"], "left")
+    # hits are many times their compressed files, by which Spark would broadcast them
+    asked = questions(work).join(a.hint("merge"), ["query_id", "id"], "left")
     present = F.when(F.col("settled"), True).otherwise(yes(F.col("__p")))
     match = F.when(F.col("color_question").isNotNull() & present, yes(F.col("__c")))
     verdict = F.when(

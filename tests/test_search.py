@@ -143,3 +143,13 @@ def test_detector_rows(spark):
     make = lambda: lambda images: [[(c, 0.5, 1, 2, 3, 4) for c in im] for im in images]
     got = sorted(map(tuple, d.detect(frames, make, batch=1).collect()))
     assert got == [("v", 1, 0, 97, 0.5, 1.0, 2.0, 3.0, 4.0), ("v", 1, 1, 98, 0.5, 1.0, 2.0, 3.0, 4.0)]
+
+
+def test_stored_hits_are_not_broadcast_for_their_answers(spark, tmp_path):
+    rows = [("q", f"p{i:012}", i, 0.5, "frame", None, "car", "red", True) for i in range(20)]
+    spark.createDataFrame(rows, WORK).write.parquet(f"{tmp_path}/work")
+    work = spark.read.parquet(f"{tmp_path}/work")
+    said = work.select("query_id", "id", F.lit("presence").alias("kind"), F.lit("yes").alias("answer"))
+    got = vf.verdicts(work, said)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.verdict.object_present for r in got.collect()] == [True] * 20
